@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from weatherloom.functions.geo import parse_coordinate
 from weatherloom.functions.rules import intensity_class
 from weatherloom.operators.joining import with_scalars
-from weatherloom.operators.models import Trained, cross_validated_rmse, fit, grid_search, regression_metrics
+from weatherloom.operators.models import Trained, fit, grid_search, k_fold_rmse, regression_metrics
 from weatherloom.operators.quality import DOMAINS
 
 NUMERIC_FEATURES = [
@@ -93,8 +93,10 @@ def train_intensity(
             settings[kind].update({k: int(v) for k, v in best.parameters.items()})
             cv = best.cv_rmse
         elif folds >= 2:
-            first = MODEL_SETS[kind][0]
-            cv = cross_validated_rmse(table, first, names, label, folds, seed, **settings[first])
+            # rows of an event table carry no order here, so a row hash makes the folds
+            folded = table.withColumn("fold", F.pmod(F.xxhash64(F.lit(seed), *names, label), F.lit(folds)))
+            errors = k_fold_rmse(folded, MODEL_SETS[kind], names, label, folds, seed=seed, options=settings)
+            cv = errors.filter(F.col("model") == "ensemble").head().cv_rmse_mean
         trained = fit(table, MODEL_SETS[kind], names, label, clip=(0.0, 10.0), seed=seed, options=settings)
         trained.extra["vocabularies"] = {k: list(v) for k, v in (vocabularies or {}).items()}
         metrics = trained.evaluate(table).withColumns(

@@ -123,6 +123,15 @@ def expanding_folds(df: DataFrame, order: Series, splits: int = 5, fold: str = "
     return placed.withColumn(fold, number.cast("int")).drop("_at", "_n")
 
 
+def block_folds(df: DataFrame, order: Series, folds: int = 5, fold: str = "fold") -> DataFrame:
+    """Contiguous folds of the global order, the first ones a row longer when n is no multiple."""
+    placed = positions(df, order, "_at", "_n")
+    size, more, at = F.floor(F.col("_n") / folds), F.col("_n") % folds, F.col("_at")
+    long_part = more * (size + 1)
+    number = F.when(at < long_part, F.floor(at / (size + 1))).otherwise(more + F.floor((at - long_part) / size))
+    return placed.withColumn(fold, number.cast("int")).drop("_at", "_n")
+
+
 def global_month_order(ties: Sequence[str], buckets: int = 32) -> Series:
     """Order by (year, month, ties) over all stations, in cells of a month and a tie bucket.
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
@@ -24,6 +25,7 @@ from weatherloom.operators.features import (
     LAG_FEATURES,
     SEASON_FEATURES,
     TIME_FEATURES,
+    chronological_split,
     expanding_folds,
     time_features,
 )
@@ -253,11 +255,56 @@ def time_series_validation(
         folded.unpersist()
 
 
-def cross_validated_rmse(
-    df: DataFrame, model: str, features: Sequence[str], label: str, folds: int = 5, seed: int = 42, **options
-) -> float:
-    """Mean RMSE of a k-fold cross-validation of one model."""
-    return _search(df, model, features, label, {}, folds, seed, 4, options)[0][1]
+def k_fold_rmse(
+    folded: DataFrame,
+    models: Sequence[str],
+    features: Sequence[str],
+    label: str,
+    folds: int = 5,
+    fold: str = "fold",
+    **fit_options,
+) -> DataFrame:
+    """Per model and for the ensemble: root of the mean and of the spread of the folds' squared errors."""
+    parts = None
+    for i in range(folds):
+        trained = fit(folded.filter(F.col(fold) != i), models, features, label, **fit_options)
+        rows = trained.evaluate(folded.filter(F.col(fold) == i)).select("model", (F.col("rmse") ** 2).alias("_mse"))
+        parts = rows if parts is None else parts.unionByName(rows)
+    return parts.groupBy("model").agg(
+        F.sqrt(F.avg("_mse")).alias("cv_rmse_mean"), F.sqrt(F.stddev_pop("_mse")).alias("cv_rmse_std")
+    )
+
+
+def train_ensemble(
+    df: DataFrame,
+    order: Series,
+    features: Sequence[str],
+    label: str = "temperature",
+    models: Sequence[str] = ("linear", "ridge", "random_forest"),
+    splits: int = 5,
+    **fit_options,
+) -> tuple[Trained, DataFrame]:
+    """Ensemble fitted on everything, with the metrics of three stages as rows.
+
+    ``stage`` is train or test (models of the early four fifths), fold_mean and fold_std
+    (expanding validation) or final (the returned ensemble on its own data).
+    """
+    table = chronological_split(expanding_folds(df, order, splits), order)
+    table = table.select(*dict.fromkeys([*features, label]), "fold", "is_test").persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        _, early = train_split(table, models, features, label, **fit_options)
+        folds = fold_summary(fold_metrics(table, models, features, label, splits, **fit_options))
+        final = fit(table, models, features, label, **fit_options)
+        names = ["stage", "model", "rmse", "mae", "r2"]
+        parts = [early.withColumnRenamed("part", "stage").select(*names)]
+        for stat in ("mean", "std"):
+            columns = [F.col(f"cv_{m}_{stat}").alias(m) for m in names[2:]]
+            parts.append(folds.select(F.lit(f"fold_{stat}").alias("stage"), "model", *columns))
+        parts.append(final.evaluate(table).withColumn("stage", F.lit("final")).select(*names))
+        rows = reduce(DataFrame.unionByName, parts).collect()
+        return final, df.sparkSession.createDataFrame(rows, "stage string, model string, rmse double, mae double, r2 double")
+    finally:
+        table.unpersist()
 
 
 # Default search grids (names as in Spark ML; alpha is the penalty strength).
