@@ -40,7 +40,7 @@ def seasonal_features(spark, sf_dir):
 
 def _order() -> Series:
     """One cell per month over all stations, so that the SQL can follow the order."""
-    return Series([], ["year", "month", "station"], F.struct("year", "month"))
+    return Series([], ["year", "month", "station"], "struct(year, month)")
 
 
 def chrono_split(spark, sf_dir):

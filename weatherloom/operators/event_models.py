@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import IndexToString, StandardScaler, StringIndexer, VectorAssembler
@@ -14,7 +13,15 @@ from pyspark.sql import functions as F
 from weatherloom.functions.geo import parse_coordinate
 from weatherloom.functions.rules import intensity_class
 from weatherloom.operators.joining import with_scalars
-from weatherloom.operators.models import Trained, fit, grid_search, k_fold_rmse, regression_metrics
+from weatherloom.operators.models import (
+    Trained,
+    as_rows,
+    fit,
+    grid_search,
+    k_fold_rmse,
+    persisted,
+    regression_metrics,
+)
 from weatherloom.operators.quality import DOMAINS
 
 NUMERIC_FEATURES = [
@@ -83,8 +90,8 @@ def train_intensity(
     if label not in df.columns:
         raise ValueError(f"No {label} column found in training data")
     table, names = intensity_features(df.filter(F.col(label) > 0), **dict(vocabularies or {}))
-    table = table.select(*names, label).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
+    table = table.select(*names, label)
+    with persisted(table):
         settings = {m: dict(TREES[m], **dict((options or {}).get(m, {}))) for m in MODEL_SETS[kind]}
         cv = None
         if tune and kind == "random_forest":
@@ -97,14 +104,11 @@ def train_intensity(
             folded = table.withColumn("fold", F.pmod(F.xxhash64(F.lit(seed), *names, label), F.lit(folds)))
             errors = k_fold_rmse(folded, MODEL_SETS[kind], names, label, folds, seed=seed, options=settings)
             cv = errors.filter(F.col("model") == "ensemble").head().cv_rmse_mean
-        trained = fit(table, MODEL_SETS[kind], names, label, clip=(0.0, 10.0), seed=seed, options=settings)
+        trained = fit(table, MODEL_SETS[kind], names, label, clip=(0.0, 10.0), seed=seed, options=settings, keep=False)
         trained.extra["vocabularies"] = {k: list(v) for k, v in (vocabularies or {}).items()}
-        metrics = trained.evaluate(table).withColumns(
-            {"n_features": F.lit(len(names)), "cv_rmse": F.lit(cv).cast("double")}
-        )
-        return trained, metrics
-    finally:
-        table.unpersist()
+        metrics = as_rows(trained.evaluate(table))
+    more = {"n_features": F.lit(len(names)), "cv_rmse": F.lit(cv).cast("double")}
+    return trained, metrics.withColumns(more)
 
 
 def predict_intensity(trained: Trained, df: DataFrame) -> DataFrame:
@@ -134,14 +138,13 @@ def train_event_intensity(
     events = df.filter(F.col("event_type") != "NORMAL")
     if events.limit(least_events).count() < least_events:
         events = df
-    known = events.select(*names, label).dropna().persist(StorageLevel.MEMORY_AND_DISK)
-    try:
+    known = events.select(*names, label).dropna()
+    forest = {"random_forest": {"numTrees": 200, "maxDepth": 12, "minInstancesPerNode": 5, **dict(options or {})}}
+    with persisted(known):
         train, test = known.randomSplit([1 - test_share, test_share], seed)
-        forest = {"numTrees": 200, "maxDepth": 12, "minInstancesPerNode": 5, **dict(options or {})}
-        trained = fit(train, ["random_forest"], names, label, seed=seed, options={"random_forest": forest})
-        return trained, regression_metrics(trained.transform(test), label, trained.columns())
-    finally:
-        known.unpersist()
+        trained = fit(train, ["random_forest"], names, label, seed=seed, options=forest, keep=False)
+        metrics = as_rows(regression_metrics(trained.transform(test), label, trained.columns()))
+    return trained, metrics
 
 
 def balanced_weights(df: DataFrame, label: str, weight: str = "weight") -> DataFrame:
@@ -167,8 +170,7 @@ def train_event_classifier(
     """Balanced forest; the model predicts the class name into ``predicted_<label>``."""
     names = [c for c in features if c in df.columns]
     known = balanced_weights(df.select(*names, label).dropna(), label)
-    known = known.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
+    with persisted(known):
         index = StringIndexer(inputCol=label, outputCol="_label", stringOrderType="alphabetAsc", handleInvalid="keep")
         labels = index.fit(known)
         stages = [
@@ -182,8 +184,6 @@ def train_event_classifier(
             IndexToString(inputCol="_class", outputCol=f"predicted_{label}", labels=labels.labels + ["?"]),
         ]
         return Pipeline(stages=stages).fit(known)
-    finally:
-        known.unpersist()
 
 
 def class_scores(scored: DataFrame, label: str = "event_type") -> DataFrame:

@@ -50,7 +50,7 @@ def time_features(df: DataFrame, year_range: tuple[int, int] | None = None) -> D
 
 def month_series(keys: Sequence[str], ties: Sequence[str] = ()) -> Series:
     """Monthly tables: cells of ten years keep the halo small."""
-    return Series(list(keys), ["year", "month", *ties], F.floor(F.col("year") / 10).cast("int"))
+    return Series(list(keys), ["year", "month", *ties], "CAST(floor(year / 10) AS int)")
 
 
 def lag_features(

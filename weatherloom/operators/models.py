@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Mapping, Sequence
+from contextlib import contextmanager, nullcontext
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -59,6 +60,21 @@ def regressor(name: str, rows: int, features: str, label: str, prediction: str,
     raise ValueError(f"Unsupported model type: {name}")
 
 
+@contextmanager
+def persisted(df: DataFrame):
+    """Keeps a table that several passes share, for as long as they run."""
+    df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield df
+    finally:
+        df.unpersist()
+
+
+def as_rows(metrics: DataFrame) -> DataFrame:
+    """A metrics table computed now: one row per model, fold or part, whatever the data size."""
+    return metrics.sparkSession.createDataFrame(metrics.collect(), metrics.schema)
+
+
 def regression_metrics(df: DataFrame, label: str, predictions: Mapping[str, str], keys: Sequence[str] = ()) -> DataFrame:
     """RMSE, MAE and R squared of several prediction columns in one pass."""
     y = F.col(label)
@@ -168,23 +184,26 @@ def fit(
     clip: tuple[float, float] | None = None,
     seed: int = 42,
     options: Mapping[str, Mapping] | None = None,
+    keep: bool = True,
 ) -> Trained:
-    """Fits all named models on the same standardised features, as one pipeline."""
+    """Fits all named models on the same standardised features, as one pipeline.
+
+    ``keep`` persists the training rows while the models pass over them; switch it off when
+    ``train`` already comes from a persisted table.
+    """
     options = options or {}
     unknown = [m for m in models if m not in MODEL_NAMES]
     if unknown:
         raise ValueError(f"Unsupported model type: {unknown[0]}")
     known = train.filter(F.col(label).isNotNull()).select(*dict.fromkeys([*features, label]))
-    known = known.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
+    with persisted(known) if keep else nullcontext():
         rows = known.count()
         stages = _front(features) + [
             regressor(m, rows, "_features", label, f"{m}_prediction", seed, **dict(options.get(m, {})))
             for m in models
         ]
-        return Trained(Pipeline(stages=stages).fit(known), list(models), list(features), label, year_range, clip)
-    finally:
-        known.unpersist()
+        pipeline = Pipeline(stages=stages).fit(known)
+    return Trained(pipeline, list(models), list(features), label, year_range, clip)
 
 
 def year_span(df: DataFrame) -> tuple[int, int]:
@@ -205,12 +224,13 @@ def train_split(
     **fit_options,
 ) -> tuple[Trained, DataFrame]:
     """Fits on the rows that are not test rows; metrics of both parts as rows."""
-    trained = fit(marked.filter(~F.col(flag)), models, features, label, **fit_options)
-    scored = trained.transform(marked)
-    columns = {**trained.columns(), "ensemble": "prediction"}
-    part = F.when(F.col(flag), "test").otherwise("train").alias("part")
-    scored = scored.select(part, label, *columns.values())
-    return trained, regression_metrics(scored, label, columns, ["part"])
+    used = marked.select(*dict.fromkeys([*features, label]), flag)
+    with persisted(used):
+        trained = fit(used.filter(~F.col(flag)), models, features, label, keep=False, **fit_options)
+        columns = {**trained.columns(), "ensemble": "prediction"}
+        part = F.when(F.col(flag), "test").otherwise("train").alias("part")
+        scored = trained.transform(used).select(part, label, *columns.values())
+        return trained, as_rows(regression_metrics(scored, label, columns, ["part"]))
 
 
 def fold_metrics(
@@ -223,12 +243,14 @@ def fold_metrics(
     **fit_options,
 ) -> DataFrame:
     """Expanding-window validation: one row per fold and model."""
-    parts = None
-    for i in range(1, splits + 1):
-        trained = fit(folded.filter(F.col(fold) < i), models, features, label, **fit_options)
-        rows = trained.evaluate(folded.filter(F.col(fold) == i)).withColumn("fold", F.lit(i))
-        parts = rows if parts is None else parts.unionByName(rows)
-    return parts
+    parts = []
+    used = folded.select(*dict.fromkeys([*features, label]), fold)
+    with persisted(used):
+        for i in range(1, splits + 1):
+            early, now = used.filter(F.col(fold) < i), used.filter(F.col(fold) == i)
+            trained = fit(early, models, features, label, keep=False, **fit_options)
+            parts.append(as_rows(trained.evaluate(now).withColumn("fold", F.lit(i))))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def fold_summary(metrics: DataFrame) -> DataFrame:
@@ -248,11 +270,8 @@ def time_series_validation(
     splits: int = 5,
     **fit_options,
 ) -> DataFrame:
-    folded = expanding_folds(df, order, splits).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        return fold_summary(fold_metrics(folded, models, features, label, splits, **fit_options))
-    finally:
-        folded.unpersist()
+    folded = expanding_folds(df, order, splits)
+    return fold_summary(fold_metrics(folded, models, features, label, splits, **fit_options))
 
 
 def k_fold_rmse(
@@ -265,12 +284,15 @@ def k_fold_rmse(
     **fit_options,
 ) -> DataFrame:
     """Per model and for the ensemble: root of the mean and of the spread of the folds' squared errors."""
-    parts = None
-    for i in range(folds):
-        trained = fit(folded.filter(F.col(fold) != i), models, features, label, **fit_options)
-        rows = trained.evaluate(folded.filter(F.col(fold) == i)).select("model", (F.col("rmse") ** 2).alias("_mse"))
-        parts = rows if parts is None else parts.unionByName(rows)
-    return parts.groupBy("model").agg(
+    parts = []
+    used = folded.select(*dict.fromkeys([*features, label]), fold)
+    with persisted(used):
+        for i in range(folds):
+            others, now = used.filter(F.col(fold) != i), used.filter(F.col(fold) == i)
+            trained = fit(others, models, features, label, keep=False, **fit_options)
+            parts.append(as_rows(trained.evaluate(now)))
+    errors = reduce(DataFrame.unionByName, parts).withColumn("_mse", F.col("rmse") ** 2)
+    return errors.groupBy("model").agg(
         F.sqrt(F.avg("_mse")).alias("cv_rmse_mean"), F.sqrt(F.stddev_pop("_mse")).alias("cv_rmse_std")
     )
 
@@ -290,21 +312,18 @@ def train_ensemble(
     (expanding validation) or final (the returned ensemble on its own data).
     """
     table = chronological_split(expanding_folds(df, order, splits), order)
-    table = table.select(*dict.fromkeys([*features, label]), "fold", "is_test").persist(StorageLevel.MEMORY_AND_DISK)
-    try:
+    table = table.select(*dict.fromkeys([*features, label]), "fold", "is_test")
+    names = ["stage", "model", "rmse", "mae", "r2"]
+    with persisted(table):
         _, early = train_split(table, models, features, label, **fit_options)
         folds = fold_summary(fold_metrics(table, models, features, label, splits, **fit_options))
-        final = fit(table, models, features, label, **fit_options)
-        names = ["stage", "model", "rmse", "mae", "r2"]
-        parts = [early.withColumnRenamed("part", "stage").select(*names)]
-        for stat in ("mean", "std"):
-            columns = [F.col(f"cv_{m}_{stat}").alias(m) for m in names[2:]]
-            parts.append(folds.select(F.lit(f"fold_{stat}").alias("stage"), "model", *columns))
-        parts.append(final.evaluate(table).withColumn("stage", F.lit("final")).select(*names))
-        rows = reduce(DataFrame.unionByName, parts).collect()
-        return final, df.sparkSession.createDataFrame(rows, "stage string, model string, rmse double, mae double, r2 double")
-    finally:
-        table.unpersist()
+        final = fit(table, models, features, label, keep=False, **fit_options)
+        whole = as_rows(final.evaluate(table)).withColumn("stage", F.lit("final"))
+    parts = [early.withColumnRenamed("part", "stage").select(*names), whole.select(*names)]
+    for stat in ("mean", "std"):
+        columns = [F.col(f"cv_{m}_{stat}").alias(m) for m in names[2:]]
+        parts.append(folds.select(F.lit(f"fold_{stat}").alias("stage"), "model", *columns))
+    return final, reduce(DataFrame.unionByName, parts)
 
 
 # Default search grids (names as in Spark ML; alpha is the penalty strength).
@@ -324,12 +343,11 @@ DEFAULT_GRIDS = {
 }
 
 
-def _search(df, model, features, label, grid, folds, seed, parallelism, options):
+def _search(df, model, features, label, grid, folds, seed, parallelism):
     known = df.filter(F.col(label).isNotNull()).select(*dict.fromkeys([*features, label]))
-    known = known.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
+    with persisted(known):
         rows = known.count()
-        estimator = regressor(model, rows, "_features", label, "prediction", seed, **dict(options))
+        estimator = regressor(model, rows, "_features", label, "prediction", seed)
         builder = ParamGridBuilder()
         for name, values in grid.items():
             if name == "alpha":
@@ -346,10 +364,8 @@ def _search(df, model, features, label, grid, folds, seed, parallelism, options)
             seed=seed,
             parallelism=parallelism,
         ).fit(known)
-        names = [{p.name: v for p, v in point.items()} for point in points]
-        return list(zip(names, search.avgMetrics))
-    finally:
-        known.unpersist()
+    names = [{p.name: v for p, v in point.items()} for point in points]
+    return list(zip(names, search.avgMetrics))
 
 
 def grid_search(
@@ -371,7 +387,7 @@ def grid_search(
     spark = df.sparkSession
     if not grid:
         return spark.createDataFrame([], schema)
-    found = _search(df, model, features, label, grid, folds, seed, parallelism, {})
+    found = _search(df, model, features, label, grid, folds, seed, parallelism)
     rows = [({k: float(v) for k, v in point.items()}, float(score)) for point, score in found]
     return spark.createDataFrame(rows, schema).orderBy("cv_rmse")
 

@@ -22,19 +22,22 @@ CELL = "_cell"
 
 @dataclass(frozen=True)
 class Series:
-    """``keys`` name a series, ``order`` sorts it totally, ``cell`` rises with ``order``."""
+    """``keys`` name a series, ``order`` sorts it totally, ``cell`` rises with ``order``.
+
+    ``cell`` is a column or SQL text. Keys must not be null: cells are joined on them.
+    """
 
     keys: Sequence[str]
     order: Sequence[str]
-    cell: Column
+    cell: Column | str
 
     @classmethod
     def by_time(cls, keys: Sequence[str], time: str, ties: Sequence[str] = (), unit: str = "month"):
         """Cells of one calendar ``unit``; ``ties`` make the order total."""
-        return cls(list(keys), [time, *ties], F.date_trunc(unit, F.col(time).cast("timestamp")))
+        return cls(list(keys), [time, *ties], f"date_trunc('{unit}', CAST(`{time}` AS timestamp))")
 
     def with_cell(self, df: DataFrame) -> DataFrame:
-        return df.withColumn(CELL, self.cell)
+        return df.withColumn(CELL, F.expr(self.cell) if isinstance(self.cell, str) else self.cell)
 
     @property
     def inside(self):
