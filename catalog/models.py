@@ -67,7 +67,8 @@ def _features(spark, sf_dir):
 
 def model_metrics(spark, sf_dir):
     """All five regressors, last fifth of the record as test part."""
-    marked = features.chronological_split(_features(spark, sf_dir), features.global_month_order(["station"]))
+    marked = features.chronological_split(station_series(spark, sf_dir), features.global_month_order(["station"]))
+    marked = features.feature_table(marked, ["station"])
     _, metrics = models.train_split(
         marked, models.MODEL_NAMES, models.monthly_features(), options=TREES
     )
@@ -91,7 +92,8 @@ def time_series_validation(spark, sf_dir):
 
 def k_fold_errors(spark, sf_dir):
     """Five contiguous folds, RMSE per model over the folds."""
-    folded = features.block_folds(_features(spark, sf_dir), features.global_month_order(["station"]), 5)
+    folded = features.block_folds(station_series(spark, sf_dir), features.global_month_order(["station"]), 5)
+    folded = features.feature_table(folded, ["station"])
     return models.k_fold_rmse(folded, ["linear", "lasso"], models.monthly_features(), "temperature", 5)
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from catalog.events import LIGHTS, STORMY, stormy
 from catalog.mapping import CITY_ORDERS, SENSORS, city_orders, r, rounded, sensors, sql_time, table, text_time
 from weatherloom.operators import quality
-from weatherloom.operators.series import Series
+from weatherloom.operators.series import Series, fill_gaps
 from weatherloom.streaming.alerts import with_traffic_light
 
 
@@ -98,6 +98,12 @@ def gap_summary(spark, sf_dir):
     return rounded(rounded(out, "min_gap", "max_gap"), "median_gap", digits=8)
 
 
+def filled_gaps(spark, sf_dir):
+    """Missing rain and humidity filled from the next reading of the city, else the last."""
+    out = fill_gaps(blanked(spark, sf_dir), SERIES, ["rain_mm", "humidity_pct"])
+    return out.select("event_id", "rain_mm", "humidity_pct")
+
+
 def absent_members(spark, sf_dir):
     """Customers that never ordered."""
     expected = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("city"))
@@ -152,7 +158,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         missing_values, range_checks, domain_values, domain_summary, invalid_values, date_check, numeric_time_check,
-        duplicates, coverage, records_per_year, gaps, gap_summary, absent_members, track_continuity, physical_rules,
+        duplicates, coverage, records_per_year, gaps, gap_summary, filled_gaps, absent_members, track_continuity, physical_rules,
         storm_report, category_distribution, alert_report, table_report, full_report,
     )
 }
@@ -245,6 +251,10 @@ SQL = {
     "gap_summary": f"""WITH {_GAPS} SELECT city, {r('min(gap_seconds)')} AS min_gap, {r('max(gap_seconds)')} AS max_gap,
       count(*) FILTER (gap_seconds > 86400) AS gaps_over_step, {r('quantile_cont(gap_seconds, 0.5)', 8)} AS median_gap,
       quantile_cont(gap_seconds, 0.5) <= 5400 AS is_hourly FROM gaps WHERE gap_seconds IS NOT NULL GROUP BY city""",
+    "filled_gaps": f"""WITH {BLANKED} SELECT event_id, {', '.join(
+        f"coalesce(first({c} IGNORE NULLS) OVER f, last({c} IGNORE NULLS) OVER b) AS {c}" for c in ("rain_mm", "humidity_pct")
+      )} FROM blanked WINDOW b AS (PARTITION BY city ORDER BY timestamp, event_id),
+        f AS (PARTITION BY city ORDER BY timestamp, event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)""",
     "absent_members": """SELECT CAST(c_custkey AS VARCHAR) AS city FROM customer
       WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)""",
     "track_continuity": f"""WITH {SENSORS}, p AS (

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from weatherloom.functions.climate import month_cycle
 from weatherloom.operators.joining import with_scalars
-from weatherloom.operators.series import Series, fill_gaps, look_back, positions
+from weatherloom.operators.series import Series, look_back, positions
 
 TIME_FEATURES = [
     "year", "month", "year_normalized", "month_sin", "month_cos",
@@ -56,22 +56,37 @@ def month_series(keys: Sequence[str], ties: Sequence[str] = ()) -> Series:
 def lag_features(
     df: DataFrame, series: Series, value: str = "temperature", include_current: bool = False
 ) -> DataFrame:
-    """Lags 1 and 12 and trailing means 3 and 12, nulls filled backwards then forwards.
+    """Lags 1 and 12 and trailing means 3 and 12; a start without history is filled backwards.
 
     The means end with the row before the current one. ``include_current`` moves the frame
-    up to the current row, which leaks the target into its own features.
+    up to the current row, which leaks the target into its own features. ``value`` must not
+    be null (clean it, or use ``fill_gaps`` first): the only gaps are then at the start
+    of a series, and filling them backwards means its first value. That value rides on the
+    cell table, so the rows are still shuffled once. A series too short for a lag keeps null.
     """
-    back = 0 if not include_current else 1
+    keys = list(series.keys)
+    start = df.groupBy(*keys).agg(
+        F.min_by(value, F.struct(*series.order)).alias("_start"), F.count("*").alias("_length")
+    )
+
+    def with_start(cells: DataFrame) -> DataFrame:
+        return cells.join(start, keys, "left") if keys else with_scalars(cells, start)
+
+    earlier = {"temp_ma_3": 3, "temp_ma_12": 12}
+    if include_current:
+        earlier = {n: k - 1 for n, k in earlier.items()}
     out = look_back(
         df,
         series,
         lags={"temp_lag_1": (value, 1), "temp_lag_12": (value, 12)},
-        means={
-            "temp_ma_3": (value, 3 - back, include_current),
-            "temp_ma_12": (value, 12 - back, include_current),
-        },
+        means={n: (value, k, include_current) for n, k in earlier.items()},
+        annotate=with_start,
     )
-    return fill_gaps(out, series, LAG_FEATURES)
+    needs = {"temp_lag_1": 1, "temp_lag_12": 12, "temp_ma_3": 1, "temp_ma_12": 1}
+    filled = {
+        n: F.coalesce(F.col(n), F.when(F.col("_length") > k, F.col("_start"))) for n, k in needs.items()
+    }
+    return out.withColumns(filled).drop("_start", "_length")
 
 
 def feature_table(

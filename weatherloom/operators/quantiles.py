@@ -46,12 +46,14 @@ def exact_quantiles(
 ) -> DataFrame:
     """One row per group with one column per entry of ``names`` (column -> probability).
 
+    Nulls are ignored; a group of nothing else gives nulls. Null keys are not supported.
+
     ``accuracy`` sets the width of the bracket: about 6/accuracy of a group is looked at
     value by value. Raise it with the size of the largest group.
     """
     keys = list(keys)
     probs = list(names.values())
-    rows = df.select(*keys, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
+    rows = df.select(*keys, F.col(value).cast("double").alias("_v"))
 
     margin = 3.0 / accuracy
     low = [max(p - margin, 0.0) for p in probs]
@@ -104,6 +106,7 @@ def exact_quantiles(
         *keys,
         "_i",
         rank.alias("_r"),
+        F.col("_n").alias("_known"),
         F.when(F.floor(rank).between(first, last), known).alias("_left"),
         F.when(F.ceil(rank).between(first, last), known).alias("_right"),
     )
@@ -111,7 +114,8 @@ def exact_quantiles(
     left, right = F.max("_left"), F.max("_right")
     fraction = F.max("_r") - F.floor(F.max("_r"))
     picked = spots.groupBy(*keys, "_i").agg(
-        F.when(left.isNull() | right.isNull(), missed.cast("double"))
+        F.when(F.max("_known") == 0, F.lit(None))
+        .when(left.isNull() | right.isNull(), missed.cast("double"))
         .otherwise(left + (right - left) * fraction)
         .alias("_q")
     )
