@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.mapping import SENSORS, r, rounded, sensors, sql_time, text_time
+from catalog.mapping import SENSORS, nearest, r, rounded, sensors, sql_time, text_time
 from weatherloom.functions import rules
 from weatherloom.functions.climate import zscore
 from weatherloom.operators import extremes
@@ -123,7 +123,7 @@ def event_table(spark, sf_dir):
         F.count_if("alert_active").alias("alerts"),
         F.count_if(F.col("event_type") == "STORM").alias("storm_rows"),
         F.count_if(F.col("trend_direction") == "UP").alias("rising"),
-        F.round(F.sum("event_intensity"), 6).alias("intensity"),
+        nearest(F.sum("event_intensity")).alias("intensity"),
     )
 
 

@@ -19,8 +19,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def nearest(column: Column, digits: int = DIGITS) -> Column:
+    """Half away from zero on the scaled double, which is what the SQL side does.
+
+    Unlike ``round`` it needs no decimal arithmetic, and negative zero becomes zero.
+    """
+    scale = float(10**digits)
+    return F.signum(column) * F.floor(F.abs(column) * scale + 0.5) / scale + 0.0
+
+
 def rounded(df: DataFrame, *columns: str, digits: int = DIGITS) -> DataFrame:
-    return df.withColumns({c: F.round(c, digits) for c in columns})
+    return df.withColumns({c: nearest(F.col(c), digits) for c in columns})
 
 
 def r(expression: str, digits: int = DIGITS) -> str:
@@ -51,8 +60,8 @@ def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.to_date("l_shipdate").alias("date"),
         F.year("l_shipdate").alias("year"),
         F.month("l_shipdate").alias("month"),
-        (F.round(F.col("l_extendedprice") * 100) / 131072.0 - 10).alias("temperature"),
-        ((F.round(F.col("l_tax") * 100) * FINE + F.col("l_orderkey") * 2654435 % FINE) / (64.0 * FINE)).alias(
+        (F.rint(F.col("l_extendedprice") * 100) / 131072.0 - 10).alias("temperature"),
+        ((F.rint(F.col("l_tax") * 100) * FINE + F.col("l_orderkey") * 2654435 % FINE) / (64.0 * FINE)).alias(
             "uncertainty"
         ),
     )
@@ -97,7 +106,7 @@ def city_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.to_date("o_orderdate").alias("date"),
         F.year("o_orderdate").alias("year"),
         F.month("o_orderdate").alias("month"),
-        (F.round(F.col("o_totalprice") * 100) / 1048576.0).alias("temperature"),
+        (F.rint(F.col("o_totalprice") * 100) / 1048576.0).alias("temperature"),
         (F.pmod("o_orderkey", F.lit(32)) / 64.0).alias("uncertainty"),
     )
 
@@ -179,7 +188,7 @@ def sensors(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("NATION_"), (user % 25).cast("string")).alias("country"),
         ((user % 12) * 10 - 55.75 + (user % 3) * 0.0625).alias("lat_decimal"),
         ((user % 12) * 25 - 140.25 + (user % 5) * 0.03125).alias("lon_decimal"),
-        (sign * F.round(F.col("value") * 100) / 512.0).alias("temperature_hourly"),
+        (sign * F.rint(F.col("value") * 100) / 512.0).alias("temperature_hourly"),
         (F.greatest(k - 60, F.lit(0)) * 3.0).alias("rain_mm"),
         (key * 7919 % 4801 / 16.0).alias("wind_speed_kmh"),
         (key * 31 % 97 + 20).cast("double").alias("humidity_pct"),

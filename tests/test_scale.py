@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from weatherloom.operators import anomalies, joining
 from weatherloom.operators.quantiles import bounded_quantiles, exact_quantiles
+from weatherloom.sources.writers import scratch_dir
 from weatherloom.operators.series import Series, cell_unit_for, fill_gaps, look_back, positions
 
 
@@ -112,20 +113,32 @@ def test_exact_quantiles_of_nothing(spark, skewed):
     assert exact_quantiles(skewed.filter("id < 0"), "v", {"m": 0.5}, ["station"]).count() == 0
 
 
-def test_spread_join_equals_plain_join(spark, skewed):
+@pytest.mark.parametrize("max_rows", [5, 1000])
+def test_statistics_join_equals_plain_join(spark, skewed, max_rows):
     stats = skewed.groupBy("station").agg(F.sum("v").alias("s")).filter("station != 5")
-    got = joining.join_statistics(skewed, stats, ["station"], ["id"], spread=8)
+    got = joining.join_statistics(skewed, stats, ["station"], ["id"], spread=8, max_rows=max_rows)
+    plan = got._jdf.queryExecution().analyzed().toString()
+    assert ("_part" in plan) == (max_rows == 5)
     want = skewed.join(stats, "station", "left")
     assert got.count() == 3000
     assert got.select("id", "s").exceptAll(want.select("id", "s")).count() == 0
 
 
 def test_broadcast_is_only_hinted_below_the_limit(spark):
-    small, big = spark.range(10), spark.range(50)
-    hinted = joining.broadcast_if_small(small, 20)
-    plain = joining.broadcast_if_small(big, 20)
+    hinted = joining.broadcast_if_small(spark.range(10), 20)
     assert "broadcast" in hinted._jdf.queryExecution().logical().toString().lower()
-    assert plain is big
+    assert joining.broadcast_if_small(spark.range(50), 20) is None
+
+
+def test_scratch_folder_follows_the_session(spark, tmp_path):
+    """The setting is fixed at start-up, so a session that has it is stood in for."""
+
+    class Session:
+        conf = {"spark.checkpoint.dir": f"{tmp_path}/shared/"}
+
+    first, second = scratch_dir(Session, "x"), scratch_dir(Session, "x")
+    assert first.startswith(f"{tmp_path}/shared/x-") and first != second
+    assert not scratch_dir(spark, "x").startswith(str(tmp_path))
 
 
 def test_group_scores_equal_window_scores(spark, skewed):

@@ -3,22 +3,33 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weatherloom.sources.writers import scratch_dir
+
 MAX_BROADCAST_ROWS = 100_000
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint for a lookup *table* that is counted first; otherwise the frame as it is.
+def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame | None:
+    """The frame with a broadcast hint if it has at most ``max_rows`` rows, else None.
 
-    Meant for stored lookup tables, where the count is a cheap scan of a few rows. For
-    computed statistics use :func:`join_statistics`, which runs no job of its own.
+    The rows are counted first, so ``df`` should be a stored table (see :func:`stored`).
     """
     seen = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if seen <= max_rows else df
+    return F.broadcast(df) if seen <= max_rows else None
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Computes a table now and reads it back from the shared scratch folder.
+
+    Cuts the lineage: later passes do not compute it again, and a lost executor costs a
+    re-read only.
+    """
+    path = scratch_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def join_statistics(
@@ -27,16 +38,22 @@ def join_statistics(
     keys: Sequence[str],
     spread_by: Sequence[str],
     spread: int = 16,
+    max_rows: int = MAX_BROADCAST_ROWS,
 ) -> DataFrame:
     """Left join per-key statistics onto rows when one key may own a large share of them.
 
-    Each key is cut in ``spread`` parts by a hash of ``spread_by`` and every statistics row
-    is repeated once per part, so no task receives a whole key. If the statistics turn out
-    small at run time, adaptive execution replaces the join by a broadcast.
+    The statistics are stored first. If they then count at most ``max_rows``, they are
+    broadcast and the rows do not move at all. Otherwise each key is cut in ``spread`` parts
+    by a hash of ``spread_by`` and every statistics row is repeated once per part, so that no
+    task receives a whole key.
     """
+    table = stored(stats, "statistics")
+    small = broadcast_if_small(table, max_rows)
+    if small is not None:
+        return rows.join(small, list(keys), "left")
     part = "_part"
     salted = rows.withColumn(part, F.pmod(F.xxhash64(*spread_by), F.lit(spread)).cast("int"))
-    copies = stats.withColumn(part, F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
+    copies = table.withColumn(part, F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
     return salted.join(copies, [*keys, part], "left").drop(part)
 
 
@@ -47,7 +64,3 @@ def with_scalars(rows: DataFrame, one_row: DataFrame) -> DataFrame:
     so its broadcast is bounded.
     """
     return rows.crossJoin(F.broadcast(one_row))
-
-
-def all_of(conditions: Sequence[Column]) -> Column:
-    return reduce(lambda a, b: a & b, conditions)

@@ -8,15 +8,18 @@ from pyspark.sql import functions as F
 from weatherloom.functions.geo import climate_zone, continent_of, parse_coordinate, region_of
 from weatherloom.operators.joining import broadcast_if_small, join_statistics
 
+MAX_BOXES = 10_000
+
 
 def with_country(df: DataFrame, countries: DataFrame, name: str = "country") -> DataFrame:
     """Add ``country_code`` and ``continent`` from a lookup table; unknown names give null.
 
     ``countries`` has columns ``name``, ``country_code``, ``continent``, one row per country.
-    Its size is checked before it is broadcast.
+    Its size is checked before it is broadcast; a larger one is joined by shuffle.
     """
     table = countries.select(F.col("name").alias(name), "country_code", "continent")
-    return df.join(broadcast_if_small(table), name, "left")
+    small = broadcast_if_small(table)
+    return df.join(table if small is None else small, name, "left")
 
 
 def with_coordinates(df: DataFrame, latitude: str = "latitude", longitude: str = "longitude") -> DataFrame:
@@ -47,8 +50,11 @@ def with_area_table(
     hit = F.col(lat).between(F.col("south"), F.col("north")) & F.col(lon).between(
         F.col("west"), F.col("east")
     )
+    small = broadcast_if_small(boxes, MAX_BOXES)
+    if small is None:
+        raise ValueError(f"more than {MAX_BOXES} boxes: cut them into a grid first")
     placed = (
-        points.join(broadcast_if_small(boxes), hit, "left")
+        points.join(small, hit, "left")
         .groupBy(lat, lon)
         .agg(F.min_by("area", "priority").alias("area"))
     )

@@ -99,6 +99,11 @@ def look_back(
         CELL,
         F.slice("_before", F.greatest(F.size("_before") - depth + 1, F.lit(1)), depth).alias("_halo"),
     )
+    # totals of the last 1, 2, ... rows before the cell, so that a row only has to index them
+    averaged = sorted({c for c, *_ in means.values()})
+    for c in averaged:
+        sums, counts = _trailing_totals(F.col("_halo").getField(c))
+        cells = cells.withColumns({f"_sums_{c}": sums, f"_counts_{c}": counts})
     if annotate is not None:
         cells = annotate(cells)
 
@@ -118,16 +123,30 @@ def look_back(
         carried = F.try_element_at(halo, (at - 1 - distance).cast("int"))[column]
         final[name] = F.when(at > distance, F.col(f"_lag_{name}")).otherwise(carried)
     for name, (column, earlier, _) in means.items():
-        lacking = F.lit(earlier) - (at - 1)
-        taken = F.slice(
-            halo, F.greatest(F.size(halo) - lacking + 1, F.lit(1)), F.greatest(lacking, F.lit(0))
-        ).getField(column)
-        taken = F.filter(taken, lambda x: x.isNotNull())
-        more = F.when((lacking > 0) & halo.isNotNull(), F.aggregate(taken, F.lit(0.0), lambda a, x: a + x))
-        count = F.when((lacking > 0) & halo.isNotNull(), F.size(taken))
+        # rows of the frame that lie before the cell, as far as the series reaches back
+        reach = F.least(F.lit(earlier) - (at - 1), F.size(f"_sums_{column}")).cast("int")
+        more = F.when(reach > 0, F.try_element_at(f"_sums_{column}", reach))
+        count = F.when(reach > 0, F.try_element_at(f"_counts_{column}", reach))
         total = F.coalesce(F.col(f"_sum_{name}"), F.lit(0.0)) + F.coalesce(more, F.lit(0.0))
         final[name] = F.try_divide(total, F.col(f"_cnt_{name}") + F.coalesce(count, F.lit(0)))
-    return out.withColumns(final).drop("_halo", CELL, *local)
+    totals = [f"{p}{c}" for p in ("_sums_", "_counts_") for c in averaged]
+    return out.withColumns(final).drop("_halo", CELL, *local, *totals)
+
+
+def _trailing_totals(values: Column) -> tuple[Column, Column]:
+    """Arrays whose m-th entry is the sum (and the count) of the last m values, nulls apart."""
+    known = F.transform(values, lambda x: F.coalesce(x.cast("double"), F.lit(0.0)))
+    ones = F.transform(values, lambda x: F.when(x.isNotNull(), 1.0).otherwise(0.0))
+
+    def running(array: Column) -> Column:
+        none = F.array().cast("array<double>")
+        return F.aggregate(
+            F.reverse(array),
+            none,
+            lambda acc, x: F.array_append(acc, F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0.0)) + x),
+        )
+
+    return running(known), running(ones)
 
 
 def fill_gaps(df: DataFrame, series: Series, columns: Sequence[str]) -> DataFrame:
