@@ -36,19 +36,17 @@ MODEL_NAMES = ["linear", "ridge", "lasso", "random_forest", "gradient_boosting"]
 Z_95 = 1.96
 
 
-def regressor(name: str, rows: int, features: str, label: str, prediction: str, seed: int = 42, **options):
-    """One of the five regressors.
-
-    The squared-penalty strength is per data set, Spark's is per row: alpha / rows. The
-    absolute penalty is per row in both.
-    """
+def regressor(
+    name: str, penalty: float, features: str, label: str, prediction: str, seed: int = 42, **options
+):
+    """One of the five regressors; ``penalty`` is the ridge scale of :func:`ridge_scale`."""
     common = {"featuresCol": features, "labelCol": label, "predictionCol": prediction}
     if name == "linear":
         return LinearRegression(standardization=False, **common)
     if name == "ridge":
         alpha = options.pop("alpha", 1.0)
         return LinearRegression(
-            regParam=alpha / max(rows, 1), elasticNetParam=0.0, standardization=False, **common
+            regParam=alpha * penalty, elasticNetParam=0.0, standardization=False, **common
         )
     if name == "lasso":
         alpha = options.pop("alpha", 1.0)
@@ -60,6 +58,17 @@ def regressor(name: str, rows: int, features: str, label: str, prediction: str,
     raise ValueError(f"Unsupported model type: {name}")
 
 
+def ridge_scale(df: DataFrame, label: str) -> float:
+    """Factor from a squared penalty per data set to Spark's ``regParam``.
+
+    Spark divides the squared error by twice the rows and standardises the label inside, which
+    divides the squared penalty once more by the label's deviation. The absolute penalty of
+    the lasso is per row on both sides and needs no factor.
+    """
+    row = df.agg(F.count(label).alias("n"), F.stddev_pop(label).alias("std")).head()
+    return (row.std or 1.0) / max(row.n, 1)
+
+
 @contextmanager
 def persisted(df: DataFrame):
     """Keeps a table that several passes share, for as long as they run."""
@@ -197,9 +206,9 @@ def fit(
         raise ValueError(f"Unsupported model type: {unknown[0]}")
     known = train.filter(F.col(label).isNotNull()).select(*dict.fromkeys([*features, label]))
     with persisted(known) if keep else nullcontext():
-        rows = known.count()
+        penalty = ridge_scale(known, label)
         stages = _front(features) + [
-            regressor(m, rows, "_features", label, f"{m}_prediction", seed, **dict(options.get(m, {})))
+            regressor(m, penalty, "_features", label, f"{m}_prediction", seed, **dict(options.get(m, {})))
             for m in models
         ]
         pipeline = Pipeline(stages=stages).fit(known)
@@ -346,13 +355,13 @@ DEFAULT_GRIDS = {
 def _search(df, model, features, label, grid, folds, seed, parallelism):
     known = df.filter(F.col(label).isNotNull()).select(*dict.fromkeys([*features, label]))
     with persisted(known):
-        rows = known.count()
-        estimator = regressor(model, rows, "_features", label, "prediction", seed)
+        penalty = ridge_scale(known, label)
+        estimator = regressor(model, penalty, "_features", label, "prediction", seed)
         builder = ParamGridBuilder()
         for name, values in grid.items():
             if name == "alpha":
-                scale = rows if model == "ridge" else 1
-                builder.addGrid(estimator.regParam, [v / scale for v in values])
+                scale = penalty if model == "ridge" else 1.0
+                builder.addGrid(estimator.regParam, [v * scale for v in values])
             else:
                 builder.addGrid(estimator.getParam(name), list(values))
         points = builder.build()
