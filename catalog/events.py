@@ -12,11 +12,11 @@ from weatherloom.operators.series import Series
 from weatherloom.plans import jobs
 from weatherloom.streaming.alerts import alert_totals, with_traffic_light
 
-SERIES = {"ties": ["event_id"], "unit": "day"}
+TIES = {"ties": ["event_id"]}
 
 
 def classified(spark, sf_dir):
-    return extremes.classify_events(sensors(spark, sf_dir), ["city"], **SERIES)
+    return extremes.classify_events(sensors(spark, sf_dir), ["city"], **TIES)
 
 
 def stormy(spark, sf_dir):
@@ -111,13 +111,13 @@ def light_totals(spark, sf_dir):
 
 
 def state_transitions(spark, sf_dir):
-    series = Series.by_time(["city"], "timestamp", **SERIES)
+    series = Series.by_time(["city"], "timestamp", unit="day", **TIES)
     return rounded(extremes.state_transitions(sensors(spark, sf_dir), series, "state"), "share")
 
 
 def event_table(spark, sf_dir):
     """The whole chain with the output contract, summarised per city and day."""
-    table = jobs.event_table(sensors(spark, sf_dir), ["city"], **SERIES)
+    table = jobs.event_table(sensors(spark, sf_dir), ["city"], **TIES)
     return table.groupBy("city", F.date_format("timestamp", "yyyy-MM-dd").alias("day")).agg(
         F.count("*").alias("rows"),
         F.count_if("alert_active").alias("alerts"),

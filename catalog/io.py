@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog.climate import CITY_YEAR, GOOD
-from catalog.events import SERIES, STORMY, _alerts
+from catalog.events import TIES, STORMY, _alerts
 from catalog.mapping import (
     CITY_ORDERS, PLACED_ORDERS, SENSORS, city_orders, placed_orders, r, rounded, sensors, table,
 )
@@ -116,7 +116,7 @@ def eleven_tables(spark, sf_dir):
 
 def event_outputs(spark, sf_dir):
     """The whole event job: four partitioned tables written, their sizes."""
-    options = {"station": ["city"], **SERIES}
+    options = {"station": ["city"], **TIES}
     written = jobs.process_events(spark, sensors(spark, sf_dir), writers.scratch_dir(spark, "events"), options)
     return _counts(spark, {n: p for n, p in written.items() if p is not None})
 

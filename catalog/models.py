@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.events import SERIES
+from catalog.events import TIES
 from catalog.mapping import STATION_MONTH, r, rounded, sensors
 from catalog.climate import station_month
 from weatherloom.operators import event_models, features, models
@@ -143,7 +143,7 @@ def history_and_forecast(spark, sf_dir):
 
 
 def _event_rows(spark, sf_dir):
-    table = jobs.event_table(sensors(spark, sf_dir), ["city"], **SERIES)
+    table = jobs.event_table(sensors(spark, sf_dir), ["city"], **TIES)
     return table.withColumns({"hour": F.hour("timestamp"), "month": F.month("timestamp")})
 
 

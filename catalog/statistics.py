@@ -28,6 +28,12 @@ def zscore_anomalies(spark, sf_dir):
     return rounded(out, "temperature", "temp_zscore").withColumn("date", F.col("date").cast("string"))
 
 
+def station_anomaly_flags(spark, sf_dir):
+    """Flags against each station's own mean and population deviation, counted."""
+    out = anomalies.flag_anomalies(readings(spark, sf_dir), threshold=2.0, keys=["station"], spread_by=["l_orderkey"])
+    return out.groupBy("station").agg(F.count("*").alias("rows"), F.count_if("is_anomaly").alias("anomalies"))
+
+
 def sigma_classes(spark, sf_dir):
     """Classes against the sample deviation, counted."""
     out = anomalies.classify_anomalies(anomalies.flag_anomalies(readings(spark, sf_dir), ddof=1))
@@ -215,7 +221,7 @@ def _chi(name, a, b) -> str:
 QUERIES = {
     f.__name__: f
     for f in (
-        zscore_anomalies, sigma_classes, station_zscores, extreme_thresholds, extreme_events, extreme_stats,
+        zscore_anomalies, station_anomaly_flags, sigma_classes, station_zscores, extreme_thresholds, extreme_events, extreme_stats,
         extremes_by_decade, trend_line, trend_summary, trend_significance, station_trends, quadratic_trend,
         period_stats, correlation_matrix, top_correlations, descriptive_stats, raw_descriptive_stats, chi_square,
     )
@@ -227,6 +233,10 @@ SQL = {
     "zscore_anomalies": f"""WITH {READINGS}, {_MOMENTS.format(std='stddev_pop')}
       SELECT station, l_orderkey, l_linenumber, CAST(date AS VARCHAR) AS date, {r('temperature')} AS temperature,
         {r('(temperature - mu) / sd')} AS temp_zscore, abs((temperature - mu) / sd) > 1.5 AS is_anomaly FROM readings, m""",
+    "station_anomaly_flags": f"""WITH {READINGS}, m AS (
+        SELECT station, avg(temperature) AS mu, stddev_pop(temperature) AS sd FROM readings GROUP BY station)
+      SELECT station, count(*) AS rows, count(*) FILTER (abs((temperature - mu) / sd) > 2) AS anomalies
+      FROM readings JOIN m USING (station) GROUP BY station""",
     "sigma_classes": f"""WITH {READINGS}, {_MOMENTS.format(std='stddev_samp')},
       z AS (SELECT abs((temperature - mu) / sd) AS z FROM readings, m)
       SELECT CASE WHEN z < 1 THEN 'normal' WHEN z < 2 THEN 'moderate' ELSE 'extreme' END AS anomaly_class,

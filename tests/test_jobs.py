@@ -145,6 +145,9 @@ def test_both_deviations_of_the_anomaly_flag(spark):
     sample = anomalies.flag_anomalies(df, threshold=1.9, ddof=1).orderBy("temperature").collect()[-1]
     assert population.temp_zscore == pytest.approx(2.0) and population.is_anomaly
     assert sample.temp_zscore == pytest.approx(1.7889, abs=1e-4) and not sample.is_anomaly
+    two = df.withColumn("k", F.lit("a")).unionByName(df.withColumn("k", F.lit("b")))
+    grouped = anomalies.flag_anomalies(two, threshold=1.9, keys=["k"]).filter("is_anomaly").collect()
+    assert [(r.k, round(r.temp_zscore, 9)) for r in sorted(grouped)] == [("a", 2.0), ("b", 2.0)]
     constant = anomalies.flag_anomalies(df.filter("temperature = 0"))
     assert constant.filter("is_anomaly or temp_zscore is not null").count() == 0
 

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from weatherloom.operators import anomalies, joining
+from weatherloom.operators import anomalies, extremes, joining
 from weatherloom.operators.quantiles import bounded_quantiles, exact_quantiles
 from weatherloom.sources.writers import scratch_dir
 from weatherloom.operators.series import Series, cell_unit_for, fill_gaps, look_back, positions
@@ -81,9 +81,29 @@ def test_no_task_gets_a_whole_station(spark, skewed):
 
 
 def test_cell_unit_follows_the_fullest_cell(spark, skewed):
-    assert cell_unit_for(skewed, ["station"], "ts", 10_000) == "month"
+    assert cell_unit_for(skewed, ["station"], "ts", 10_000) == "year"
+    assert cell_unit_for(skewed, ["station"], "ts", 800) == "month"
     assert cell_unit_for(skewed, ["station"], "ts", 100) == "day"
     assert cell_unit_for(skewed, ["station"], "ts", 3) == "hour"
+    assert cell_unit_for(skewed.filter("id < 0"), ["station"], "ts") == "year"
+
+
+@pytest.mark.parametrize("unit", [None, "hour", "day", "month"])
+def test_events_do_not_depend_on_the_cells(spark, skewed, unit):
+    rows = skewed.filter("v is not null").selectExpr(
+        "*", "v temperature_hourly", "ts timestamp", "0D rain_mm", "0D wind_speed_kmh"
+    )
+    got = extremes.classify_events(rows, ["station"], ["id"], unit)
+    month = Window.partitionBy("station", F.month("ts"))
+    want = got.withColumns(
+        {
+            "z": (F.col("v") - F.avg("v").over(month)) / F.stddev("v").over(month),
+            "roll": F.avg("v").over(in_order().rowsBetween(-24, 0)),
+        }
+    )
+    trend = F.when(F.col("v") > F.col("roll") + 1, "UP").when(F.col("v") < F.col("roll") - 1, "DOWN").otherwise("STABLE")
+    assert want.count() == 2400
+    assert want.filter((F.abs(F.col("anomaly_score") - F.col("z")) > 1e-9) | (F.col("trend_direction") != trend)).count() == 0
 
 
 NAMES = {"a": 0.0, "b": 0.1, "c": 0.5, "d": 0.9, "e": 0.99, "f": 1.0}

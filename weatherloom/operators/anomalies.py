@@ -28,15 +28,26 @@ def station_anomalies(year_table: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def flag_anomalies(
-    df: DataFrame, value: str = "temperature", threshold: float = 3.0, ddof: int = 0
+    df: DataFrame,
+    value: str = "temperature",
+    threshold: float = 3.0,
+    ddof: int = 0,
+    keys: Sequence[str] = (),
+    spread_by: Sequence[str] | None = None,
 ) -> DataFrame:
-    """z-score against the whole table; ``ddof`` 0 divides by the population std."""
+    """z-score against the whole table, or against the rows with the same ``keys``.
+
+    ``ddof`` 0 divides by the population std, 1 by the sample std.
+    """
     std = F.stddev_pop if ddof == 0 else F.stddev_samp
-    moments = df.agg(F.avg(value).alias("_mean"), std(value).alias("_std"))
+    moments = df.groupBy(*keys).agg(F.avg(value).alias("_mean"), std(value).alias("_std"))
+    if keys:
+        joined = join_statistics(df, moments, keys, list(spread_by or [value]))
+    else:
+        joined = with_scalars(df, moments)
     z = F.try_divide(F.col(value) - F.col("_mean"), F.col("_std"))
-    flagged = with_scalars(df, moments).withColumn("temp_zscore", z)
     flag = F.coalesce(F.abs("temp_zscore") > threshold, F.lit(False))
-    return flagged.withColumn("is_anomaly", flag).drop("_mean", "_std")
+    return joined.withColumn("temp_zscore", z).withColumn("is_anomaly", flag).drop("_mean", "_std")
 
 
 def classify_anomalies(df: DataFrame, z: str = "temp_zscore") -> DataFrame:

@@ -11,7 +11,7 @@ from weatherloom.functions import rules
 from weatherloom.functions.climate import zscore
 from weatherloom.operators.joining import join_statistics
 from weatherloom.operators.quantiles import exact_quantiles
-from weatherloom.operators.series import CELL, Series, look_back
+from weatherloom.operators.series import CELL, Series, cell_unit_for, look_back
 
 EARTH_RADIUS_KM = 6371.0
 
@@ -20,16 +20,19 @@ def classify_events(
     df: DataFrame,
     station: Sequence[str] = ("city",),
     ties: Sequence[str] = (),
-    unit: str = "month",
+    unit: str | None = None,
     window: int = 24,
 ) -> DataFrame:
     """Add ``anomaly_score, event_type, event_intensity, trend_direction``.
 
     The score compares with mean and std of the station's calendar month, the trend with
     the trailing mean of ``window`` earlier rows and the current one. Both are attached to
-    the cells of the series, so the rows are shuffled once.
+    the cells of the series, so the rows are shuffled once. ``unit`` is month, day or hour;
+    None counts the fullest month and day first and takes the coarsest that is small enough.
     """
     keys = list(station)
+    if unit is None:
+        unit = cell_unit_for(df, keys, "timestamp", units=("month", "day", "hour"))
     value = F.col("temperature_hourly")
     normal = df.groupBy(*keys, F.month("timestamp").alias("_month")).agg(
         F.avg(value).alias("_mean"), F.stddev(value).alias("_std")

@@ -52,18 +52,24 @@ class Series:
         return Window.partitionBy(*self.keys).orderBy(CELL)
 
 
-def cell_unit_for(df: DataFrame, keys: Sequence[str], time: str, max_rows: int = 5_000_000) -> str:
-    """Coarsest of month, day, hour whose fullest cell stays below ``max_rows`` (one job)."""
-    hours = df.groupBy(*keys, F.date_trunc("hour", time).alias("_h")).agg(F.count("*").alias("_n"))
-    fullest = None
-    for unit in ("month", "day"):
-        sums = hours.groupBy(*keys, F.date_trunc(unit, "_h").alias("_u")).agg(F.sum("_n").alias("_n"))
-        top = sums.agg(F.lit(unit).alias("unit"), F.max("_n").alias("n"))
-        fullest = top if fullest is None else fullest.unionAll(top)
-    for row in fullest.collect():
-        if row.n is None or row.n <= max_rows:
-            return row.unit
-    return "hour"
+def cell_unit_for(
+    df: DataFrame,
+    keys: Sequence[str],
+    time: str,
+    max_rows: int = 5_000_000,
+    units: Sequence[str] = ("year", "month", "day", "hour"),
+) -> str:
+    """Coarsest unit whose fullest cell stays below ``max_rows``; the last one if none does.
+
+    One aggregate per unit tried, over the keys and the time only. Coarse cells keep the
+    cell table small; fine ones keep a crowded series out of a single task.
+    """
+    for unit in units[:-1]:
+        cells = df.groupBy(*keys, F.date_trunc(unit, time).alias("_u")).agg(F.count("*").alias("_n"))
+        fullest = cells.agg(F.max("_n").alias("n")).head().n
+        if fullest is None or fullest <= max_rows:
+            return unit
+    return units[-1]
 
 
 def look_back(

@@ -38,15 +38,10 @@ EVENT_TABLE = [
 def series_tables(rows: DataFrame, by: Sequence[str] = ()) -> dict[str, DataFrame]:
     """Monthly, yearly and anomaly tables of series text, per source file when ``by`` names it."""
     good = clean(rows)
-    if not by:
-        flagged = anomalies.flag_anomalies(good)
-    else:
-        scored = anomalies.value_zscores(good, "temperature", list(by), ["year", "month", "temperature"])
-        flagged = scored.withColumn("is_anomaly", F.coalesce(F.abs("anomaly_score") > 3.0, F.lit(False)))
     return {
         "monthly": aggregates.monthly(good, by),
         "yearly": aggregates.yearly(good, by),
-        "anomalies": flagged,
+        "anomalies": anomalies.flag_anomalies(good, keys=by, spread_by=["year", "month", "temperature"]),
     }
 
 
@@ -158,7 +153,7 @@ def event_table(
     rows: DataFrame,
     station: Sequence[str] = ("city", "country"),
     ties: Sequence[str] = (),
-    unit: str = "month",
+    unit: str | None = None,
     hourly: bool = True,
     storms: bool = True,
 ) -> DataFrame:
