@@ -12,14 +12,13 @@ from pyspark.sql import functions as F
 
 from weatherloom.functions.geo import parse_coordinate
 from weatherloom.functions.rules import intensity_class
-from weatherloom.operators.joining import with_scalars
+from weatherloom.operators.joining import stored, with_scalars
 from weatherloom.operators.models import (
     Trained,
     as_rows,
     fit,
     grid_search,
     k_fold_rmse,
-    persisted,
     regression_metrics,
 )
 from weatherloom.operators.quality import DOMAINS
@@ -91,22 +90,22 @@ def train_intensity(
         raise ValueError(f"No {label} column found in training data")
     table, names = intensity_features(df.filter(F.col(label) > 0), **dict(vocabularies or {}))
     table = table.select(*names, label)
-    with persisted(table):
-        settings = {m: dict(TREES[m], **dict((options or {}).get(m, {}))) for m in MODEL_SETS[kind]}
-        cv = None
-        if tune and kind == "random_forest":
-            grid = {"numTrees": [50, 100, 200], "maxDepth": [10, 15, 20], "minInstancesPerNode": [1, 2, 5]}
-            best = grid_search(table, kind, names, label, grid, folds, seed).head()
-            settings[kind].update({k: int(v) for k, v in best.parameters.items()})
-            cv = best.cv_rmse
-        elif folds >= 2:
-            # rows of an event table carry no order here, so a row hash makes the folds
-            folded = table.withColumn("fold", F.pmod(F.xxhash64(F.lit(seed), *names, label), F.lit(folds)))
-            errors = k_fold_rmse(folded, MODEL_SETS[kind], names, label, folds, seed=seed, options=settings)
-            cv = errors.filter(F.col("model") == "ensemble").head().cv_rmse_mean
-        trained = fit(table, MODEL_SETS[kind], names, label, clip=(0.0, 10.0), seed=seed, options=settings, keep=False)
-        trained.extra["vocabularies"] = {k: list(v) for k, v in (vocabularies or {}).items()}
-        metrics = as_rows(trained.evaluate(table))
+    table = stored(table, "training")
+    settings = {m: dict(TREES[m], **dict((options or {}).get(m, {}))) for m in MODEL_SETS[kind]}
+    cv = None
+    if tune and kind == "random_forest":
+        grid = {"numTrees": [50, 100, 200], "maxDepth": [10, 15, 20], "minInstancesPerNode": [1, 2, 5]}
+        best = grid_search(table, kind, names, label, grid, folds, seed).head()
+        settings[kind].update({k: int(v) for k, v in best.parameters.items()})
+        cv = best.cv_rmse
+    elif folds >= 2:
+        # rows of an event table carry no order here, so a row hash makes the folds
+        folded = table.withColumn("fold", F.pmod(F.xxhash64(F.lit(seed), *names, label), F.lit(folds)))
+        errors = k_fold_rmse(folded, MODEL_SETS[kind], names, label, folds, seed=seed, options=settings)
+        cv = errors.filter(F.col("model") == "ensemble").head().cv_rmse_mean
+    trained = fit(table, MODEL_SETS[kind], names, label, clip=(0.0, 10.0), seed=seed, options=settings, keep=False)
+    trained.extra["vocabularies"] = {k: list(v) for k, v in (vocabularies or {}).items()}
+    metrics = as_rows(trained.evaluate(table))
     more = {"n_features": F.lit(len(names)), "cv_rmse": F.lit(cv).cast("double")}
     return trained, metrics.withColumns(more)
 
@@ -140,10 +139,10 @@ def train_event_intensity(
         events = df
     known = events.select(*names, label).dropna()
     forest = {"random_forest": {"numTrees": 200, "maxDepth": 12, "minInstancesPerNode": 5, **dict(options or {})}}
-    with persisted(known):
-        train, test = known.randomSplit([1 - test_share, test_share], seed)
-        trained = fit(train, ["random_forest"], names, label, seed=seed, options=forest, keep=False)
-        metrics = as_rows(regression_metrics(trained.transform(test), label, trained.columns()))
+    known = stored(known, "training")
+    train, test = known.randomSplit([1 - test_share, test_share], seed)
+    trained = fit(train, ["random_forest"], names, label, seed=seed, options=forest, keep=False)
+    metrics = as_rows(regression_metrics(trained.transform(test), label, trained.columns()))
     return trained, metrics
 
 
@@ -170,20 +169,20 @@ def train_event_classifier(
     """Balanced forest; the model predicts the class name into ``predicted_<label>``."""
     names = [c for c in features if c in df.columns]
     known = balanced_weights(df.select(*names, label).dropna(), label)
-    with persisted(known):
-        index = StringIndexer(inputCol=label, outputCol="_label", stringOrderType="alphabetAsc", handleInvalid="keep")
-        labels = index.fit(known)
-        stages = [
-            labels,
-            VectorAssembler(inputCols=names, outputCol="_raw", handleInvalid="keep"),
-            StandardScaler(inputCol="_raw", outputCol="_features", withMean=True),
-            RandomForestClassifier(
-                featuresCol="_features", labelCol="_label", weightCol="weight", predictionCol="_class",
-                numTrees=trees, maxDepth=depth, minInstancesPerNode=least_rows, seed=seed,
-            ),
-            IndexToString(inputCol="_class", outputCol=f"predicted_{label}", labels=labels.labels + ["?"]),
-        ]
-        return Pipeline(stages=stages).fit(known)
+    known = stored(known, "training")
+    index = StringIndexer(inputCol=label, outputCol="_label", stringOrderType="alphabetAsc", handleInvalid="keep")
+    labels = index.fit(known)
+    stages = [
+        labels,
+        VectorAssembler(inputCols=names, outputCol="_raw", handleInvalid="keep"),
+        StandardScaler(inputCol="_raw", outputCol="_features", withMean=True),
+        RandomForestClassifier(
+            featuresCol="_features", labelCol="_label", weightCol="weight", predictionCol="_class",
+            numTrees=trees, maxDepth=depth, minInstancesPerNode=least_rows, seed=seed,
+        ),
+        IndexToString(inputCol="_class", outputCol=f"predicted_{label}", labels=labels.labels + ["?"]),
+    ]
+    return Pipeline(stages=stages).fit(known)
 
 
 def class_scores(scored: DataFrame, label: str = "event_type") -> DataFrame:

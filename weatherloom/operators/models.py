@@ -8,11 +8,9 @@ from __future__ import annotations
 
 import json
 from collections.abc import Mapping, Sequence
-from contextlib import contextmanager, nullcontext
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -30,6 +28,7 @@ from weatherloom.operators.features import (
     expanding_folds,
     time_features,
 )
+from weatherloom.operators.joining import stored
 from weatherloom.operators.series import Series
 
 MODEL_NAMES = ["linear", "ridge", "lasso", "random_forest", "gradient_boosting"]
@@ -69,16 +68,6 @@ def ridge_scale(df: DataFrame, label: str) -> float:
     return (row.std or 1.0) / max(row.n, 1)
 
 
-@contextmanager
-def persisted(df: DataFrame):
-    """Keeps a table that several passes share, for as long as they run."""
-    df.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        yield df
-    finally:
-        df.unpersist()
-
-
 def as_rows(metrics: DataFrame) -> DataFrame:
     """A metrics table computed now: one row per model, fold or part, whatever the data size."""
     return metrics.sparkSession.createDataFrame(metrics.collect(), metrics.schema)
@@ -197,21 +186,21 @@ def fit(
 ) -> Trained:
     """Fits all named models on the same standardised features, as one pipeline.
 
-    ``keep`` persists the training rows while the models pass over them; switch it off when
-    ``train`` already comes from a persisted table.
+    ``keep`` writes the training rows to the shared folder first, so that the passes of the
+    models read a plain table; switch it off when ``train`` already comes from one.
     """
     options = options or {}
     unknown = [m for m in models if m not in MODEL_NAMES]
     if unknown:
         raise ValueError(f"Unsupported model type: {unknown[0]}")
     known = train.filter(F.col(label).isNotNull()).select(*dict.fromkeys([*features, label]))
-    with persisted(known) if keep else nullcontext():
-        penalty = ridge_scale(known, label)
-        stages = _front(features) + [
-            regressor(m, penalty, "_features", label, f"{m}_prediction", seed, **dict(options.get(m, {})))
-            for m in models
-        ]
-        pipeline = Pipeline(stages=stages).fit(known)
+    known = stored(known, "training") if keep else known
+    penalty = ridge_scale(known, label)
+    stages = _front(features) + [
+        regressor(m, penalty, "_features", label, f"{m}_prediction", seed, **dict(options.get(m, {})))
+        for m in models
+    ]
+    pipeline = Pipeline(stages=stages).fit(known)
     return Trained(pipeline, list(models), list(features), label, year_range, clip)
 
 
@@ -234,12 +223,12 @@ def train_split(
 ) -> tuple[Trained, DataFrame]:
     """Fits on the rows that are not test rows; metrics of both parts as rows."""
     used = marked.select(*dict.fromkeys([*features, label]), flag)
-    with persisted(used):
-        trained = fit(used.filter(~F.col(flag)), models, features, label, keep=False, **fit_options)
-        columns = {**trained.columns(), "ensemble": "prediction"}
-        part = F.when(F.col(flag), "test").otherwise("train").alias("part")
-        scored = trained.transform(used).select(part, label, *columns.values())
-        return trained, as_rows(regression_metrics(scored, label, columns, ["part"]))
+    used = stored(used, "training")
+    trained = fit(used.filter(~F.col(flag)), models, features, label, keep=False, **fit_options)
+    columns = {**trained.columns(), "ensemble": "prediction"}
+    part = F.when(F.col(flag), "test").otherwise("train").alias("part")
+    scored = trained.transform(used).select(part, label, *columns.values())
+    return trained, as_rows(regression_metrics(scored, label, columns, ["part"]))
 
 
 def fold_metrics(
@@ -254,11 +243,11 @@ def fold_metrics(
     """Expanding-window validation: one row per fold and model."""
     parts = []
     used = folded.select(*dict.fromkeys([*features, label]), fold)
-    with persisted(used):
-        for i in range(1, splits + 1):
-            early, now = used.filter(F.col(fold) < i), used.filter(F.col(fold) == i)
-            trained = fit(early, models, features, label, keep=False, **fit_options)
-            parts.append(as_rows(trained.evaluate(now).withColumn("fold", F.lit(i))))
+    used = stored(used, "training")
+    for i in range(1, splits + 1):
+        early, now = used.filter(F.col(fold) < i), used.filter(F.col(fold) == i)
+        trained = fit(early, models, features, label, keep=False, **fit_options)
+        parts.append(as_rows(trained.evaluate(now).withColumn("fold", F.lit(i))))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -295,11 +284,11 @@ def k_fold_rmse(
     """Per model and for the ensemble: root of the mean and of the spread of the folds' squared errors."""
     parts = []
     used = folded.select(*dict.fromkeys([*features, label]), fold)
-    with persisted(used):
-        for i in range(folds):
-            others, now = used.filter(F.col(fold) != i), used.filter(F.col(fold) == i)
-            trained = fit(others, models, features, label, keep=False, **fit_options)
-            parts.append(as_rows(trained.evaluate(now)))
+    used = stored(used, "training")
+    for i in range(folds):
+        others, now = used.filter(F.col(fold) != i), used.filter(F.col(fold) == i)
+        trained = fit(others, models, features, label, keep=False, **fit_options)
+        parts.append(as_rows(trained.evaluate(now)))
     errors = reduce(DataFrame.unionByName, parts).withColumn("_mse", F.col("rmse") ** 2)
     return errors.groupBy("model").agg(
         F.sqrt(F.avg("_mse")).alias("cv_rmse_mean"), F.sqrt(F.stddev_pop("_mse")).alias("cv_rmse_std")
@@ -323,11 +312,11 @@ def train_ensemble(
     table = chronological_split(expanding_folds(df, order, splits), order)
     table = table.select(*dict.fromkeys([*features, label]), "fold", "is_test")
     names = ["stage", "model", "rmse", "mae", "r2"]
-    with persisted(table):
-        _, early = train_split(table, models, features, label, **fit_options)
-        folds = fold_summary(fold_metrics(table, models, features, label, splits, **fit_options))
-        final = fit(table, models, features, label, keep=False, **fit_options)
-        whole = as_rows(final.evaluate(table)).withColumn("stage", F.lit("final"))
+    table = stored(table, "training")
+    _, early = train_split(table, models, features, label, **fit_options)
+    folds = fold_summary(fold_metrics(table, models, features, label, splits, **fit_options))
+    final = fit(table, models, features, label, keep=False, **fit_options)
+    whole = as_rows(final.evaluate(table)).withColumn("stage", F.lit("final"))
     parts = [early.withColumnRenamed("part", "stage").select(*names), whole.select(*names)]
     for stat in ("mean", "std"):
         columns = [F.col(f"cv_{m}_{stat}").alias(m) for m in names[2:]]
@@ -354,25 +343,25 @@ DEFAULT_GRIDS = {
 
 def _search(df, model, features, label, grid, folds, seed, parallelism):
     known = df.filter(F.col(label).isNotNull()).select(*dict.fromkeys([*features, label]))
-    with persisted(known):
-        penalty = ridge_scale(known, label)
-        estimator = regressor(model, penalty, "_features", label, "prediction", seed)
-        builder = ParamGridBuilder()
-        for name, values in grid.items():
-            if name == "alpha":
-                scale = penalty if model == "ridge" else 1.0
-                builder.addGrid(estimator.regParam, [v * scale for v in values])
-            else:
-                builder.addGrid(estimator.getParam(name), list(values))
-        points = builder.build()
-        search = CrossValidator(
-            estimator=Pipeline(stages=_front(features) + [estimator]),
-            estimatorParamMaps=points,
-            evaluator=RegressionEvaluator(labelCol=label, predictionCol="prediction", metricName="rmse"),
-            numFolds=folds,
-            seed=seed,
-            parallelism=parallelism,
-        ).fit(known)
+    known = stored(known, "training")
+    penalty = ridge_scale(known, label)
+    estimator = regressor(model, penalty, "_features", label, "prediction", seed)
+    builder = ParamGridBuilder()
+    for name, values in grid.items():
+        if name == "alpha":
+            scale = penalty if model == "ridge" else 1.0
+            builder.addGrid(estimator.regParam, [v * scale for v in values])
+        else:
+            builder.addGrid(estimator.getParam(name), list(values))
+    points = builder.build()
+    search = CrossValidator(
+        estimator=Pipeline(stages=_front(features) + [estimator]),
+        estimatorParamMaps=points,
+        evaluator=RegressionEvaluator(labelCol=label, predictionCol="prediction", metricName="rmse"),
+        numFolds=folds,
+        seed=seed,
+        parallelism=parallelism,
+    ).fit(known)
     names = [{p.name: v for p, v in point.items()} for point in points]
     return list(zip(names, search.avgMetrics))
 
