@@ -3,18 +3,47 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from weatherloom.llm import mixing, sharding
-from weatherloom.llm.shared import table
+from weatherloom.llm import language, mixing, ranking, sharding, votes
+from weatherloom.llm.shared import part_of, stored, table
+
+
+def held_out(folds: int, part: int):
+    """False for a null id."""
+    return F.coalesce(part_of("doc_id", folds, "p") == part, F.lit(False))
+
+
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language.identify(docs.select("doc_id", "text"), language.train(docs, folds=3, held=1))
+    return found.select("doc_id", held_out(3, 1).alias("held_out"), "lang_pred", "score", "rejected")
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_size(table(spark, sf_dir, "documents"))
 
 
+def op4_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    measured = votes.with_measures(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return votes.judge(stored(measured.drop("text"), "vote-measures")).select("doc_id", *votes.BASE, "base_failed", "kept", "posterior")
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op3_sharding": op3_sharding, "op8_mixing": op8_mixing}
+def op9_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = ranking.train(docs, table(spark, sf_dir, "labels"), cut=0.3, folds=5, held=0)
+    return ranking.score(docs, model).select("doc_id", held_out(5, 0).alias("held_out"), "score", "predicted")
+
+
+QUERIES = {
+    "op1_language": op1_language,
+    "op3_sharding": op3_sharding,
+    "op4_quality_votes": op4_quality_votes,
+    "op8_mixing": op8_mixing,
+    "op9_quality_ranking": op9_quality_ranking,
+}
 SQL: dict[str, str] = {}
