@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weatherloom.llm import language, mixing, ranking, sharding, votes
+from weatherloom.llm import decontamination, language, mixing, ranking, sharding, votes
 from weatherloom.llm.shared import part_of, stored, table
 
 
@@ -29,6 +29,10 @@ def op4_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return votes.judge(stored(measured.drop("text"), "vote-measures")).select("doc_id", *votes.BASE, "base_failed", "kept", "posterior")
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -43,7 +47,8 @@ QUERIES = {
     "op1_language": op1_language,
     "op3_sharding": op3_sharding,
     "op4_quality_votes": op4_quality_votes,
+    "op6_decontamination": op6_decontamination,
     "op8_mixing": op8_mixing,
     "op9_quality_ranking": op9_quality_ranking,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op6_decontamination": decontamination.SQL}
