@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weatherloom.llm import decontamination, language, mixing, ranking, sharding, votes
+from weatherloom.llm import decontamination, language, mixing, personal, ranking, sharding, votes
 from weatherloom.llm.shared import part_of, stored, table
 
 
@@ -33,6 +33,10 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.digest(personal.find(table(spark, sf_dir, "documents")))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -48,6 +52,7 @@ QUERIES = {
     "op3_sharding": op3_sharding,
     "op4_quality_votes": op4_quality_votes,
     "op6_decontamination": op6_decontamination,
+    "op7_personal_data": op7_personal_data,
     "op8_mixing": op8_mixing,
     "op9_quality_ranking": op9_quality_ranking,
 }
