@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weatherloom.llm import decontamination, language, mixing, personal, ranking, sharding, votes
+from weatherloom.llm import decontamination, extraction, language, mixing, personal, ranking, sharding, votes, warc
 from weatherloom.llm.shared import part_of, stored, table
 
 
@@ -20,6 +20,10 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(3, 1).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(spark, table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_size(table(spark, sf_dir, "documents"))
 
@@ -29,6 +33,10 @@ def op4_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return votes.judge(stored(measured.drop("text"), "vote-measures")).select("doc_id", *votes.BASE, "base_failed", "kept", "posterior")
 
 
+def op5_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -49,11 +57,13 @@ def op9_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_language": op1_language,
+    "op2_warc": op2_warc,
     "op3_sharding": op3_sharding,
     "op4_quality_votes": op4_quality_votes,
+    "op5_extraction": op5_extraction,
     "op6_decontamination": op6_decontamination,
     "op7_personal_data": op7_personal_data,
     "op8_mixing": op8_mixing,
     "op9_quality_ranking": op9_quality_ranking,
 }
-SQL: dict[str, str] = {"op6_decontamination": decontamination.SQL}
+SQL: dict[str, str] = {"op2_warc": warc.SQL, "op6_decontamination": decontamination.SQL}
