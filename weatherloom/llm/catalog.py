@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weatherloom.llm import decontamination, extraction, language, mixing, personal, ranking, sharding, votes, warc
+from weatherloom.llm import decontamination, extraction, language, mixing, near_duplicates, personal, ranking, sharding, votes, warc
 from weatherloom.llm.shared import part_of, stored, table
 
 
@@ -55,6 +55,10 @@ def op9_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.score(docs, model).select("doc_id", held_out(5, 0).alias("held_out"), "score", "predicted")
 
 
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_language": op1_language,
     "op2_warc": op2_warc,
@@ -65,5 +69,6 @@ QUERIES = {
     "op7_personal_data": op7_personal_data,
     "op8_mixing": op8_mixing,
     "op9_quality_ranking": op9_quality_ranking,
+    "op10_near_duplicates": op10_near_duplicates,
 }
 SQL: dict[str, str] = {"op2_warc": warc.SQL, "op6_decontamination": decontamination.SQL}
