@@ -152,6 +152,13 @@ def decontaminate(docs: DataFrame, items: DataFrame, width: int = WIDTH, text: s
     )
 
 
+def clean(docs: DataFrame, items: DataFrame, width: int = WIDTH, text: str = "text", key: str = "doc_id", item_key: str = "item_id", most_broadcast: int = 1_000_000) -> DataFrame:
+    """The documents without any phrase match, with all their columns."""
+    _, index, tests, hint = build(docs, items, width, text, key, item_key, most_broadcast)
+    found = stored(phrase_matches(index, tests, hint).select(F.col("doc_id").alias("_d"), F.col("h").alias("_h")).distinct(), "bench-found")
+    return docs.join(found, docs[key].eqNullSafe(found["_d"]) & (F.xxhash64(docs[text]) == found["_h"]), "left_anti")
+
+
 #: A word before lower-casing, to count words.
 GAPLESS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 

@@ -153,3 +153,12 @@ def mix(
     got = pieces.join(used, ["place", "block"]).groupBy("place", "start").agg(F.sum(F.col("words") * F.col("uses")).alias("got"))
     taken = F.when(F.col("size") > 0, F.coalesce("got", F.lit(0))).otherwise(0).cast("long")
     return placed.join(got, ["place", "start"], "left").select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"))
+
+
+def mixed(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", **options) -> DataFrame:
+    """The mix as documents: each row as often as the mix takes its words, rounded (0 to 2 times). Rows that share an id
+    share their count; rows without words are left out."""
+    taken = mix(docs, text=text, source=source, key=key, **options).groupBy("doc_id").agg(F.sum("taken").alias("t"), F.sum("size").alias("s"))
+    copies = taken.filter("s > 0").select(F.col("doc_id").alias("_id"), F.round(F.col("t") / F.col("s")).cast("int").alias("_copies")).filter("_copies > 0")
+    repeated = docs.join(copies, docs[key].eqNullSafe(copies["_id"]))
+    return repeated.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).drop("_id", "_copies", "_copy")

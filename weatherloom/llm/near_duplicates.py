@@ -216,3 +216,11 @@ def near_duplicates(
     found = signed.select("doc_id", "node", "n_shingles").join(named, F.col("node") == F.col("of"), "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return found.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
+    """The documents whose id is their component's, once each: rows that repeat id and text are dropped too. A null id
+    stays if it is in no group with another id."""
+    kept = near_duplicates(docs, text=text, key=key, **options).filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
+    once = docs.join(kept, docs[key].eqNullSafe(kept["_kept"]), "left_semi")
+    return once.withColumn("_h", F.xxhash64(text)).dropDuplicates([key, "_h"]).drop("_h")
