@@ -138,8 +138,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, width: int = WIDTH, text: s
     runs = stored(phrase_matches(index, tests, hint), "bench-runs")
     places = runs.select("doc_id", "h", "first", "last").distinct()
     hits = places.select("doc_id", "h", F.explode(F.sequence("first", "last")).alias("pos")).distinct().groupBy("doc_id", "h").agg(F.count("*").alias("n_hit"))
-    listed = runs.groupBy("doc_id", "h").agg(F.sort_array(F.collect_set("item")).alias("ids"))
-    found = hits.join(listed, ["doc_id", "h"]).withColumnsRenamed({"doc_id": "d", "h": "k"})
+    listed = runs.groupBy(F.col("doc_id").alias("e"), F.col("h").alias("l")).agg(F.sort_array(F.collect_set("item")).alias("ids"))
+    found = hits.join(listed, F.col("doc_id").eqNullSafe(F.col("e")) & (F.col("h") == F.col("l")))
+    found = found.select(F.col("doc_id").alias("d"), F.col("h").alias("k"), "n_hit", "ids")
     counted = keyed.select("doc_id", "h", F.coalesce(F.regexp_count("text", F.lit(GAPLESS)), F.lit(0)).cast("long").alias("n_words"))
     joined = counted.join(found, counted.doc_id.eqNullSafe(found.d) & (counted.h == found.k), "left")
     return joined.select(

@@ -18,6 +18,8 @@ Repeated rows share a component. Empty table: no rows. Whole texts are used. Ext
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import xxhash
@@ -78,20 +80,24 @@ def bitmap(shingles: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, width: int, chunks: int) -> DataFrame:
-    """Per document: node (None without words), n_shingles, signature, bitmap."""
+    """Per document: node (null without words), n_shingles, signature, bits."""
     a, b = coefficients(PLACES * chunks)
 
-    def sign(batches):
+    @F.pandas_udf("node long, n_shingles long, signature array<int>, bits array<long>")
+    def sign(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         known: dict[bytes, int] = {}
-        for batch in batches:
-            rows = []
-            for doc, text in zip(batch["doc_id"], batch["text"]):
+        for texts in batches:
+            nodes, sizes, signs, maps = [], [], [], []
+            for text in texts:
                 node, s = shingle_hashes(text, width, known)
-                rows.append((doc, node, len(s), minima(s, a, b) if len(s) else None, bitmap(s) if len(s) else None))
-            frame = pd.DataFrame(rows, columns=["doc_id", "node", "n_shingles", "signature", "bits"])
-            yield frame.astype({"doc_id": "Int64", "node": "Int64"})
-
-    return docs.mapInPandas(sign, "doc_id long, node long, n_shingles long, signature array<int>, bits array<long>")
+                nodes.append(node)
+                sizes.append(len(s))
+                signs.append(minima(s, a, b) if len(s) else None)
+                maps.append(bitmap(s) if len(s) else None)
+            # 64-bit hashes with gaps: a plain column would turn to floating point
+            yield pd.DataFrame({"node": pd.array(nodes, "Int64"), "n_shingles": sizes, "signature": signs, "bits": maps})
+
+    return docs.select("doc_id", sign("text").alias("s")).select("doc_id", "s.*")
 
 
 def chunk_keys(chunks: int) -> Column:
