@@ -138,22 +138,29 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 100, level:
                     out.write(data)
                     rows.append((url_key(url), page_id, name, at, len(data), digest, "response" if refers is None else "revisit"))
                     at += len(data)
-                captures = pd.DataFrame(rows, columns=["key", "page_id", "file", "offset", "length", "digest", "kind"])
-                yield captures.astype({"page_id": "Int64"})
+                yield with_ids(rows, ["key", "page_id", "file", "offset", "length", "digest", "kind"])
         finally:
             if out is not None:
                 out.close()
 
-    return stored(with_roles(pages, least_bytes).mapInPandas(write, CAPTURES), "warc-captures")
+    # ids go as text: pandas turns integers with gaps into floating point
+    roles = with_roles(pages, least_bytes).withColumns({c: F.col(c).cast("string") for c in ("page_id", "refers_to")})
+    return stored(roles.mapInPandas(write, CAPTURES), "warc-captures")
 
 
 def none_or_int(value) -> int | None:
-    return None if pd.isna(value) else int(value)
+    return None if value is None else int(value)
+
+
+def with_ids(rows: list, columns: list[str]) -> pd.DataFrame:
+    """A frame whose id columns stay integers where some are missing."""
+    frame = pd.DataFrame(rows, columns=columns, dtype=object)
+    return frame.astype({c: "Int64" for c in ("page_id", "refers_to") if c in columns})
 
 
 def line_of(row) -> str:
     key = quote(row.key, safe=";/?:@&=+$,-_.!~*'()%#[]", errors="surrogatepass")
-    return "\t".join([key, "null" if pd.isna(row.page_id) else str(int(row.page_id)), row.kind, row.digest, row.file, str(row.offset), str(row.length)])
+    return "\t".join([key, row.page_id or "null", row.kind, row.digest, row.file, str(row.offset), str(row.length)])
 
 
 def build_index(captures: DataFrame, folder: str, block_lines: int = 3000) -> DataFrame:
@@ -189,7 +196,9 @@ def build_index(captures: DataFrame, folder: str, block_lines: int = 3000) -> Da
 
     # the index is sorted by the escaped key, whose order is that of its characters
     escaped = F.col("key")
+    captures = captures.withColumn("page_text", F.col("page_id").cast("string"))
     ordered = captures.repartitionByRange(escaped, F.col("page_id"), F.col("file"), F.col("offset")).sortWithinPartitions("key", "page_id", "file", "offset")
+    ordered = ordered.drop("page_id").withColumnRenamed("page_text", "page_id")
     return stored(ordered.mapInPandas(write, DIRECTORY), "warc-directory")
 
 
@@ -202,7 +211,7 @@ def range_read(system: fs.FileSystem, opened: dict, path: str, offset: int, leng
     return opened[path].read(length)
 
 
-def read_captures(directory: DataFrame, folder: str, with_payload: bool = True) -> DataFrame:
+def read_captures(directory: DataFrame, folder: str, with_payload: bool = True, captures_per_task: int = 6000) -> DataFrame:
     """Every record of the archives, read through the index: a block's lines, then each record's bytes."""
     columns = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"]
 
@@ -221,15 +230,14 @@ def read_captures(directory: DataFrame, folder: str, with_payload: bool = True)
                     rows.append(found)
                     size += len(found["payload"] or b"")
                     if size > 1 << 25:
-                        yield framed(rows, columns)
+                        yield with_ids(rows, columns)
                         rows, size = [], 0
-                yield framed(rows, columns)
-
-    def framed(rows: list[dict], names: list[str]) -> pd.DataFrame:
-        return pd.DataFrame(rows, columns=names).astype({"page_id": "Int64", "refers_to": "Int64"})
+                yield with_ids(rows, columns)
 
-    # blocks are few and each is a lot of work: they are dealt out evenly
-    return directory.repartition(F.col("file"), F.col("offset")).mapInPandas(read, RECORDS)
+    # the directory is a small table and each of its rows a lot of work
+    captures = directory.agg(F.coalesce(F.sum("captures"), F.lit(0))).first()[0]
+    tasks = max(directory.sparkSession.sparkContext.defaultParallelism, -(-captures // captures_per_task))
+    return directory.repartition(tasks).mapInPandas(read, RECORDS)
 
 
 @dataclass
