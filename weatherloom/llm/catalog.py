@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weatherloom.llm import decontamination, extraction, language, mixing, near_duplicates, personal, ranking, sharding, votes, warc
+from weatherloom.llm import decontamination, extraction, language, mixing, near_duplicates, oracle, personal, ranking, sharding, votes, warc
 from weatherloom.llm.shared import part_of, stored, table
 
 
@@ -71,4 +71,10 @@ QUERIES = {
     "op9_quality_ranking": op9_quality_ranking,
     "op10_near_duplicates": op10_near_duplicates,
 }
-SQL: dict[str, str] = {"op2_warc": warc.SQL, "op6_decontamination": decontamination.SQL}
+SQL: dict[str, str] = {
+    "op2_warc": warc.SQL,
+    "op3_sharding": oracle.SHARDING,
+    "op6_decontamination": decontamination.SQL,
+    "op8_mixing": oracle.MIXING,
+    "op10_near_duplicates": oracle.NEAR_DUPLICATES,
+}
