@@ -33,8 +33,8 @@ PLACES = 4
 BITS, LONGS = 1024, 16
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 #: Shingles hashed at a time, so that a very long text needs no large matrix.
-STEP = 1 << 15
-WORDS_REMEMBERED = 500_000
+STEP = 1 << 12
+WORDS_REMEMBERED = 100_000
 
 
 def shingle_hashes(text: str | None, width: int, known: dict[bytes, int]) -> tuple[int | None, np.ndarray]:
@@ -119,9 +119,27 @@ def can_reach(a: str, b: str, least: int) -> Column:
     return (100 + least) * (total - differing) >= 2 * least * total
 
 
+def same_places(a: str, b: str, chunks: int) -> list[list[Column]]:
+    """For each chunk, whether its places are equal (1 or 0)."""
+    return [[(F.col(f"{a}.signature")[c * PLACES + p] == F.col(f"{b}.signature")[c * PLACES + p]).cast("int") for p in range(PLACES)] for c in range(chunks)]
+
+
+def first_shared(same: list[list[Column]]) -> Column:
+    """Number of the first key that two signatures share, so that a pair is reported in one bucket only."""
+    tried = []
+    for c, places in enumerate(same):
+        at = c * PLACES
+        # all equal: the key without place 0 is the first; one differs: the key without that place
+        number = F.when(places[0] == 0, at)
+        for p in range(1, PLACES):
+            number = number.when(places[p] == 0, at + p)
+        tried.append(F.when(sum(places[1:], places[0]) >= PLACES - 1, number.otherwise(at)))
+    return F.coalesce(*tried)
+
+
 def buckets(nodes: DataFrame, chunks: int) -> DataFrame:
-    """``(key, node, center)`` of all keys that two nodes or more share; the center is the smallest node."""
-    keyed = nodes.select(F.explode(chunk_keys(chunks)).alias("key"), "node")
+    """``(key, number, node, center)`` of all keys that two nodes or more share; the center is the smallest node."""
+    keyed = nodes.select(F.posexplode(chunk_keys(chunks)).alias("number", "key"), "node")
     shared = keyed.groupBy("key").agg(F.min("node").alias("center"), F.max("node").alias("last")).filter("center < last")
     return keyed.join(shared.drop("last"), "key")
 
@@ -134,26 +152,29 @@ def star_pairs(members: DataFrame, nodes: DataFrame, least: int) -> DataFrame:
     return pairs.join(left, F.col("a") == F.col("x.node")).join(right, F.col("b") == F.col("y.node")).filter(can_reach("x", "y", least)).select("a", "b")
 
 
-def cross_pairs(members: DataFrame, nodes: DataFrame, labels: DataFrame, least: int) -> DataFrame:
-    """Pairs in different groups that share a bucket and that the bitmaps allow. Centers were compared already; a bucket
-    whose other members are all in one group, or in its center's, has nothing left to compare."""
+def cross_pairs(members: DataFrame, nodes: DataFrame, labels: DataFrame, least: int, chunks: int, most_differing: int) -> DataFrame:
+    """Pairs in different groups that share a bucket, within the signature distance, and that the bitmaps allow; each pair
+    once. Centers were compared already; a bucket whose other members are all in one group has nothing left to compare."""
     grouped = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     rest = grouped.filter("node != center")
     open_keys = rest.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("key")
-    open_rows = rest.join(open_keys, "key").select("key", "node", "label")
-    wide = open_rows.join(nodes.select("node", "n_shingles", "bits"), "node")
+    open_rows = rest.join(open_keys, "key").select("key", "number", "node", "label")
+    wide = open_rows.join(nodes.select("node", "n_shingles", "bits", "signature"), "node")
     x, y = wide.alias("x"), wide.alias("y")
+    same = same_places("x", "y", chunks)
+    near = sum((p for places in same for p in places), F.lit(0)) >= PLACES * chunks - most_differing
+    once = F.col("x.number") == first_shared(same)
     sizes = (100 * F.least("x.n_shingles", "y.n_shingles")) >= least * F.greatest("x.n_shingles", "y.n_shingles")
-    on = (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label")) & sizes & can_reach("x", "y", least)
-    return x.join(y, on).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    on = (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label")) & sizes & near & once & can_reach("x", "y", least)
+    return x.join(y, on).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, least: int, most_broadcast: int) -> DataFrame:
+def confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, rows: int, width: int, least: int, most_broadcast: int) -> DataFrame:
     """The pairs whose full sets are similar enough. Sets are made from the texts of the nodes in question only; their ids
-    are broadcast where there are at most ``most_broadcast``, else Spark joins by shuffle."""
-    pairs = stored(pairs, "near-pairs")
+    are broadcast where there are at most ``most_broadcast``, else Spark joins by shuffle. ``rows``: number of nodes."""
+    pairs = stored(pairs, "near-pairs", rows)
     ids = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "least"), "node")
-    ids = stored(ids, "near-ids")
+    ids = stored(ids, "near-ids", rows)
     wanted = ids.withColumnRenamed("least", "id")
     hint = F.broadcast(wanted) if wanted.count() <= most_broadcast else wanted
 
@@ -168,25 +189,25 @@ def confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, l
             yield pd.DataFrame(rows, columns=["node", "shingles"])
 
     texts = docs.join(hint, docs.doc_id.eqNullSafe(F.col("id"))).select("node", "text")
-    sets = stored(texts.mapInPandas(full, "node long, shingles array<long>").dropDuplicates(["node"]), "near-sets")
+    sets = stored(texts.mapInPandas(full, "node long, shingles array<long>").dropDuplicates(["node"]), "near-sets", rows)
     left, right = sets.select(F.col("node").alias("a"), F.col("shingles").alias("s")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("t"))
     both = pairs.join(left, "a").join(right, "b").withColumn("common", F.size(F.array_intersect("s", "t")))
     return both.filter(100 * F.col("common") >= least * (F.size("s") + F.size("t") - F.col("common"))).select("a", "b")
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, rows: int) -> DataFrame:
     """``(node, label)`` for all nodes with links: the smallest node that can be reached.
 
     Each round takes the least label among neighbours and then the label of that label, and is stored; the number of
-    rounds grows with the logarithm of a group's diameter.
+    rounds grows with the logarithm of a group's diameter. ``rows``: about how many nodes there are.
     """
-    both = stored(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "near-edges")
-    labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("label")), "near-labels")
+    both = stored(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "near-edges", rows)
+    labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("label")), "near-labels", rows)
     while True:
         seen = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         lower = labels.join(seen, "node").select("node", F.col("label").alias("was"), F.least("label", "near").alias("to"))
         jump = labels.select(F.col("node").alias("to"), F.col("label").alias("further"))
-        step = stored(lower.join(jump, "to", "left").select("node", "was", F.least("to", "further").alias("label")), "near-labels")
+        step = stored(lower.join(jump, "to", "left").select("node", "was", F.least("to", "further").alias("label")), "near-labels", rows)
         labels = step.select("node", "label")
         if step.filter("label != was").isEmpty():
             return labels
@@ -197,25 +218,28 @@ def near_duplicates(
     width: int = 5,
     least: int = 75,
     chunks: int = 12,
+    most_differing: int = 30,
     text: str = "text",
     key: str = "doc_id",
     most_broadcast: int = 1_000_000,
 ) -> DataFrame:
     """Columns doc_id, n_shingles, component_id (smallest id reachable over links) and kept (it is the id itself).
 
-    ``least`` is the similarity in percent."""
+    ``least`` is the similarity in percent. Pairs whose signatures differ in more than ``most_differing`` places are not
+    counted out exactly; at similarity 0.75 that is six standard deviations from the mean."""
     docs = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     signed = stored(signatures(docs, width, chunks), "near-signatures")
     nodes = signed.filter("node is not null").groupBy("node").agg(
         F.min("doc_id").alias("least"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"), F.first("bits").alias("bits")
     )
     nodes = stored(nodes, "near-nodes")
-    members = stored(buckets(nodes, chunks), "near-members")
-    stars = stored(confirmed(star_pairs(members, nodes, least), docs, nodes, width, least, most_broadcast), "near-links")
-    labels = components(stars)
-    crossing = stored(confirmed(cross_pairs(members, nodes, labels, least), docs, nodes, width, least, most_broadcast), "near-links")
+    rows = nodes.count()
+    members = stored(buckets(nodes, chunks), "near-members", PLACES * rows)
+    stars = stored(confirmed(star_pairs(members, nodes, least), docs, nodes, rows, width, least, most_broadcast), "near-links", rows)
+    labels = components(stars, rows)
+    crossing = stored(confirmed(cross_pairs(members, nodes, labels, least, chunks, most_differing), docs, nodes, rows, width, least, most_broadcast), "near-links", rows)
     if not crossing.isEmpty():
-        labels = components(stars.union(crossing))
+        labels = components(stars.union(crossing), rows)
     of_node = nodes.select("node", "least").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     smallest = of_node.groupBy("label").agg(F.min("least").alias("component_id"))
     named = of_node.join(smallest, "label").select(F.col("node").alias("of"), "component_id")
