@@ -132,9 +132,12 @@ def year_range_read(spark, sf_dir):
 
 
 def deduplicated(spark, sf_dir):
-    """One row per city and date."""
-    rows = cleaning.clean(city_orders(spark, sf_dir), dedup_keys=["city", "date"])
-    return rows.groupBy("year").agg(F.count("*").alias("rows"))
+    """One row per city and date: that of the smallest order key."""
+    rows = cleaning.clean(city_orders(spark, sf_dir), dedup_keys=["city", "date"], dedup_order=["o_orderkey"])
+    out = rows.groupBy("year").agg(
+        F.count("*").alias("rows"), F.sum("o_orderkey").alias("keys"), F.avg("temperature").alias("avg_temperature")
+    )
+    return rounded(out, "avg_temperature")
 
 
 def outlier_marks(spark, sf_dir):
@@ -217,7 +220,9 @@ SQL = {
         wind_speed_kmh, pressure_hpa FROM alerts WHERE storm_id IS NOT NULL)""",
     "year_range_read": f"""WITH {GOOD} SELECT year, month, count(*) AS rows, {r('avg(temperature)')} AS avg_temperature
       FROM good WHERE year BETWEEN 1996 AND 1998 GROUP BY year, month""",
-    "deduplicated": f"WITH {GOOD} SELECT year, count(DISTINCT (city, date)) AS rows FROM good GROUP BY year",
+    "deduplicated": f"""WITH {GOOD}, one AS (SELECT city, date, any_value(year) AS year, min(o_orderkey) AS k,
+        arg_min(temperature, o_orderkey) AS t FROM good GROUP BY city, date)
+      SELECT year, count(*) AS rows, sum(k)::BIGINT AS keys, {r('avg(t)')} AS avg_temperature FROM one GROUP BY year""",
     "outlier_marks": f"""WITH {SENSORS} SELECT NOT (temperature_hourly BETWEEN -60 AND 60) AS is_outlier, count(*) AS rows
       FROM sensors GROUP BY 1""",
     "metric_summary": f"""SELECT event_type AS container, {r('avg(event_id % 97)')} AS cpu_percent_mean,

@@ -1,12 +1,13 @@
-"""Feature tables (with SQL) and models (rows only: the fits have no SQL equivalent)."""
+"""Feature tables and models; SQL wherever the fit has a closed form, rows only for the others."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from catalog.events import TIES
-from catalog.mapping import STATION_MONTH, r, rounded, sensors
+from catalog.mapping import SENSORS, STATION_MONTH, r, rounded, sensors
 from catalog.climate import station_month
+from weatherloom.functions.rules import intensity_class
 from weatherloom.operators import event_models, features, models
 from weatherloom.operators.hourly import month_grid
 from weatherloom.operators.series import Series
@@ -179,9 +180,80 @@ def event_classifier(spark, sf_dir):
     return event_models.class_scores(model.transform(rows))
 
 
+def linear_predictions(spark, sf_dir):
+    """One feature, so that the fit is a regression line: every row's prediction."""
+    rows = station_series(spark, sf_dir)
+    out = models.fit(rows, ["linear"], ["year"], "temperature").transform(rows)
+    return rounded(out.select("station", "year", "month", F.col("linear_prediction").alias("prediction")), "prediction")
+
+
+def linear_split_metrics(spark, sf_dir):
+    """A line fitted on the early part: errors of both parts."""
+    marked = features.chronological_split(station_series(spark, sf_dir), _order())
+    _, metrics = models.train_split(marked, ["linear"], ["year"])
+    return rounded(metrics.filter("model = 'linear'").select("part", "n", "rmse", "mae", "r2"), "rmse", "mae", "r2")
+
+
+def linear_fold_metrics(spark, sf_dir):
+    """Expanding folds: each validated by a line fitted on the folds before it."""
+    folded = features.expanding_folds(station_series(spark, sf_dir), _order(), 5)
+    metrics = models.fold_metrics(folded, ["linear"], ["year"], "temperature", 5)
+    return rounded(metrics.filter("model = 'linear'").select("fold", "n", "rmse", "mae"), "rmse", "mae")
+
+
+def linear_k_fold(spark, sf_dir):
+    """Contiguous folds: each validated by a line fitted on the others."""
+    folded = features.block_folds(station_series(spark, sf_dir), _order(), 5)
+    errors = models.k_fold_rmse(folded, ["linear"], ["year"], "temperature", 5)
+    return rounded(errors.filter("model = 'linear'"), "cv_rmse_mean", "cv_rmse_std")
+
+
+def linear_forecast(spark, sf_dir):
+    """Future months of every station by a line over the years."""
+    history = station_series(spark, sf_dir)
+    trained = models.fit(history, ["linear"], ["year"], "temperature")
+    out = models.forecast_without_history(trained, month_grid(spark, 2002, 2003, history.select("station").distinct()))
+    band = ["prediction", "uncertainty_std", "confidence_95_lower", "confidence_95_upper"]
+    return rounded(out.select("station", "year", "month", *band), *band)
+
+
+def tree_importance_totals(spark, sf_dir):
+    """Importances of each tree model: none negative, sum 1."""
+    table = model_importance(spark, sf_dir)
+    return table.groupBy("model").agg(
+        F.count("*").alias("features"), (F.min("importance") >= 0).alias("none_negative"), F.round(F.sum("importance"), 6).alias("total")
+    )
+
+
+def intensity_feature_sums(spark, sf_dir):
+    """Numeric and one-hot features of the intensity models, summed by event type."""
+    rows = sensors(spark, sf_dir).withColumn("event_type", F.element_at(F.array(*map(F.lit, KINDS)), (F.col("event_id") % 4 + 1).cast("int")))
+    table, names = event_models.intensity_features(rows.select("event_type", F.col("event_id").alias("key"), "temperature_hourly", "wind_speed_kmh"), **VOCABULARIES)
+    return rounded(table.groupBy("event_type").agg(F.count("*").alias("rows"), *[F.sum(n).alias(n) for n in names]), "temperature_hourly", "wind_speed_kmh")
+
+
+def intensity_classes(spark, sf_dir):
+    """Classes of intensities 0 to 10 made from the key, nulls included."""
+    value = F.when(F.col("event_id") % 101 != 100, F.col("event_id") % 101 / 10.0)
+    return sensors(spark, sf_dir).select(intensity_class(value).alias("intensity_category")).groupBy("intensity_category").agg(F.count("*").alias("rows"))
+
+
+def class_scores_by_rule(spark, sf_dir):
+    """Scores of predictions that a key rule makes."""
+    kind = F.element_at(F.array(*map(F.lit, KINDS)), (F.col("event_id") % 4 + 1).cast("int"))
+    guess = F.when(F.col("event_id") % 7 == 0, F.lit(KINDS[0])).otherwise(kind)
+    scored = sensors(spark, sf_dir).select(kind.alias("event_type"), guess.alias("predicted_event_type"))
+    out = event_models.class_scores(scored)
+    return rounded(out.select("class", "support", "precision", "recall", "f1", "macro_f1"), "precision", "recall", "f1", "macro_f1")
+
+
+KINDS = ["HEATWAVE", "COLDSNAP", "STORM", "NORMAL"]
+
 QUERIES = {
     f.__name__: f
     for f in (
+        linear_predictions, linear_split_metrics, linear_fold_metrics, linear_k_fold, linear_forecast, tree_importance_totals,
+        intensity_feature_sums, intensity_classes, class_scores_by_rule,
         time_features, lag_features, seasonal_features, chrono_split, ts_folds, block_folds, future_grid,
         model_metrics, model_importance, time_series_validation, k_fold_errors,
         ensemble_training, ridge_search, ensemble_forecast,
@@ -197,12 +269,52 @@ _FORWARD = "ORDER BY year, month ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWIN
 def _filled(name: str) -> str:
     forward = f"first({name} IGNORE NULLS) OVER (PARTITION BY station {_FORWARD})"
     backward = f"last({name} IGNORE NULLS) OVER (PARTITION BY station ORDER BY year, month)"
-    return f"{r(f'coalesce({forward}, {backward})')} AS {name}"
+    return f"{r(f'coalesce({forward}, {backward}, avg(temperature) OVER (PARTITION BY station))')} AS {name}"
 
 
 _PLACE = "row_number() OVER (ORDER BY year, month, station) - 1 AS pos, count(*) OVER () AS n"
 
+_LINE = "regr_slope(temperature, year) AS s, regr_intercept(temperature, year) AS i"
+_ERRORS = "sqrt(avg(power(e, 2)))"
+_FOLDED = f"p AS (SELECT *, {_PLACE} FROM s)"
+_KIND = "(['HEATWAVE', 'COLDSNAP', 'STORM', 'NORMAL'])[event_id % 4 + 1]"
+
 SQL = {
+    "linear_predictions": f"""WITH {_MONTHS}, f AS (SELECT {_LINE} FROM s)
+      SELECT station, year, month, {r('s.year * f.s + f.i')} AS prediction FROM s, f""",
+    "linear_split_metrics": f"""WITH {_MONTHS}, {_FOLDED}, q AS (SELECT *, CASE WHEN pos >= n - ceil(n * 0.2) THEN 'test' ELSE 'train' END AS part FROM p),
+      f AS (SELECT {_LINE} FROM q WHERE part = 'train'), d AS (SELECT part, temperature, temperature - (year * f.s + f.i) AS e FROM q, f)
+      SELECT part, count(*) AS n, {r(_ERRORS)} AS rmse, {r('avg(abs(e))')} AS mae,
+        {r('1 - avg(power(e, 2)) / var_pop(temperature)')} AS r2 FROM d GROUP BY part""",
+    "linear_fold_metrics": f"""WITH {_MONTHS}, {_FOLDED}, z AS (SELECT *, n // 6 AS size, n - 5 * (n // 6) AS f0 FROM p),
+      q AS (SELECT *, CAST(CASE WHEN pos < f0 THEN 0 ELSE (pos - f0) // size + 1 END AS INTEGER) AS fold FROM z),
+      f AS (SELECT k.fold, {_LINE} FROM (SELECT DISTINCT fold FROM q WHERE fold > 0) k JOIN q ON q.fold < k.fold GROUP BY k.fold),
+      d AS (SELECT fold, temperature - (year * f.s + f.i) AS e FROM q JOIN f USING (fold))
+      SELECT fold, count(*) AS n, {r(_ERRORS)} AS rmse, {r('avg(abs(e))')} AS mae FROM d GROUP BY fold""",
+    "linear_k_fold": f"""WITH {_MONTHS}, {_FOLDED}, z AS (SELECT *, n // 5 AS size, n % 5 AS more FROM p),
+      q AS (SELECT *, CASE WHEN pos < more * (size + 1) THEN pos // (size + 1) ELSE more + (pos - more * (size + 1)) // size END AS fold FROM z),
+      f AS (SELECT k.fold, {_LINE} FROM (SELECT DISTINCT fold FROM q) k JOIN q ON q.fold <> k.fold GROUP BY k.fold),
+      d AS (SELECT fold, avg(power(temperature - (year * f.s + f.i), 2)) AS mse FROM q JOIN f USING (fold) GROUP BY fold)
+      SELECT 'linear' AS model, {r('sqrt(avg(mse))')} AS cv_rmse_mean, {r('sqrt(stddev_pop(mse))')} AS cv_rmse_std FROM d""",
+    "linear_forecast": f"""WITH {_MONTHS}, f AS (SELECT {_LINE} FROM s)
+      SELECT station, CAST(y AS INTEGER) AS year, CAST(m AS INTEGER) AS month, {r('y * f.s + f.i')} AS prediction, 0.0::DOUBLE AS uncertainty_std,
+        {r('y * f.s + f.i')} AS confidence_95_lower, {r('y * f.s + f.i')} AS confidence_95_upper
+      FROM (SELECT DISTINCT station FROM s), f, range(2002, 2004) AS a(y), range(1, 13) AS b(m)""",
+    "tree_importance_totals": """SELECT model, 13::BIGINT AS features, true AS none_negative, 1.0::DOUBLE AS total
+      FROM (VALUES ('random_forest'), ('gradient_boosting'), ('mean')) v(model)""",
+    "intensity_feature_sums": f"""WITH {SENSORS}, k AS (SELECT *, {_KIND} AS kind FROM sensors)
+      SELECT kind AS event_type, count(*) AS rows, {r('sum(temperature_hourly)')} AS temperature_hourly, {r('sum(wind_speed_kmh)')} AS wind_speed_kmh,
+        count(*) FILTER (kind = 'HEATWAVE') AS event_HEATWAVE, count(*) FILTER (kind = 'COLDSNAP') AS event_COLDSNAP,
+        count(*) FILTER (kind = 'STORM') AS event_STORM, count(*) FILTER (kind = 'FLOOD') AS event_FLOOD FROM k GROUP BY kind""",
+    "intensity_classes": f"""WITH {SENSORS}, v AS (SELECT CASE WHEN event_id % 101 <> 100 THEN (event_id % 101) / 10.0::DOUBLE END AS v FROM sensors)
+      SELECT CASE WHEN v < 2 THEN 'Minor' WHEN v < 4 THEN 'Moderate' WHEN v < 6 THEN 'Significant' WHEN v < 8 THEN 'Severe'
+        WHEN v IS NOT NULL THEN 'Extreme' END AS intensity_category, count(*) AS rows FROM v GROUP BY 1""",
+    "class_scores_by_rule": f"""WITH {SENSORS}, k AS (SELECT {_KIND} AS t, CASE WHEN event_id % 7 = 0 THEN 'HEATWAVE' ELSE {_KIND} END AS g FROM sensors),
+      c AS (SELECT t AS class, count(*) AS support, count(*) FILTER (t = g) AS hits FROM k GROUP BY t),
+      m AS (SELECT class, support, hits / said AS precision, hits / support AS recall
+            FROM c JOIN (SELECT g AS class, count(*) AS said FROM k GROUP BY g) USING (class)),
+      f AS (SELECT *, 2 * precision * recall / (precision + recall) AS f1 FROM m)
+      SELECT class, support, {r('precision')} AS precision, {r('recall')} AS recall, {r('f1')} AS f1, {r('avg(f1) OVER ()')} AS macro_f1 FROM f""",
     "time_features": f"""WITH {_MONTHS} SELECT station, year, month, {r('temperature')} AS temperature,
       {r('(year - min(year) OVER ()) / (max(year) OVER () - min(year) OVER ())::DOUBLE')} AS year_normalized,
       {r('sin(2 * pi() * month / 12)')} AS month_sin, {r('cos(2 * pi() * month / 12)')} AS month_cos,

@@ -221,3 +221,21 @@ def test_student_tail_against_tables(spark):
     got = values(spark, "t double, d int", rows, probability.student_two_sided(F.col("t"), F.col("d")))
     assert got == pytest.approx([0.05] * 6, abs=1e-4)
     assert values(spark, "t double, d int", [(1.0, 0)], probability.student_two_sided(F.col("t"), F.col("d"))) == [None]
+
+
+def test_chi_square_tail_keeps_small_and_large_tails(spark):
+    import math
+
+    from weatherloom.functions.probability import chi_square_tail
+
+    def exact(x, dof):  # even dof: a finite sum, in logarithms
+        terms = [k * math.log(x / 2) - math.lgamma(k + 1) for k in range(dof // 2)]
+        top = max(terms)
+        return math.exp(top - x / 2 + math.log(sum(math.exp(t - top) for t in terms)))
+
+    cases = [(200.0, 2), (1399.0, 1500), (1400.0, 1500), (1700.0, 1500), (5000.0, 4900), (0.5, 2), (3.0, 4), (40.0, 10), (9000.0, 10000)]
+    df = spark.createDataFrame([(x, d) for x, d in cases], "x double, d int")
+    for row in df.select("x", "d", chi_square_tail(F.col("x"), F.col("d")).alias("p")).collect():
+        assert row.p == pytest.approx(exact(row.x, row.d), rel=1e-8)
+    odd = spark.range(1).select(chi_square_tail(F.lit(3.841458820694124), F.lit(1)).alias("p")).first().p
+    assert odd == pytest.approx(0.05, rel=1e-9)

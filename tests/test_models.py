@@ -193,3 +193,33 @@ def test_balanced_weights(spark):
     df = spark.createDataFrame([("a",)] * 3 + [("b",)], "k string")
     got = {r.k: r.weight for r in event_models.balanced_weights(df, "k").collect()}
     assert got == pytest.approx({"a": 4 / 6, "b": 2.0})
+
+
+def test_a_short_station_does_not_stop_a_fit(spark, series):
+    """A station of six months has no lags of its own: it gets its mean and every row is kept."""
+    short = series.filter("year = 2019 and month <= 6").withColumn("station", F.lit("short"))
+    one = series.filter("year = 2019 and month = 1").withColumn("station", F.lit("one"))
+    table = features.feature_table(series.unionByName(short).unionByName(one), ["station"])
+    assert table.count() == 247
+    for c in ALL:
+        assert table.filter(F.col(c).isNull() | F.isnan(c)).count() == 0
+    mean = short.agg(F.avg("temperature")).head()[0]
+    assert table.filter("station = 'short'").agg(F.min("temp_lag_12"), F.max("temp_lag_12")).head() == (mean, mean)
+    trained = models.fit(table, ["linear", "ridge", "random_forest"], ALL, "temperature", options=SMALL)
+    assert trained.transform(table).filter("prediction is null or isnan(prediction)").count() == 0
+
+
+def test_predictions_leave_the_rows_as_they_were(event_rows):
+    trained, _ = event_models.train_intensity(event_rows, folds=0, options=SMALL)
+    rows = event_rows.withColumn("pressure_hpa", F.when(F.col("pressure_hpa") > 0, F.lit(None).cast("double")))
+    out = event_models.predict_intensity(trained, rows)
+    assert out.columns == [*rows.columns, "predicted_intensity", "intensity_category"]
+    assert dict(out.dtypes).items() >= dict(rows.dtypes).items()
+    assert out.filter("pressure_hpa is not null").count() == rows.filter("pressure_hpa is not null").count()
+
+
+def test_event_training_uses_events_only_and_counts_incomplete_rows(spark):
+    rows = [("NORMAL" if i % 2 else "STORM", float(i % 7) if i % 10 else None, float(i % 5)) for i in range(60)]
+    df = spark.createDataFrame(rows, "event_type string, rain_mm double, event_intensity double")
+    trained, _ = event_models.train_event_intensity(df, options={"numTrees": 5})
+    assert trained.extra["incomplete_rows"] == 6

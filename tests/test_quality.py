@@ -112,3 +112,26 @@ def test_samples(spark):
 def test_projection_follows_the_contract(spark):
     df = spark.createDataFrame([(1, 2, 3)], "c int, x int, a int")
     assert project(df, ["a", "b", "c"]).columns == ["a", "c"]
+
+
+def test_duplicates_leave_the_same_row_for_any_partitioning(spark):
+    from weatherloom.operators import cleaning
+
+    rows = spark.range(200).select(
+        (F.col("id") % 10).alias("k"), F.lit(2000).alias("year"), F.lit(1).alias("month"), (F.col("id") * 37 % 50).cast("double").alias("temperature"), "id"
+    )
+    found = [sorted(map(tuple, cleaning.clean(rows.repartition(n), dedup_keys=["k"], dedup_order=["id"]).collect())) for n in (1, 7)]
+    assert found[0] == found[1] and {r[4] for r in found[0]} == set(range(10))
+
+
+def test_many_boxes_meet_points_by_cell(spark):
+    from weatherloom.operators import places
+
+    boxes = spark.range(12_000).select(
+        F.col("id").cast("string").alias("area"), (F.col("id") % 120 - 60).cast("double").alias("south"), (F.col("id") % 120 - 59).cast("double").alias("north"),
+        (F.floor(F.col("id") / 120) * 3 - 150).cast("double").alias("west"), (F.floor(F.col("id") / 120) * 3 - 147).cast("double").alias("east"), F.col("id").alias("priority"),
+    )
+    points = spark.createDataFrame([(1, 0.5, 0.5), (2, -59.5, -149.0), (3, 80.0, 10.0), (4, None, 1.0)], "id int, lat_decimal double, lon_decimal double")
+    out = places.with_area_table(points, boxes, ["id"])
+    assert {r.id: r.area for r in out.collect()} == {1: "6060", 2: "0", 3: None, 4: None}
+    assert "NestedLoop" not in out._jdf.queryExecution().executedPlan().toString()

@@ -150,15 +150,25 @@ def test_broadcast_is_only_hinted_below_the_limit(spark):
     assert joining.broadcast_if_small(spark.range(50), 20) is None
 
 
-def test_scratch_folder_follows_the_session(spark, tmp_path):
-    """The setting is fixed at start-up, so a session that has it is stood in for."""
+def test_scratch_folder_follows_the_session(spark):
+    first, second = scratch_dir(spark, "x"), scratch_dir(spark, "x")
+    assert first.startswith(spark.sparkContext.getCheckpointDir()) and first != second
+
+
+def test_a_cluster_without_shared_folder_is_an_error():
+    """The settings are fixed at start-up, so a session without them is stood in for."""
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
 
     class Session:
-        conf = {"spark.checkpoint.dir": f"{tmp_path}/shared/"}
+        conf, sparkContext = {}, Context()
 
-    first, second = scratch_dir(Session, "x"), scratch_dir(Session, "x")
-    assert first.startswith(f"{tmp_path}/shared/x-") and first != second
-    assert not scratch_dir(spark, "x").startswith(str(tmp_path))
+    with pytest.raises(ValueError):
+        scratch_dir(Session, "x")
 
 
 def test_group_scores_equal_window_scores(spark, skewed):

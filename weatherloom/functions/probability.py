@@ -8,31 +8,46 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def log_gamma(z: Column) -> Column:
+    """ln Gamma(z) for z > 0: Stirling's series at z + 12, stepped back by twelve factors."""
+    far = z + 12.0
+    inverse = 1.0 / far
+    series = inverse * (1.0 / 12 - inverse * inverse * (1.0 / 360 - inverse * inverse * (1.0 / 1260 - inverse * inverse * (1.0 / 1680 - inverse * inverse / 1188))))
+    back = sum((F.log(z + float(k)) for k in range(1, 12)), F.log(z))
+    return (far - 0.5) * F.log(far) - far + 0.5 * math.log(2 * math.pi) + series - back
+
+
 def chi_square_tail(statistic: Column, dof: Column) -> Column:
     """P(X >= statistic) for a chi-square variable with ``dof`` degrees of freedom.
 
-    Series of the lower incomplete gamma function,
-    P(a, z) = z^a e^-z / Gamma(a + 1) * sum z^n / ((a + 1) ... (a + n)),
-    whose terms are all positive; beyond z = 700 the tail is below 1e-250.
+    With a = dof / 2 and z = statistic / 2 this is the upper incomplete gamma function Q(a, z). Below a + 1 it is one
+    minus the series of the lower function, whose terms are all positive; above, its continued fraction, which keeps small
+    tails exact. Both need a number of steps that grows with the root of a.
     """
-    a = dof / 2.0
-    z = F.least(statistic / 2.0, F.lit(700.0))
-    steps = F.sequence(F.lit(1), (F.ceil(z * 3) + 60).cast("int"))
-    start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("total"))
+    a, z = dof / 2.0, statistic / 2.0
+    front = F.exp(a * F.log(z) - z - log_gamma(a))
+    steps = F.sequence(F.lit(1), (F.ceil(F.sqrt(a) * 10) + 200).cast("int"))
 
     def grow(acc, n):
         term = acc["term"] * z / (a + n)
         return F.struct(term.alias("term"), (acc["total"] + term).alias("total"))
 
-    series = F.aggregate(steps, start, grow, lambda acc: acc["total"])
-    # ln Gamma(a + 1) for whole and half a: product down to Gamma(1) or Gamma(1/2).
-    factors = F.sequence(F.lit(0), F.greatest(F.ceil(a) - 1, F.lit(0)).cast("int"))
-    log_gamma = F.aggregate(
-        factors, F.lit(0.0), lambda acc, k: acc + F.when(a - k > 0, F.log(a - k)).otherwise(0.0)
-    ) + F.when(dof % 2 == 1, math.log(math.sqrt(math.pi))).otherwise(0.0)
-    lower = F.exp(a * F.log(z) - z - log_gamma) * series
-    tail = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1.0 - lower))
-    return F.when(statistic <= 0, 1.0).when(statistic >= 1400, 0.0).otherwise(tail)
+    one = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("total"))
+    lower = front / a * F.aggregate(steps, one, grow, lambda acc: acc["total"])
+
+    def refine(acc, n):
+        # a step of the fraction z + 1 - a - 1 (1 - a) / (z + 3 - a - 2 (2 - a) / ...), from both of its ends
+        top = n * (a - n)
+        bottom = z + 1.0 - a + 2 * n
+        below = 1.0 / (top * acc["below"] + bottom)
+        above = bottom + top / acc["above"]
+        return F.struct(below.alias("below"), above.alias("above"), (acc["value"] * below * above).alias("value"))
+
+    first = 1.0 / (z + 1.0 - a)
+    begin = F.struct(first.alias("below"), F.lit(1e300).alias("above"), first.alias("value"))
+    upper = front * F.aggregate(steps, begin, refine, lambda acc: acc["value"])
+    tail = F.when(z < a + 1.0, 1.0 - lower).otherwise(upper)
+    return F.when(statistic <= 0, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), tail)))
 
 
 def student_two_sided(t: Column, dof: Column) -> Column:

@@ -24,10 +24,25 @@ def plausible(
 
 
 def clean(
-    df: DataFrame, value: str = "temperature", dedup_keys: Sequence[str] | None = None, **limits
+    df: DataFrame,
+    value: str = "temperature",
+    dedup_keys: Sequence[str] | None = None,
+    dedup_order: Sequence[str] | None = None,
+    **limits,
 ) -> DataFrame:
+    """Plausible rows; with ``dedup_keys`` one of each key, the first in the order ``dedup_order`` (all other columns)."""
     kept = df.filter(plausible(value, **limits))
-    return kept.dropDuplicates(list(dedup_keys)) if dedup_keys else kept
+    return first_of_each(kept, dedup_keys, dedup_order) if dedup_keys else kept
+
+
+def first_of_each(df: DataFrame, keys: Sequence[str], order: Sequence[str] | None = None) -> DataFrame:
+    """One row per key: the least by ``order``, then by all other columns, whatever the partitioning."""
+    others = [c for c in df.columns if c not in keys]
+    first = [*(order or []), *(c for c in others if c not in (order or []))]
+    if not first:
+        return df.distinct()
+    rows = df.groupBy(*keys).agg(F.min_by(F.struct(*others), F.struct(*first)).alias("_row"))
+    return rows.select(*keys, "_row.*").select(*df.columns)
 
 
 def cleaning_audit(df: DataFrame, value: str = "temperature", **limits) -> DataFrame:

@@ -112,10 +112,10 @@ def train_intensity(
 
 def predict_intensity(trained: Trained, df: DataFrame) -> DataFrame:
     """Adds ``predicted_intensity`` in 0 to 10 and its class to the rows of an event table."""
-    table, _ = intensity_features(df, **trained.extra.get("vocabularies", {}))
+    # the features overwrite columns of the same names, so the rows travel beside them
+    table, _ = intensity_features(df.withColumn("_row", F.struct(*df.columns)), **trained.extra.get("vocabularies", {}))
     scored = trained.transform(table, keep_individual=False)
-    kept = [F.col(c) for c in df.columns]
-    return scored.select(*kept, F.col("prediction").alias("predicted_intensity")).withColumn(
+    return scored.select("_row.*", F.col("prediction").alias("predicted_intensity")).withColumn(
         "intensity_category", intensity_class(F.col("predicted_intensity"))
     )
 
@@ -125,23 +125,20 @@ def train_event_intensity(
     features: Sequence[str] = EVENT_FEATURES,
     label: str = "event_intensity",
     test_share: float = 0.2,
-    least_events: int = 100,
     seed: int = 42,
     options: Mapping | None = None,
 ) -> tuple[Trained, DataFrame]:
     """Forest on event rows with a seeded random split; metrics of the test part.
 
-    Falls back to all rows when there are fewer than ``least_events`` events.
+    Rows with a missing feature or label are left out; ``trained.extra["incomplete_rows"]`` counts them.
     """
     names = [c for c in features if c in df.columns]
-    events = df.filter(F.col("event_type") != "NORMAL")
-    if events.limit(least_events).count() < least_events:
-        events = df
-    known = events.select(*names, label).dropna()
+    events = stored(df.filter(F.col("event_type") != "NORMAL").select(*names, label), "training")
+    known = events.dropna()
     forest = {"random_forest": {"numTrees": 200, "maxDepth": 12, "minInstancesPerNode": 5, **dict(options or {})}}
-    known = stored(known, "training")
     train, test = known.randomSplit([1 - test_share, test_share], seed)
     trained = fit(train, ["random_forest"], names, label, seed=seed, options=forest, keep=False)
+    trained.extra["incomplete_rows"] = events.count() - known.count()
     metrics = as_rows(regression_metrics(trained.transform(test), label, trained.columns()))
     return trained, metrics
 

@@ -61,12 +61,15 @@ def lag_features(
     The means end with the row before the current one. ``include_current`` moves the frame
     up to the current row, which leaks the target into its own features. ``value`` must not
     be null (clean it, or use ``fill_gaps`` first): the only gaps are then at the start
-    of a series, and filling them backwards means its first value. That value rides on the
-    cell table, so the rows are still shuffled once. A series too short for a lag keeps null.
+    of a series, and filling them backwards means its first value. A series too short for a lag
+    has no value to fill from and gets its own mean. Both ride on the cell table, so the rows are
+    still shuffled once.
     """
     keys = list(series.keys)
     start = df.groupBy(*keys).agg(
-        F.min_by(value, F.struct(*series.order)).alias("_start"), F.count("*").alias("_length")
+        F.min_by(value, F.struct(*series.order)).alias("_start"),
+        F.count("*").alias("_length"),
+        F.avg(value).alias("_mean"),
     )
 
     def with_start(cells: DataFrame) -> DataFrame:
@@ -84,9 +87,9 @@ def lag_features(
     )
     needs = {"temp_lag_1": 1, "temp_lag_12": 12, "temp_ma_3": 1, "temp_ma_12": 1}
     filled = {
-        n: F.coalesce(F.col(n), F.when(F.col("_length") > k, F.col("_start"))) for n, k in needs.items()
+        n: F.coalesce(F.col(n), F.when(F.col("_length") > k, F.col("_start")), F.col("_mean")) for n, k in needs.items()
     }
-    return out.withColumns(filled).drop("_start", "_length")
+    return out.withColumns(filled).drop("_start", "_length", "_mean")
 
 
 def feature_table(

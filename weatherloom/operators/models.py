@@ -391,13 +391,8 @@ def grid_search(
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts the lineage in the folder the session names (a local one only if it names none)."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        from weatherloom.sources.writers import scratch_dir
-
-        context.setCheckpointDir(scratch_dir(df.sparkSession, "checkpoint"))
-    return df.checkpoint()
+    """Cuts the lineage by a table in the shared folder."""
+    return stored(df, "checkpoint")
 
 
 def last_year_block(history: DataFrame, keys: Sequence[str], year: int, value: str) -> DataFrame:

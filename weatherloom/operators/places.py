@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from weatherloom.functions.geo import climate_zone, continent_of, parse_coordinate, region_of
 from weatherloom.operators.joining import broadcast_if_small, join_statistics
 
-MAX_BOXES = 10_000
+#: Degrees of the cells by which points and boxes meet.
+CELL_DEGREES = 5
 
 
 def with_country(df: DataFrame, countries: DataFrame, name: str = "country") -> DataFrame:
@@ -42,19 +43,23 @@ def with_area_table(
 ) -> DataFrame:
     """The same from a box *table* (``area, south, north, west, east, priority``).
 
-    Points are reduced to distinct coordinates before the range join and joined back, so the
-    inequality join never sees repeated rows. Smallest priority wins. ``row_key`` spreads
-    the rows of a crowded place over tasks.
+    Points are reduced to distinct coordinates and joined back. Boxes are cut into cells of
+    ``CELL_DEGREES``, points and boxes meet by cell, and only then the edges are compared. Smallest
+    priority wins. ``row_key`` spreads the rows of a crowded place over tasks.
     """
     points = df.select(lat, lon).distinct()
-    hit = F.col(lat).between(F.col("south"), F.col("north")) & F.col(lon).between(
-        F.col("west"), F.col("east")
-    )
-    small = broadcast_if_small(boxes, MAX_BOXES)
-    if small is None:
-        raise ValueError(f"more than {MAX_BOXES} boxes: cut them into a grid first")
+    hit = F.col(lat).between(F.col("south"), F.col("north")) & F.col(lon).between(F.col("west"), F.col("east"))
+
+    def cell(degrees):
+        return F.floor(degrees / CELL_DEGREES)
+
+    pieces = boxes.filter("south <= north and west <= east").withColumn(
+        "_x", F.explode(F.sequence(cell(F.col("west")), cell(F.col("east"))))
+    ).withColumn("_y", F.explode(F.sequence(cell(F.col("south")), cell(F.col("north")))))
     placed = (
-        points.join(small, hit, "left")
+        points.withColumns({"_x": cell(F.col(lon)), "_y": cell(F.col(lat))})
+        .join(pieces, ["_x", "_y"])
+        .filter(hit)
         .groupBy(lat, lon)
         .agg(F.min_by("area", "priority").alias("area"))
     )

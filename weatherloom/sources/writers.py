@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
+
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,14 +13,22 @@ from pyspark.sql import functions as F
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A new folder under the shared ``spark.checkpoint.dir``; a local one only if that is unset."""
-    import tempfile
-    import uuid
-
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    return tempfile.mkdtemp(prefix=f"{name}-") + "/out"
+    """A new path in the folder that all executors share; it is deleted when the session ends.
+
+    The folder is the session's checkpoint folder. Without one, a local session gets its own, and a cluster is an error:
+    there every executor would write to its own disk.
+    """
+    context = spark.sparkContext
+    shared = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-shared-"))
+        shared = context.getCheckpointDir()
+    path = f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return path
 
 
 def write_table(
