@@ -165,15 +165,15 @@ def fill_gaps(df: DataFrame, series: Series, columns: Sequence[str]) -> DataFram
         known = F.when(F.col(c).isNotNull(), order)
         ends += [F.min_by(c, known).alias(f"_first_{c}"), F.max_by(c, known).alias(f"_last_{c}")]
     cells = base.groupBy(*keys, CELL).agg(*ends)
-    later = series.chain.rowsBetween(1, Window.unboundedFollowing)
+    # both directions as running frames; a forward-unbounded frame would be quadratic
+    later = Window.partitionBy(*keys).orderBy(F.col(CELL).desc()).rowsBetween(Window.unboundedPreceding, -1)
     earlier = series.chain.rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.select(
         *keys,
         CELL,
-        *[F.first(f"_first_{c}", ignorenulls=True).over(later).alias(f"_next_{c}") for c in columns],
+        *[F.last(f"_first_{c}", ignorenulls=True).over(later).alias(f"_next_{c}") for c in columns],
         *[F.last(f"_last_{c}", ignorenulls=True).over(earlier).alias(f"_prev_{c}") for c in columns],
     )
-    # both directions as running frames; a forward-unbounded frame would be quadratic
     down = series.inside_reversed.rowsBetween(Window.unboundedPreceding, 0)
     up = series.inside.rowsBetween(Window.unboundedPreceding, 0)
     local = {}

@@ -40,18 +40,15 @@ def write_table(
 ) -> str:
     """Parquet output. With partitions, ``overwrite`` replaces only the partitions written.
 
-    Rows are spread by the partition columns plus a hash part, which keeps the number of
-    files per directory small without sending a whole hot partition through one task.
+    Rows are gathered by the partition columns; adaptive execution splits a hot partition by its measured size and merges
+    small ones.
     """
     out = df if columns is None else df.select([c for c in columns if c in df.columns])
     parts = [c for c in partition_by if c in out.columns]
     if not parts:
         out.write.mode(mode).parquet(path)
         return path
-    others = [c for c in out.columns if c not in parts]
-    if others:
-        salt = F.pmod(F.xxhash64(*others), F.lit(8))
-        out = out.repartition(*parts, salt)
+    out = out.hint("rebalance", *parts)
     out.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(path)
     return path
 

@@ -85,12 +85,15 @@ def write_totals(
 ) -> StreamingQuery:
     """Complete mode to Parquet, which the file sink refuses: each batch replaces the table.
 
-    A batch lands in its own folder ``batch=<id>``, so a repeated batch overwrites only its
-    own output and a reader never sees a half-written table.
+    A batch lands in its own folder ``batch=<id>``, so a repeated batch overwrites only its own output. Readers take the
+    newest folder that is marked finished. Of the earlier ones the last stays for readers that have begun, the others go.
     """
 
     def replace(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        for old in finished_batches(batch.sparkSession, path)[:-2]:
+            files, folder = _hadoop(batch.sparkSession, f"{path}/batch={old}")
+            files.delete(folder, True)
 
     writer = totals.writeStream.outputMode("complete").option("checkpointLocation", checkpoint)
     writer = writer.foreachBatch(replace)
@@ -98,10 +101,26 @@ def write_totals(
 
 
 def read_totals(spark: SparkSession, path: str) -> DataFrame:
-    """Latest complete batch of :func:`write_totals`."""
-    table = spark.read.parquet(path)
-    newest = table.agg(F.max("batch").alias("_newest"))
-    return table.join(F.broadcast(newest), F.col("batch") == F.col("_newest")).drop("batch", "_newest")
+    """Latest finished batch of :func:`write_totals`."""
+    batches = finished_batches(spark, path)
+    if not batches:
+        raise ValueError(f"no finished batch in {path}")
+    return spark.read.parquet(f"{path}/batch={batches[-1]}")
+
+
+def _hadoop(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
+def finished_batches(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the batch folders whose writer has committed, in order."""
+    files, top = _hadoop(spark, path)
+    if not files.exists(top):
+        return []
+    names = [s.getPath().getName() for s in files.listStatus(top)]
+    numbers = [int(n.removeprefix("batch=")) for n in names if n.startswith("batch=")]
+    return sorted(n for n in numbers if files.exists(_hadoop(spark, f"{path}/batch={n}/_SUCCESS")[1]))
 
 
 def write_windows(
@@ -130,7 +149,12 @@ def run_statistics(df: DataFrame, source: str = "source") -> DataFrame:
 
 
 def query_rates(query: StreamingQuery) -> dict[str, float]:
-    """Batches, input rows and rows per second from the query's own progress reports."""
+    """Batches, input rows and rows per second from the query's own progress reports.
+
+    Spark keeps only the last reports of a query; ``complete`` tells whether they reach back to its first batch. For
+    whole runs of any length count the written rows with :func:`run_statistics`.
+    """
+    complete = not query.recentProgress or query.recentProgress[0]["batchId"] == 0
     reports = [p for p in query.recentProgress if p["numInputRows"] > 0]
     rows = sum(p["numInputRows"] for p in reports)
     seconds = sum(p["batchDuration"] for p in reports) / 1000.0
@@ -139,4 +163,5 @@ def query_rates(query: StreamingQuery) -> dict[str, float]:
         "record_count": rows,
         "duration_seconds": seconds,
         "records_per_second": rows / seconds if seconds > 0 else 0.0,
+        "complete": complete,
     }
