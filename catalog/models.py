@@ -40,8 +40,8 @@ def seasonal_features(spark, sf_dir):
 
 
 def _order() -> Series:
-    """One cell per month over all stations, so that the SQL can follow the order."""
-    return Series([], ["year", "month", "station"], "struct(year, month)")
+    """Cells of a month and a station bucket over all stations: the SQL can follow it, and a month is several tasks."""
+    return Series([], ["year", "month", "station"], "struct(year, month, station % 32)")
 
 
 def chrono_split(spark, sf_dir):
@@ -272,7 +272,7 @@ def _filled(name: str) -> str:
     return f"{r(f'coalesce({forward}, {backward}, avg(temperature) OVER (PARTITION BY station))')} AS {name}"
 
 
-_PLACE = "row_number() OVER (ORDER BY year, month, station) - 1 AS pos, count(*) OVER () AS n"
+_PLACE = "row_number() OVER (ORDER BY year, month, station % 32, station) - 1 AS pos, count(*) OVER () AS n"
 
 _LINE = "regr_slope(temperature, year) AS s, regr_intercept(temperature, year) AS i"
 _ERRORS = "sqrt(avg(power(e, 2)))"

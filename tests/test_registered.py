@@ -5,7 +5,6 @@ import pytest
 from compare import connect, differences
 
 QUERIES, SQL = catalog.all_queries(), catalog.all_sql()
-SLOW_FITS = {"time_series_validation", "k_fold_errors", "ensemble_training", "intensity_model", "model_metrics"}
 
 
 @pytest.fixture(scope="module")
@@ -23,6 +22,6 @@ def test_same_rows_as_sql(spark, sf_dir, duck, name):
     assert differences(QUERIES[name](spark, sf_dir), duck, SQL[name]) == []
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL) - SLOW_FITS))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_runs_without_sql(spark, sf_dir, name):
     assert QUERIES[name](spark, sf_dir).count() > 0
