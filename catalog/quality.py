@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.events import LIGHTS, STORMY, stormy
+from catalog.events import LIGHTS, STORMY, TIES, _alerts, stormy
 from catalog.mapping import CITY_ORDERS, SENSORS, city_orders, r, rounded, sensors, sql_time, table, text_time
 from weatherloom.operators import quality
 from weatherloom.operators.series import Series, fill_gaps
+from weatherloom.plans import jobs
 from weatherloom.streaming.alerts import with_traffic_light
 
 
@@ -154,9 +155,16 @@ def full_report(spark, sf_dir):
     return quality.full_report(rows, SERIES, ranges={n: quality.RANGES[n] for n in NUMBERS})
 
 
+def event_distributions(spark, sf_dir):
+    """Storm categories, alert levels and types, and the shape of the event table."""
+    events = jobs.event_table(sensors(spark, sf_dir), ["city"], **TIES).select("storm_category", "alert_level", "alert_type")
+    return quality.distributions(events, ["storm_category", "alert_level", "alert_type"]).select("check", "column_name", "metric", "value")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
+        event_distributions,
         missing_values, range_checks, domain_values, domain_summary, invalid_values, date_check, numeric_time_check,
         duplicates, coverage, records_per_year, gaps, gap_summary, filled_gaps, absent_members, track_continuity, physical_rules,
         storm_report, category_distribution, alert_report, table_report, full_report,
@@ -222,6 +230,11 @@ gaps AS (SELECT event_id, city, date_diff('microsecond', lag(timestamp) OVER (PA
   timestamp) / 1e6::DOUBLE AS gap_seconds FROM sensors)"""
 
 SQL = {
+    "event_distributions": f"""WITH {STORMY}, {_alerts('stormy', 'storm_category')},
+      v AS (SELECT 'storm_category' AS k, storm_category::VARCHAR AS x FROM alerts UNION ALL SELECT 'alert_level', alert_level::VARCHAR FROM alerts
+        UNION ALL SELECT 'alert_type', alert_type::VARCHAR FROM alerts)
+      SELECT k AS "check", coalesce(x, 'null') AS column_name, 'rows' AS metric, count(*)::VARCHAR AS value FROM v GROUP BY k, x
+      UNION ALL SELECT 'shape', '*', 'rows', count(*)::VARCHAR FROM alerts UNION ALL SELECT 'shape', '*', 'columns', '3'""",
     "missing_values": f"WITH {BLANKED} {_missing()}",
     "range_checks": f"WITH {BLANKED} {_ranges()}",
     "domain_values": f"WITH {LIGHTS} {_values()}",

@@ -440,6 +440,26 @@ def directory_summary(files: DataFrame) -> DataFrame:
     )
 
 
+def distributions(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Rows per value of each named column that exists, as long rows; null counts as the value "null"."""
+    parts = [
+        _as_report(c, category_distribution(df, c), F.coalesce(F.col(c).cast("string"), F.lit("null")), ["rows"])
+        for c in columns
+        if c in df.columns
+    ]
+    parts.append(_as_report("shape", df.agg(F.count("*").alias("rows")).withColumn("columns", F.lit(len(df.columns))), F.lit("*"), ["rows", "columns"]))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def storm_tracks_report(df: DataFrame, timestamp: str, lat: str = "lat_decimal", lon: str = "lon_decimal") -> DataFrame:
+    """Storms, and how many of them move without a jump."""
+    points = df.filter(F.col("storm_id").isNotNull()).select(
+        "storm_id", timestamp, F.col(lat).cast("double").alias("latitude"), F.col(lon).cast("double").alias("longitude")
+    ).distinct()
+    tracks = track_continuity(points, Series.by_time(["storm_id"], timestamp, ["latitude", "longitude"], "day"))
+    return tracks.agg(F.count("*").alias("n_tracks"), F.count_if("is_continuous").alias("n_continuous"))
+
+
 def full_report(df: DataFrame, series: Series, timestamp: str = "timestamp", **rules) -> DataFrame:
     """All checks of an hourly event table with an overall flag, as long rows."""
     whole = F.lit("*")
@@ -457,8 +477,11 @@ def full_report(df: DataFrame, series: Series, timestamp: str = "timestamp", **r
     parts.append(_as_report("resolution", intervals, whole, metrics))
     if "storm_id" in df.columns:
         parts.append(_as_report("storms", storm_report(df), whole, ["n_storms", "n_storm_records"]))
+        if {"lat_decimal", "lon_decimal"} <= set(df.columns):
+            parts.append(_as_report("tracks", storm_tracks_report(df, timestamp), whole, ["n_tracks", "n_continuous"]))
     if "alert_level" in df.columns:
         parts.append(_as_report("alerts", alert_report(df), whole, ["n_alerts", "hierarchy_valid"]))
+    parts.append(distributions(df, ["storm_category", "alert_level", "alert_type"]))
     overall = is_consistent(physical_rules(df)).select(
         (F.col("is_consistent") & F.lit(schema_is_valid(df))).alias("overall_valid")
     )
