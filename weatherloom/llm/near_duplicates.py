@@ -172,7 +172,7 @@ def cross_pairs(members: DataFrame, nodes: DataFrame, labels: DataFrame, least:
 def confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, rows: int, width: int, least: int, most_broadcast: int) -> DataFrame:
     """The pairs whose full sets are similar enough. Sets are made from the texts of the nodes in question only; their ids
     are broadcast where there are at most ``most_broadcast``, else Spark joins by shuffle. ``rows``: number of nodes."""
-    pairs = stored(pairs, "near-pairs", rows)
+    pairs = stored(pairs, "near-pairs", 8 * rows)  # finding them is the work, so more tasks than their number asks for
     ids = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "least"), "node")
     ids = stored(ids, "near-ids", rows)
     wanted = ids.withColumnRenamed("least", "id")
