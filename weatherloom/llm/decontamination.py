@@ -84,7 +84,8 @@ def rarest(items: DataFrame, counts: DataFrame, width: int) -> DataFrame:
 
 def postings(keyed: DataFrame, terms: DataFrame, width: int) -> DataFrame:
     """The index: ``(term, doc_id, h, pos, before, after)`` of each occurrence of a wanted term; ``before`` is nearest first."""
-    words = keyed.select("doc_id", "h", split_words(F.col("text")).alias("all")).select("doc_id", "h", "all", F.posexplode("all").alias("pos", "w"))
+    # the outer form: for the plain one Spark adds a filter on the list's size and splits every text twice
+    words = keyed.select("doc_id", "h", split_words(F.col("text")).alias("all")).select("doc_id", "h", "all", F.posexplode_outer("all").alias("pos", "w"))
     found = words.withColumn("term", ascii_lower(F.col("w"))).join(terms, "term")
     back = F.least(F.col("pos"), F.lit(width - 1))
     near = found.select(
