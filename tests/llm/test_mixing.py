@@ -60,6 +60,21 @@ def test_documents_are_repeated_as_the_mix_takes_them(make_docs):
     assert max(counts.values()) <= 2 and 500 not in counts and 270 <= len(out) <= 330 and out[0].score == "x"
 
 
+def test_rows_with_null_or_repeated_ids_have_their_own_counts(make_docs):
+    rows = [((None, 7, i)[i % 3], "w " * (20 + i), "en", "abb"[i % 2]) for i in range(240)]
+    docs = make_docs(rows)
+    want = {r["size"]: round(r.taken / r["size"]) for r in mixing.mix(docs, block_words=64).collect()}
+    assert len(set(want.values())) > 1
+    got = [len(r.text.split()) for r in mixing.mixed(docs, block_words=64).collect()]
+    assert {n: got.count(n) for n in want} == want
+
+
+def test_repeated_rows_are_taken_in_part(make_docs):
+    docs = make_docs([(1, "w " * 40, "en", "a")] * 400 + [(i, "w " * 40, "en", "b") for i in range(1000, 1200)])
+    words = sum(r.taken for r in mixing.mix(docs).collect() if r.source == "a")
+    assert abs(mixing.mixed(docs).filter("source = 'a'").count() - words / 40) <= 40
+
+
 def test_empty_table_and_no_words(make_docs):
     assert mixing.mix(make_docs([])).count() == 0
     assert [(r.target, r.taken) for r in mixing.mix(make_docs([(1, None, "en", "a"), (2, " ", "en", "b")])).collect()] == [(0.0, 0)] * 2

@@ -82,3 +82,15 @@ def test_shuffle_way_and_empty_table(make_docs):
     found = near_duplicates.near_duplicates(make_docs(rows), most_broadcast=0).collect()
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in found) == brute(rows)
     assert near_duplicates.near_duplicates(make_docs([])).count() == 0
+
+
+def test_one_of_each_with_null_and_repeated_ids(make_docs):
+    def words(name, tail=""):
+        return " ".join(f"{name}{i}" for i in range(40)) + tail
+
+    rows = [(None, words("a")), (None, words("a", " x")), (None, words("a", " y")), (None, words("alone"))]
+    rows += [(7, words("p")), (None, words("p", " x")), (None, words("p", " y"))]
+    rows += [(3, words("q")), (9, words("q", " x")), (9, words("r")), (12, words("s")), (12, words("s", " x"))]
+    rows += [(9, None), (None, ""), (None, ""), (None, words("alone"))]
+    out = [(r.doc_id, (r.text or "").split(" ")[0]) for r in near_duplicates.one_of_each(make_docs(rows)).collect()]
+    assert sorted(out, key=str) == sorted([(None, "a0"), (None, "alone0"), (7, "p0"), (3, "q0"), (9, "r0"), (12, "s0"), (9, ""), (None, "")], key=str)

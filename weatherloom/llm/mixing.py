@@ -21,13 +21,18 @@ from weatherloom.llm.shared import CELLS, WORD, locate, number_of, stored
 GOLDEN, PERIOD = 1327217885, 1 << 31
 
 
+def row_hash(text: str, key: str):
+    """Shuffle key of a document, from its id and text."""
+    return number_of(F.concat_ws(":", F.lit("mix"), F.col(key).cast("string"), F.md5(F.col(text))))
+
+
 def sized(docs: DataFrame, text: str, source: str, key: str) -> DataFrame:
     """Id, source, word count and shuffle key of each document; the text goes no further."""
     return docs.select(
         F.col(key).alias("doc_id"),
         F.col(source).alias("source"),
         F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        number_of(F.concat_ws(":", F.lit("mix"), F.col(key).cast("string"), F.md5(F.col(text)))).alias("h"),
+        row_hash(text, key).alias("h"),
     )
 
 
@@ -109,7 +114,7 @@ def block_edge(block, size, blocks):
     return F.floor(block * (size / blocks) + 1e-9).cast("long")
 
 
-def mix(
+def taken_words(
     docs: DataFrame,
     weights: tuple[int, ...] = (5, 2, 1),
     share: float = 1.5,
@@ -123,7 +128,7 @@ def mix(
     chunks: int = 4096,
     least_chunk: int = 512,
 ) -> DataFrame:
-    """Columns doc_id, source, size, source_size, target, taken: the words that the mix takes from each document."""
+    """Columns doc_id, source, h, size, source_size, target, taken: the words that the mix takes from each document."""
     spark = docs.sparkSession
     light = stored(sized(docs, text, source, key), "mix-sizes")
     plan = stored(with_blocks(targets(light, weights, share, most), block_words, least_blocks), "mix-plan")
@@ -152,13 +157,25 @@ def mix(
     # "start" tells a source's documents with words apart, repeated rows too
     got = pieces.join(used, ["place", "block"]).groupBy("place", "start").agg(F.sum(F.col("words") * F.col("uses")).alias("got"))
     taken = F.when(F.col("size") > 0, F.coalesce("got", F.lit(0))).otherwise(0).cast("long")
-    return placed.join(got, ["place", "start"], "left").select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"))
+    return placed.join(got, ["place", "start"], "left").select("doc_id", "source", "h", "size", "source_size", "target", taken.alias("taken"))
+
+
+def mix(docs: DataFrame, **options) -> DataFrame:
+    """Columns doc_id, source, size, source_size, target, taken. Options as in ``taken_words``."""
+    return taken_words(docs, **options).drop("h")
 
 
 def mixed(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", **options) -> DataFrame:
-    """The mix as documents: each row as often as the mix takes its words, rounded (0 to 2 times). Rows that share an id
-    share their count; rows without words are left out."""
-    taken = mix(docs, text=text, source=source, key=key, **options).groupBy("doc_id").agg(F.sum("taken").alias("t"), F.sum("size").alias("s"))
-    copies = taken.filter("s > 0").select(F.col("doc_id").alias("_id"), F.round(F.col("t") / F.col("s")).cast("int").alias("_copies")).filter("_copies > 0")
-    repeated = docs.join(copies, docs[key].eqNullSafe(copies["_id"]))
-    return repeated.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).drop("_id", "_copies", "_copy")
+    """The mix as documents: each row as often as the mix takes its words, rounded (0 to 2 times). Rows that repeat id,
+    source and text cannot be told apart: their mean is rounded up for as large a share of them as it exceeds a whole
+    number. Rows without words are left out."""
+    taken = taken_words(docs, text=text, source=source, key=key, **options).filter("size > 0")
+    sums = taken.groupBy("doc_id", "source", "h").agg((F.sum("taken") / F.sum("size")).alias("_mean"), F.count("*").alias("_rows"))
+    wanted = sums.filter((F.col("_mean") >= 0.5) | (F.col("_rows") > 1) & (F.col("_mean") > 0))
+    wanted = wanted.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("h").alias("_of"), "_mean", "_rows")
+    same = F.col(key).eqNullSafe(F.col("_id")) & F.col(source).eqNullSafe(F.col("_source")) & (F.col("_h") == F.col("_of"))
+    spread = ((F.monotonically_increasing_id() % PERIOD) * GOLDEN) % PERIOD / float(PERIOD)
+    found = docs.withColumn("_h", row_hash(text, key)).join(wanted, same).withColumn("_spread", spread)
+    copies = F.when(F.col("_rows") == 1, F.round("_mean")).otherwise(F.floor(F.col("_mean") + F.col("_spread"))).cast("int")
+    repeated = found.withColumn("_copies", copies).filter("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies")))
+    return repeated.drop("_id", "_source", "_h", "_of", "_mean", "_rows", "_spread", "_copies", "_copy")

@@ -80,7 +80,7 @@ def bitmap(shingles: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, width: int, chunks: int) -> DataFrame:
-    """Per document: node (null without words), n_shingles, signature, bits."""
+    """Per document: id, hash of the text, node (null without words), n_shingles, signature, bits."""
     a, b = coefficients(PLACES * chunks)
 
     @F.pandas_udf("node long, n_shingles long, signature array<int>, bits array<long>")
@@ -97,7 +97,7 @@ def signatures(docs: DataFrame, width: int, chunks: int) -> DataFrame:
             # 64-bit hashes with gaps: a plain column would turn to floating point
             yield pd.DataFrame({"node": pd.array(nodes, "Int64"), "n_shingles": sizes, "signature": signs, "bits": maps})
 
-    return docs.select("doc_id", sign("text").alias("s")).select("doc_id", "s.*")
+    return docs.select("doc_id", F.xxhash64("text").alias("h"), sign("text").alias("s")).select("doc_id", "h", "s.*")
 
 
 def chunk_keys(chunks: int) -> Column:
@@ -170,12 +170,12 @@ def cross_pairs(members: DataFrame, nodes: DataFrame, labels: DataFrame, least:
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, rows: int, width: int, least: int, most_broadcast: int) -> DataFrame:
-    """The pairs whose full sets are similar enough. Sets are made from the texts of the nodes in question only; their ids
-    are broadcast where there are at most ``most_broadcast``, else Spark joins by shuffle. ``rows``: number of nodes."""
+    """The pairs whose full sets are similar enough. Sets are made from the first texts of the nodes in question only; their
+    ids and text hashes are broadcast where there are at most ``most_broadcast``, else Spark joins by shuffle. ``rows``:
+    number of nodes."""
     pairs = stored(pairs, "near-pairs", 8 * rows)  # finding them is the work, so more tasks than their number asks for
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "least"), "node")
-    ids = stored(ids, "near-ids", rows)
-    wanted = ids.withColumnRenamed("least", "id")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", F.col("head.doc_id").alias("id"), F.col("head.h").alias("of_text")), "node")
+    wanted = stored(ids, "near-ids", rows)
     hint = F.broadcast(wanted) if wanted.count() <= most_broadcast else wanted
 
     def full(batches):
@@ -184,11 +184,11 @@ def confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, rows: int, wi
             rows = []
             for node, text in zip(batch["node"], batch["text"]):
                 own, s = shingle_hashes(text, width, known)
-                if own == node:  # an id may come with several texts
+                if own == node:
                     rows.append((node, s.view(np.int64)))
             yield pd.DataFrame(rows, columns=["node", "shingles"])
 
-    texts = docs.join(hint, docs.doc_id.eqNullSafe(F.col("id"))).select("node", "text")
+    texts = docs.join(hint, docs.doc_id.eqNullSafe(F.col("id")) & (F.xxhash64(docs.text) == F.col("of_text"))).select("node", "text")
     sets = stored(texts.mapInPandas(full, "node long, shingles array<long>").dropDuplicates(["node"]), "near-sets", rows)
     left, right = sets.select(F.col("node").alias("a"), F.col("shingles").alias("s")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("t"))
     both = pairs.join(left, "a").join(right, "b").withColumn("common", F.size(F.array_intersect("s", "t")))
@@ -213,7 +213,7 @@ def components(links: DataFrame, rows: int) -> DataFrame:
             return labels
 
 
-def near_duplicates(
+def grouped(
     docs: DataFrame,
     width: int = 5,
     least: int = 75,
@@ -222,15 +222,17 @@ def near_duplicates(
     text: str = "text",
     key: str = "doc_id",
     most_broadcast: int = 1_000_000,
-) -> DataFrame:
-    """Columns doc_id, n_shingles, component_id (smallest id reachable over links) and kept (it is the id itself).
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The signed rows, ``(node, label)`` of all nodes, and ``(label, head)``: the row that stands for each component, by
+    smallest id (null last), then text hash.
 
     ``least`` is the similarity in percent. Pairs whose signatures differ in more than ``most_differing`` places are not
     counted out exactly; at similarity 0.75 that is six standard deviations from the mean."""
     docs = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     signed = stored(signatures(docs, width, chunks), "near-signatures")
+    head = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "h")).alias("head")
     nodes = signed.filter("node is not null").groupBy("node").agg(
-        F.min("doc_id").alias("least"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"), F.first("bits").alias("bits")
+        head, F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"), F.first("bits").alias("bits")
     )
     nodes = stored(nodes, "near-nodes")
     rows = nodes.count()
@@ -240,17 +242,25 @@ def near_duplicates(
     crossing = stored(confirmed(cross_pairs(members, nodes, labels, least, chunks, most_differing), docs, nodes, rows, width, least, most_broadcast), "near-links", rows)
     if not crossing.isEmpty():
         labels = components(stars.union(crossing), rows)
-    of_node = nodes.select("node", "least").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    smallest = of_node.groupBy("label").agg(F.min("least").alias("component_id"))
-    named = of_node.join(smallest, "label").select(F.col("node").alias("of"), "component_id")
+    of_node = nodes.select("node", "head").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    return signed, of_node.select("node", "label"), of_node.groupBy("label").agg(F.min("head").alias("head"))
+
+
+def near_duplicates(docs: DataFrame, **options) -> DataFrame:
+    """Columns doc_id, n_shingles, component_id (smallest id reachable over links) and kept (it is the id itself). Several
+    rows of a component can have its id, or none at all; ``one_of_each`` chooses between them. Options as in ``grouped``."""
+    signed, of_node, heads = grouped(docs, **options)
+    named = of_node.join(heads, "label").select(F.col("node").alias("of"), F.col("head.doc_id").alias("component_id"))
     found = signed.select("doc_id", "node", "n_shingles").join(named, F.col("node") == F.col("of"), "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return found.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
-    """The documents whose id is their component's, once each: rows that repeat id and text are dropped too. A null id
-    stays if it is in no group with another id."""
-    kept = near_duplicates(docs, text=text, key=key, **options).filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    once = docs.join(kept, docs[key].eqNullSafe(kept["_kept"]), "left_semi")
-    return once.withColumn("_h", F.xxhash64(text)).dropDuplicates([key, "_h"]).drop("_h")
+    """One document of each component, by smallest id, then text hash: of texts with one id or with null ids too. Documents
+    without words stay. Rows that repeat id and text are dropped."""
+    signed, _, heads = grouped(docs, text=text, key=key, **options)
+    rows = heads.select("head.doc_id", "head.h").union(signed.filter("node is null").select("doc_id", "h"))
+    kept = rows.select(F.col("doc_id").alias("_id"), F.col("h").alias("_of"))
+    once = docs.withColumn("_h", F.xxhash64(text)).join(kept, F.col(key).eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_of")), "left_semi")
+    return once.dropDuplicates([key, "_h"]).drop("_h")
