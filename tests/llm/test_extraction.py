@@ -30,6 +30,21 @@ def test_odd_pages():
     assert len(extraction.main_text("<article>" + f"<p>{PARA}</p>" * 20_000)) == 20_000 * (len(PARA) + 1) - 1
 
 
+def test_generated_names_inside_an_article():
+    page = f"""<article><div class='article-header'><h1 class='post-header'>Head</h1></div><p id='notice-of-death'>{PARA}</p>
+<h2 id='social-impact'>Impact</h2><ul><li id='search-methods'>methods</ul><section id='discussion'><h2>Discussion</h2><p>Short.</p></section>
+<section class='discussion'><p>{PARA}</p></section><p>see <span class='related-term'>terms</span></p>
+<div id='related'><h4>More</h4><p><a href=/x>{PARA}</a></p></div><div class='social'>Tell others</div><div class='comments'><p>{PARA}</p></div></article>"""
+    assert extraction.main_text(page) == f"Head {PARA} Impact methods Discussion Short. {PARA} see terms"
+
+
+def test_short_sections_beside_the_longest():
+    long, short = f"{PARA} " * 8, "Words of a second section that has one paragraph only, without any more. " * 4
+    links = "<p><a href=/x>a link to follow</a></p>" * 5
+    page = f"<body><div><div><h2>One</h2>{f'<p>{long}</p>' * 6}</div><div><h2>Two</h2><p>{short}</p></div><div>{links}</div></div></body>"
+    assert extraction.main_text(page) == " ".join(["One", *[long.strip()] * 6, "Two", short.strip()])
+
+
 def test_links_do_not_make_main_text():
     links = "<div class=x>" + "".join(f"<p><a href=/{i}>{PARA}</a></p>" for i in range(30)) + "</div>"
     assert extraction.main_text(f"<body>{links}<div><p>{PARA}</p><p>{PARA}</p></div></body>") == f"{PARA} {PARA}"

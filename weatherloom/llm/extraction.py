@@ -2,8 +2,9 @@
 
 Every paragraph gives points for its length and its commas to its ancestors, fewer the further they are; a container's
 points are discounted by the share of its text that is in links. The container with the most points is kept, widened to
-the ``article`` or ``main`` element around it, together with siblings that have enough points or read like prose. Parts
-that announce themselves as menu, header, footer, sidebar, notice, advert, form or reader comments never count.
+the ``article`` or ``main`` element around it, together with siblings that have enough points or read like prose. Containers
+that announce themselves as menu, header, footer, sidebar, notice, advert, form or reader comments do not count; inside
+``article`` and ``main``, where names often come from headings, only if their links or their points say so too.
 
 Null and empty pages give an empty text. Very long pages are read whole; one pass builds the tree without recursion, so
 depth does not matter. Broken markup is read as browsers do: unclosed elements end with their parents. Repeated rows give
@@ -33,6 +34,8 @@ BLOCK = frozenset(
     "html body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul caption".split()
 )
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 li td th pre blockquote dd dt figcaption caption summary".split())
+#: Elements whose class and id can announce something else than main text.
+NAMED = BLOCK - PROSE
 CLOSES_P = BLOCK - {"html", "body", "td", "th", "tr", "tbody", "thead", "tfoot", "caption"} | {"hr"}
 #: An opening tag ends an open one of these, unless an element of the second set is between.
 SAME = {
@@ -59,6 +62,8 @@ UNWANTED_NAMES = frozenset(
     "share sharing social related recommended recommendations newsletter subscribe subscription signup login search copyright".split()
 )
 WANTED_NAMES = frozenset("article body content contents entry main post story text blog page".split())
+#: Classes, not ids, that never stand for a part of the article.
+NEVER_TEXT = frozenset("ads adv advert adverts advertisement advertising adsense adslot cookie cookies gdpr sidebar sidebars comment comments commentlist disqus".split())
 KEPT_ROOTS = frozenset("html body article main".split())
 
 
@@ -67,7 +72,9 @@ class Tree:
 
     def __init__(self):
         self.parent, self.tag, self.bad, self.weight = [-1], ["html"], [False], [0.0]
-        self.block, self.linked = [0], [False]
+        self.block, self.linked, self.article = [0], [False], [False]
+        #: Element to attribute: parts of an article with an unwanted name, whose text decides.
+        self.doubtful: dict[int, str] = {}
         self.open: Counter[str] = Counter()
         #: (element, text) in page order; text None is a line break.
         self.pieces: list[tuple[int, str | None]] = []
@@ -76,13 +83,14 @@ class Tree:
         n = len(self.tag)
         bad, weight = self.bad[parent], 0.0
         if not bad:
-            bad, weight = self.judged(parent, tag, attributes)
+            bad, weight = self.judged(n, parent, tag, attributes)
         self.parent.append(parent)
         self.tag.append(tag)
         self.bad.append(bad)
         self.weight.append(weight)
         self.block.append(n if tag in BLOCK else self.block[parent])
         self.linked.append(tag == "a" or self.linked[parent])
+        self.article.append(tag in ("article", "main") or self.article[parent])
         return n
 
     def leave(self, stack: list[int], depth: int) -> None:
@@ -90,10 +98,10 @@ class Tree:
         self.open.subtract(self.tag[e] for e in stack[depth:])
         del stack[depth:]
 
-    def judged(self, parent: int, tag: str, attributes: str) -> tuple[bool, float]:
+    def judged(self, n: int, parent: int, tag: str, attributes: str) -> tuple[bool, float]:
         if tag in UNWANTED:
             return True, 0.0
-        inside = tag == "header" and self.within(parent, ("article", "main"))
+        inside = tag == "header" and self.article[parent]
         if tag == "header" and not inside:
             return True, 0.0
         weight = {"article": 30.0, "main": 20.0}.get(tag, 0.0)
@@ -103,8 +111,12 @@ class Tree:
             name, value = name.lower(), max(values, key=len)
             if name in ("class", "id"):
                 parts = {p.lower() for p in NAME_PART.findall(value)}
-                if parts & UNWANTED_NAMES and tag not in KEPT_ROOTS and not inside and not (tag == "div" and parts & {"article", "story", "post"} and parts & {"page", "content", "body", "text"}):
-                    return True, 0.0
+                unwanted = parts & UNWANTED_NAMES
+                if unwanted and tag in NAMED and tag not in KEPT_ROOTS and not inside and not (tag == "div" and parts & {"article", "story", "post"} and parts & {"page", "content", "body", "text"}):
+                    if name == "class" and parts <= NEVER_TEXT or not self.article[parent]:
+                        return True, 0.0
+                    if unwanted != {"header"}:  # as for the element of that name
+                        self.doubtful[n] = "class" if self.doubtful.get(n) == "class" else name
                 weight += 10.0 * bool(parts & WANTED_NAMES)
             elif name == "role" and tag not in KEPT_ROOTS and value.lower() in UNWANTED_ROLES:
                 return True, 0.0
@@ -114,13 +126,6 @@ class Tree:
                 weight += 20.0
         return False, weight
 
-    def within(self, n: int, tags: tuple[str, ...]) -> bool:
-        while n >= 0:
-            if self.tag[n] in tags:
-                return True
-            n = self.parent[n]
-        return False
-
 
 def parse(page: str) -> Tree:
     tree, stack, at, low = Tree(), [0], 0, None
@@ -224,6 +229,33 @@ def measured(tree: Tree) -> tuple[list[float], list[float], list[float]]:
     return points, length, linked
 
 
+def settle(tree: Tree) -> None:
+    """Discards the doubtful parts that are mostly links or have few points. An id alone may come from a heading: then any
+    prose outside links is enough."""
+    points, length, linked = measured(tree)
+    prose = in_prose(tree)
+    discarded = False
+    for e, name in tree.doubtful.items():
+        few = points[e] < 2.0 and (name == "class" or not prose[e])
+        if few or 2 * linked[e] >= length[e]:
+            tree.bad[e] = discarded = True
+    if discarded:
+        for e in range(1, len(tree.tag)):
+            tree.bad[e] = tree.bad[e] or tree.bad[tree.parent[e]]
+        tree.pieces = [piece for piece in tree.pieces if not tree.bad[piece[0]]]
+
+
+def in_prose(tree: Tree) -> list[float]:
+    """Length of every element's text in paragraphs, headings and the like, without links."""
+    prose = [0.0] * len(tree.tag)
+    for element, text in tree.pieces:
+        if text is not None and not text.isspace() and not tree.linked[element] and tree.tag[tree.block[element]] in PROSE:
+            prose[element] += len(text)
+    for element in range(len(tree.tag) - 1, 0, -1):
+        prose[tree.parent[element]] += prose[element]
+    return prose
+
+
 def chosen(tree: Tree) -> set[int]:
     """Roots of the kept parts: the best container, or the article around it, and the siblings that belong to it."""
     points, length, linked = measured(tree)
@@ -250,11 +282,11 @@ def chosen(tree: Tree) -> set[int]:
     if best == 0:
         return {0}
     kept = {best}
-    bar = max(10.0, 0.2 * value(best))
     if tree.tag[best] not in ("article", "main"):
+        bar, text = 0.2 * value(best), in_prose(tree)
         for e in range(n):
             if tree.parent[e] == tree.parent[best] and not tree.bad[e] and e != best:
-                prose = tree.tag[e] in PROSE and density(e) < 0.25 and length[e] > 0
+                prose = density(e) < 0.25 and length[e] > 0 and (tree.tag[e] in PROSE or tree.tag[e] in BLOCK and 2 * text[e] >= length[e])
                 if value(e) >= bar or prose:
                     kept.add(e)
     return kept
@@ -266,6 +298,8 @@ def main_text(page: str | None) -> str:
     tree = parse(page)
     if not tree.pieces:
         return ""
+    if tree.doubtful:
+        settle(tree)
     kept = chosen(tree)
     inside = [False] * len(tree.tag)
     for e in range(len(tree.tag)):
