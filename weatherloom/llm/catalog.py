@@ -5,7 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weatherloom.llm import decontamination, extraction, language, mixing, near_duplicates, oracle, personal, ranking, sharding, votes, warc
+from weatherloom.llm import (
+    classes,
+    clusters,
+    decontamination,
+    extraction,
+    infilling,
+    language,
+    mixing,
+    near_duplicates,
+    oracle,
+    personal,
+    ranking,
+    sharding,
+    votes,
+    warc,
+)
 from weatherloom.llm.shared import part_of, stored, table
 
 
@@ -59,6 +74,23 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op12_infilling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = infilling.transform(table(spark, sf_dir, "documents"))
+    digests = [F.sha2("output", 256).alias("output_sha256"), F.sha2(infilling.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256")]
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
+def op13_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = classes.train(docs.filter(part_of("doc_id", 5, "p") != 1))
+    scored = classes.score(docs, model)
+    return scored.select("doc_id", held_out(5, 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
+
+
 QUERIES = {
     "op1_language": op1_language,
     "op2_warc": op2_warc,
@@ -70,6 +102,9 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_quality_ranking": op9_quality_ranking,
     "op10_near_duplicates": op10_near_duplicates,
+    "op11_clusters": op11_clusters,
+    "op12_infilling": op12_infilling,
+    "op13_language_model": op13_language_model,
 }
 SQL: dict[str, str] = {
     "op2_warc": warc.SQL,
@@ -77,4 +112,6 @@ SQL: dict[str, str] = {
     "op6_decontamination": decontamination.SQL,
     "op8_mixing": oracle.MIXING,
     "op10_near_duplicates": oracle.NEAR_DUPLICATES,
+    "op11_clusters": clusters.sql(),
+    "op12_infilling": infilling.SQL,
 }

@@ -42,6 +42,12 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Removes a table that has no reader left."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def stored(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """Writes the rows to the shared folder and reads them back: lineage ends here and a lost executor costs no rerun.
 
