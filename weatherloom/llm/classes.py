@@ -3,8 +3,8 @@
 Training: (1) all words are counted. (2) Words of at least a ``share``-th of all tokens move alone in the exchange, rarer
 words move with all rare words of the same last three bytes (``endings`` buckets). These units are bounded at any size:
 at most ``share`` words, since their shares add up to one, and ``endings``. (3) Transitions between units are counted over
-all texts. (4) Exchange: every round weighs for each unit the change in likelihood of moving it to each class and moves a
-part of them (parallel moves disturb each other; when a round does harm it is taken back and half as many move). The
+all texts. (4) Exchange: every round weighs for each unit the change in likelihood of moving it to each class and moves the
+half that gains most (moves made together disturb each other; when they do harm, half as many are tried). The
 end of text is a unit and class of its own, and also the context of a first word.
 
 Score of a token: P(class | class before) * P(word | class). Transitions are smoothed with the classes' own shares. A
@@ -194,7 +194,7 @@ def gains(counts: np.ndarray, own: int, after: np.ndarray, before: np.ndarray, s
     row, column = entropy_terms(rest + s) - old, entropy_terms(rest + p[:, None]) - old
     diagonal = np.diag(rest)
     found = row.sum(1) - np.diag(row) + column.sum(0) - np.diag(column) + entropy_terms(diagonal + s + p + self_pairs) - np.diag(old)
-    left, right = rest.sum(1), rest.sum(0)
+    left, right = rest.sum(1) + p, rest.sum(0) + s  # pairs with the unit count for the other side's class too
     return found - (entropy_terms(left + after.sum()) - entropy_terms(left)) - (entropy_terms(right + before.sum()) - entropy_terms(right))
 
 
@@ -220,39 +220,48 @@ def class_counts(table: DataFrame, classes: np.ndarray, k: int) -> np.ndarray:
     return found
 
 
-def wishes(table: DataFrame, classes: np.ndarray, counts: np.ndarray, k: int, seed: int, parts: int) -> dict[int, int]:
-    """The best class of every ``parts``-th unit (drawn by hash); of equal ones the smallest."""
+def wishes(table: DataFrame, classes: np.ndarray, counts: np.ndarray, k: int) -> list[tuple[int, int]]:
+    """``(unit, class)`` of the units that would be better elsewhere, most gain first; of equal classes the smallest."""
     end = len(classes) - 1
 
     def rows(batches):
         for b in batches:
-            units, best = b.column("unit").to_numpy(), []
-            for unit, after, before in zip(units, arrays(b.column("after"), end + 1), arrays(b.column("before"), end + 1)):
+            found = []
+            for unit, after, before in zip(b.column("unit").to_numpy(), arrays(b.column("after"), end + 1), arrays(b.column("before"), end + 1)):
                 by = [np.bincount(classes, x, k + 1) for x in (after, before)]
-                best.append(int(gains(counts, classes[unit], *by, after[unit])[:k].argmax()))
-            yield pa.RecordBatch.from_arrays([pa.array(units), pa.array(best, pa.int32())], ["unit", "best"])
+                all_gains = gains(counts, classes[unit], *by, after[unit])[:k]
+                best = int(all_gains.argmax())
+                if unit != end and all_gains[best] > all_gains[classes[unit]] + 1e-9 * after.sum():
+                    found.append((int(unit), best, float(all_gains[best] - all_gains[classes[unit]])))
+            if found:
+                units, best, gain = zip(*found)
+                yield pa.RecordBatch.from_arrays([pa.array(units, pa.int32()), pa.array(best, pa.int32()), pa.array(gain)], ["unit", "best", "gain"])
 
-    chosen = table.filter((F.col("unit") != end) & (F.pmod(F.xxhash64("unit", F.lit(seed)), F.lit(parts)) == 0))
-    return {r["unit"]: r["best"] for r in chosen.mapInArrow(rows, "unit int, best int").collect()}
+    asked = table.filter(F.col("unit") != end).mapInArrow(rows, "unit int, best int, gain double").collect()
+    return [(r["unit"], r["best"]) for r in sorted(asked, key=lambda r: (-r["gain"], r["unit"]))]
 
 
 def exchange(table: DataFrame, n: int, k: int, rounds: int, least: float = 1e-4) -> tuple[np.ndarray, np.ndarray, list[float]]:
-    """Classes of the ``n`` units, their transitions, and the likelihood after each round that was kept."""
+    """Classes of the ``n`` units, their transitions, and the likelihood at the start and after each round."""
     classes = np.arange(n) % k
     classes[-1] = k
     counts = class_counts(table, classes, k)
     history, parts = [likelihood(counts)], 2
-    for nth in range(rounds):
-        tried = classes.copy()
-        for unit, best in wishes(table, classes, counts, k, nth, parts).items():
-            tried[unit] = best
-        seen = class_counts(table, tried, k)
-        now = likelihood(seen)
-        if now <= history[-1]:
-            parts *= 2
-            continue
-        classes, counts = tried, seen
-        history.append(now)
+    for _ in range(rounds):
+        wanted = wishes(table, classes, counts, k)
+        while wanted:
+            moved = wanted[: -(-len(wanted) // parts)]
+            tried = classes.copy()
+            for unit, best in moved:
+                tried[unit] = best
+            seen = class_counts(table, tried, k)
+            if likelihood(seen) > history[-1]:
+                break
+            wanted, parts = ([], parts) if len(moved) == 1 else (wanted, parts * 2)
+        if not wanted:
+            break
+        classes, counts, parts = tried, seen, max(2, parts // 2)
+        history.append(likelihood(counts))
         if history[-1] - history[-2] < least * abs(history[-1]):
             break
     return classes, counts, history
