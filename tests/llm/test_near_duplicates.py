@@ -94,3 +94,36 @@ def test_one_of_each_with_null_and_repeated_ids(make_docs):
     rows += [(9, None), (None, ""), (None, ""), (None, words("alone"))]
     out = [(r.doc_id, (r.text or "").split(" ")[0]) for r in near_duplicates.one_of_each(make_docs(rows)).collect()]
     assert sorted(out, key=str) == sorted([(None, "a0"), (None, "alone0"), (7, "p0"), (3, "q0"), (9, "r0"), (12, "s0"), (9, ""), (None, "")], key=str)
+
+
+def changed_copies(n, words=60, seed=4):
+    """One text, one word of each copy changed: star links cannot join them all, most pairs lie just below the threshold."""
+    rng = random.Random(seed)
+    base = [f"w{rng.randrange(400)}" for _ in range(words)]
+    return [(i, " ".join([*base[: (at := rng.randrange(words))], f"n{i}", *base[at + 1 :]])) for i in range(n)]
+
+
+def test_small_blocks_give_the_same_components(make_docs, monkeypatch):
+    rows = changed_copies(90)
+    for size, weight in ((4, 1 << 24), (1024, 2000)):
+        monkeypatch.setattr(near_duplicates, "BLOCK", size)
+        monkeypatch.setattr(near_duplicates, "BLOCK_BYTES", weight)
+        found = near_duplicates.near_duplicates(make_docs(rows)).collect()
+        assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in found) == brute(rows)
+
+
+def test_rows_of_the_cross_search_grow_with_the_group(make_docs, monkeypatch):
+    """Every table that is written, on 100, 200 and 400 copies: none grows with the square."""
+    seen = {}
+
+    def counted(df, name, rows=None, write=near_duplicates.stored):
+        out = write(df, name, rows)
+        seen[name, size] = max(out.count(), seen.get((name, size), 0))
+        return out
+
+    monkeypatch.setattr(near_duplicates, "stored", counted)
+    for size in (100, 200, 400):
+        assert len({r.component_id for r in near_duplicates.near_duplicates(make_docs(changed_copies(size))).collect()}) < size
+    for name in {n for n, _ in seen}:
+        assert seen[name, 400] <= 2.6 * max(seen[name, 200], 40), name
+    assert seen["near-links", 400] < 4 * 400

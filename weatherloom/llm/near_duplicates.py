@@ -3,13 +3,14 @@
 A document's set is its distinct shingles of ``width`` words (A-Z lower-cased); a shorter text is one shingle. A
 signature has ``chunks`` chunks of four 32-bit minima. By the pigeonhole principle two signatures that differ in at most
 2 * chunks - 1 places agree in all but one place of some chunk, so every chunk is indexed under its four keys with one
-place left out. All pairs within that distance share a key; at similarity 0.75 a pair is further apart with a chance below
-1e-6.
+place left out. All pairs within that distance (23 places of 48) share a key, that is guaranteed. At similarity 0.75 a pair
+is further apart with a chance of about 2e-4; it is then still found unless every chunk differs in two places or more,
+which leaves a chance of about 1e-7 that a pair at the threshold shares no key.
 
 Pairs are never listed within a bucket of equal keys. First every member is compared with the bucket's smallest one.
-The links found give groups; only buckets whose members are still in different groups are searched again, for pairs across
-groups. A bitmap of each set bounds the overlap of a pair from above, so what cannot reach the threshold is dropped
-inside the join, and what remains is counted exactly on the full sets.
+The links found give groups; only buckets whose members are still in different groups are searched again, in blocks that
+meet in a task. A bitmap of each set bounds the overlap of a pair from above, what remains is counted exactly on
+the full sets there, and only links that join two groups leave the task.
 
 Texts with equal words are one node from the start, by a 64-bit hash of the words. Null and empty texts have size 0,
 no links, and are their own component. Null ids: linked as others are, never a component's id unless nobody else is there.
@@ -34,6 +35,10 @@ BITS, LONGS = 1024, 16
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 #: Shingles hashed at a time, so that a very long text needs no large matrix.
 STEP = 1 << 12
+#: Members of a bucket that meet in one task are two blocks of about this many at most.
+BLOCK = 1024
+#: The same for their full sets, in bytes.
+BLOCK_BYTES = 1 << 24
 WORDS_REMEMBERED = 100_000
 
 
@@ -119,27 +124,9 @@ def can_reach(a: str, b: str, least: int) -> Column:
     return (100 + least) * (total - differing) >= 2 * least * total
 
 
-def same_places(a: str, b: str, chunks: int) -> list[list[Column]]:
-    """For each chunk, whether its places are equal (1 or 0)."""
-    return [[(F.col(f"{a}.signature")[c * PLACES + p] == F.col(f"{b}.signature")[c * PLACES + p]).cast("int") for p in range(PLACES)] for c in range(chunks)]
-
-
-def first_shared(same: list[list[Column]]) -> Column:
-    """Number of the first key that two signatures share, so that a pair is reported in one bucket only."""
-    tried = []
-    for c, places in enumerate(same):
-        at = c * PLACES
-        # all equal: the key without place 0 is the first; one differs: the key without that place
-        number = F.when(places[0] == 0, at)
-        for p in range(1, PLACES):
-            number = number.when(places[p] == 0, at + p)
-        tried.append(F.when(sum(places[1:], places[0]) >= PLACES - 1, number.otherwise(at)))
-    return F.coalesce(*tried)
-
-
 def buckets(nodes: DataFrame, chunks: int) -> DataFrame:
-    """``(key, number, node, center)`` of all keys that two nodes or more share; the center is the smallest node."""
-    keyed = nodes.select(F.posexplode(chunk_keys(chunks)).alias("number", "key"), "node")
+    """``(key, node, n_shingles, center)`` of all keys that two nodes or more share; the center is the smallest node."""
+    keyed = nodes.select(F.explode(chunk_keys(chunks)).alias("key"), "node", "n_shingles")
     shared = keyed.groupBy("key").agg(F.min("node").alias("center"), F.max("node").alias("last")).filter("center < last")
     return keyed.join(shared.drop("last"), "key")
 
@@ -152,49 +139,138 @@ def star_pairs(members: DataFrame, nodes: DataFrame, least: int) -> DataFrame:
     return pairs.join(left, F.col("a") == F.col("x.node")).join(right, F.col("b") == F.col("y.node")).filter(can_reach("x", "y", least)).select("a", "b")
 
 
-def cross_pairs(members: DataFrame, nodes: DataFrame, labels: DataFrame, least: int, chunks: int, most_differing: int) -> DataFrame:
-    """Pairs in different groups that share a bucket, within the signature distance, and that the bitmaps allow; each pair
-    once. Centers were compared already; a bucket whose other members are all in one group has nothing left to compare."""
-    grouped = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    rest = grouped.filter("node != center")
-    open_keys = rest.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("key")
-    open_rows = rest.join(open_keys, "key").select("key", "number", "node", "label")
-    wide = open_rows.join(nodes.select("node", "n_shingles", "bits", "signature"), "node")
-    x, y = wide.alias("x"), wide.alias("y")
-    same = same_places("x", "y", chunks)
-    near = sum((p for places in same for p in places), F.lit(0)) >= PLACES * chunks - most_differing
-    once = F.col("x.number") == first_shared(same)
-    sizes = (100 * F.least("x.n_shingles", "y.n_shingles")) >= least * F.greatest("x.n_shingles", "y.n_shingles")
-    on = (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label")) & sizes & near & once & can_reach("x", "y", least)
-    return x.join(y, on).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-
-
-def confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, rows: int, width: int, least: int, most_broadcast: int) -> DataFrame:
-    """The pairs whose full sets are similar enough. Sets are made from the first texts of the nodes in question only; their
-    ids and text hashes are broadcast where there are at most ``most_broadcast``, else Spark joins by shuffle. ``rows``:
-    number of nodes."""
-    pairs = stored(pairs, "near-pairs", 8 * rows)  # finding them is the work, so more tasks than their number asks for
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", F.col("head.doc_id").alias("id"), F.col("head.h").alias("of_text")), "node")
-    wanted = stored(ids, "near-ids", rows)
+def full_sets(ids: DataFrame, docs: DataFrame, nodes: DataFrame, rows: int, width: int, most_broadcast: int) -> DataFrame:
+    """``(node, shingles)`` of the nodes in ``ids``, made from the first text of each; ids and text hashes are
+    broadcast where there are at most ``most_broadcast``, else Spark joins by shuffle. ``rows``: number of nodes."""
+    wanted = ids.join(nodes.select("node", F.col("head.doc_id").alias("id"), F.col("head.h").alias("of_text")), "node")
+    wanted = stored(wanted, "near-ids", rows)
     hint = F.broadcast(wanted) if wanted.count() <= most_broadcast else wanted
 
     def full(batches):
         known: dict[bytes, int] = {}
         for batch in batches:
-            rows = []
+            found = []
             for node, text in zip(batch["node"], batch["text"]):
                 own, s = shingle_hashes(text, width, known)
                 if own == node:
-                    rows.append((node, s.view(np.int64)))
-            yield pd.DataFrame(rows, columns=["node", "shingles"])
+                    found.append((node, s.view(np.int64)))
+            yield pd.DataFrame(found, columns=["node", "shingles"])
 
     texts = docs.join(hint, docs.doc_id.eqNullSafe(F.col("id")) & (F.xxhash64(docs.text) == F.col("of_text"))).select("node", "text")
-    sets = stored(texts.mapInPandas(full, "node long, shingles array<long>").dropDuplicates(["node"]), "near-sets", rows)
+    return stored(texts.mapInPandas(full, "node long, shingles array<long>").dropDuplicates(["node"]), "near-sets", rows)
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, rows: int, width: int, least: int, most_broadcast: int) -> DataFrame:
+    """The pairs whose full sets are similar enough; pairs grow with the nodes only, as they are those of centers."""
+    pairs = stored(pairs, "near-pairs", 8 * rows)  # finding them is the work, so more tasks than their number asks for
+    sets = full_sets(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), docs, nodes, rows, width, most_broadcast)
     left, right = sets.select(F.col("node").alias("a"), F.col("shingles").alias("s")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("t"))
     both = pairs.join(left, "a").join(right, "b").withColumn("common", F.size(F.array_intersect("s", "t")))
     return both.filter(100 * F.col("common") >= least * (F.size("s") + F.size("t") - F.col("common"))).select("a", "b")
 
 
+def open_blocks(members: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame:
+    """``(key, lo, hi, node, label, size, bits, signature)``: the members of buckets that are still in different groups,
+    each bucket cut into blocks by a hash of the node, for every two blocks (or one) that have to meet.
+
+    Centers were compared already; a bucket whose other members are all in one group has nothing left to compare."""
+    labelled = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    rest = labelled.filter("node != center")
+    sizes = rest.groupBy("key").agg(F.min("label").alias("first"), F.max("label").alias("last"), F.count(F.lit(1)).alias("m"), F.sum("n_shingles").alias("all")).filter("first < last")
+    rows = rest.join(sizes.select("key", F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("all") * 8 / BLOCK_BYTES)).alias("blocks")), "key")
+    own = F.pmod(F.xxhash64("node", "key"), F.col("blocks")).cast("int").alias("own")
+    rows = rows.select("key", "node", "label", own, F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)).alias("other"))
+    rows = rows.select("key", "node", "label", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+    return rows.join(nodes.select("node", F.col("n_shingles").alias("size"), "bits", "signature"), "node")
+
+
+def candidates(labels: np.ndarray, sizes: np.ndarray, bits: np.ndarray, signs: np.ndarray, least: int, most_differing: int) -> Iterator[np.ndarray]:
+    """Pairs of positions (first < second) in different groups, within the signature distance, that sizes and bitmaps allow."""
+    order = np.argsort(sizes, kind="stable")
+    labels, sizes, bits, signs = labels[order], sizes[order], bits[order], signs[order]
+    for i in range(len(sizes)):
+        # sizes ascend: those from i + 1 on, up to the largest that can be similar
+        to = int(np.searchsorted(sizes, sizes[i] * 100 / least, "right"))
+        j = np.flatnonzero(labels[i + 1 : to] != labels[i]) + i + 1
+        if not len(j):
+            continue
+        total = sizes[i] + sizes[j]
+        differing = np.bitwise_count(bits[j] ^ bits[i]).sum(1, dtype=np.int64)
+        j = j[(100 + least) * (total - differing) >= 2 * least * total]
+        j = j[(signs[j] != signs[i]).sum(1) <= most_differing]
+        if len(j):
+            yield np.sort(np.stack([np.full(len(j), order[i]), order[j]], 1), 1)
+
+
+def block_lists(rows: DataFrame, *columns: str) -> DataFrame:
+    """One row for each two blocks that meet, with a list for every column; a list has about 2 * BLOCK entries at most."""
+    packed = rows.groupBy("key", "lo", "hi").agg(F.collect_list(F.struct(*columns)).alias("m"), F.min("label").alias("first"), F.max("label").alias("last"))
+    return packed.filter("first < last").select("key", "lo", "hi", *[F.col(f"m.{c}").alias(c) for c in columns])
+
+
+def unpacked(row: dict) -> tuple[np.ndarray, ...]:
+    """Nodes, labels, sizes, bitmaps and signatures of a row of ``block_lists``."""
+    plain = [np.asarray(row[c], np.int64) for c in ("node", "label", "size")]
+    return *plain, np.stack([np.asarray(b, np.int64).view(np.uint64) for b in row["bits"]]), np.stack([np.asarray(x, np.int32) for x in row["signature"]])
+
+
+def crossing_links(members: DataFrame, docs: DataFrame, nodes: DataFrame, labels: DataFrame, rows: int, width: int, least: int, most_differing: int, most_broadcast: int) -> DataFrame:
+    """Links between different groups, enough to join them as all links would.
+
+    Blocks of a bucket meet in a task. A first pass finds the nodes that have any candidate; full sets are made for those
+    only. A second pass compares the full sets of the candidates in the task and gives a link where it joins two groups that
+    are still apart there, so there are fewer links than members, and no pairs travel."""
+    light = ("node", "label", "size", "bits", "signature")
+    blocks = stored(open_blocks(members, nodes, labels), "near-blocks")
+
+    def wanted(batches):
+        for batch in batches:
+            keys, los, his, found = [], [], [], []
+            for row in batch.to_dict("records"):
+                node, label, size, bits, signs = unpacked(row)
+                pairs = list(candidates(label, size, bits, signs, least, most_differing))
+                if pairs:
+                    chosen = node[np.unique(np.concatenate(pairs))]
+                    found.append(chosen)
+                    for column, value in ((keys, row["key"]), (los, row["lo"]), (his, row["hi"])):
+                        column.append(np.full(len(chosen), value))
+            if found:
+                yield pd.DataFrame({"key": np.concatenate(keys), "lo": np.concatenate(los), "hi": np.concatenate(his), "node": np.concatenate(found)})
+
+    chosen = stored(block_lists(blocks, *light).mapInPandas(wanted, "key long, lo int, hi int, node long"), "near-wanted", rows)
+    sets = full_sets(chosen.select("node").distinct(), docs, nodes, rows, width, most_broadcast)
+
+    def links(batches):
+        for batch in batches:
+            left, right = [], []
+            for row in batch.to_dict("records"):
+                node, label, size, bits, signs = unpacked(row)
+                sets = [np.asarray(s, np.int64) for s in row["shingles"]]
+                group = {int(x): int(x) for x in label}
+
+                def top(x):
+                    while group[x] != x:
+                        group[x] = group[group[x]]
+                        x = group[x]
+                    return x
+
+                for pairs in candidates(label, size, bits, signs, least, most_differing):
+                    for i, j in pairs:
+                        x, y = top(int(label[i])), top(int(label[j]))
+                        if x == y:
+                            continue
+                        common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                        if 100 * common >= least * (len(sets[i]) + len(sets[j]) - common):
+                            group[max(x, y)] = min(x, y)
+                            left.append(node[i])
+                            right.append(node[j])
+            if left:
+                yield pd.DataFrame({"a": left, "b": right})
+
+    full = blocks.join(chosen, ["key", "lo", "hi", "node"]).join(sets, "node")
+    return block_lists(full, *light, "shingles").mapInPandas(links, "a long, b long")
+
+
 def components(links: DataFrame, rows: int) -> DataFrame:
     """``(node, label)`` for all nodes with links: the smallest node that can be reached.
 
@@ -239,7 +315,7 @@ def grouped(
     members = stored(buckets(nodes, chunks), "near-members", PLACES * rows)
     stars = stored(confirmed(star_pairs(members, nodes, least), docs, nodes, rows, width, least, most_broadcast), "near-links", rows)
     labels = components(stars, rows)
-    crossing = stored(confirmed(cross_pairs(members, nodes, labels, least, chunks, most_differing), docs, nodes, rows, width, least, most_broadcast), "near-links", rows)
+    crossing = stored(crossing_links(members, docs, nodes, labels, rows, width, least, most_differing, most_broadcast), "near-links", rows)
     if not crossing.isEmpty():
         labels = components(stars.union(crossing), rows)
     of_node = nodes.select("node", "head").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
