@@ -80,7 +80,7 @@ def run_counts(spark, sf_dir):
 def adaptive_alerts(spark, sf_dir):
     out = extremes.adaptive_alerts(
         extremes.with_storms(classified(spark, sf_dir)), ["city"], ["event_id"],
-        watch_offset=1.0, emergency_offset=0.5,
+        watch_offset=1.0, emergency_offset=0.5, history=sensors(spark, sf_dir),
     )
     return out.select("event_id", "heat_level", "cold_level", "wind_level", "storm_level")
 

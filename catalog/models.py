@@ -10,7 +10,6 @@ from catalog.climate import station_month
 from weatherloom.functions.rules import intensity_class
 from weatherloom.operators import event_models, features, models
 from weatherloom.operators.hourly import month_grid
-from weatherloom.operators.series import Series
 from weatherloom.plans import jobs
 
 TREES = {"random_forest": {"numTrees": 20, "maxDepth": 6}, "gradient_boosting": {"maxIter": 10}}
@@ -39,9 +38,9 @@ def seasonal_features(spark, sf_dir):
     return rounded(out, "temperature", *features.SEASON_FEATURES)
 
 
-def _order() -> Series:
-    """Cells of a month and a station bucket over all stations: the SQL can follow it, and a month is several tasks."""
-    return Series([], ["year", "month", "station"], "struct(year, month, station % 32)")
+def _order() -> list[str]:
+    """The plain order over all stations."""
+    return features.global_month_order(["station"])
 
 
 def chrono_split(spark, sf_dir):
@@ -272,7 +271,7 @@ def _filled(name: str) -> str:
     return f"{r(f'coalesce({forward}, {backward}, avg(temperature) OVER (PARTITION BY station))')} AS {name}"
 
 
-_PLACE = "row_number() OVER (ORDER BY year, month, station % 32, station) - 1 AS pos, count(*) OVER () AS n"
+_PLACE = "row_number() OVER (ORDER BY year, month, station) - 1 AS pos, count(*) OVER () AS n"
 
 _LINE = "regr_slope(temperature, year) AS s, regr_intercept(temperature, year) AS i"
 _ERRORS = "sqrt(avg(power(e, 2)))"

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from weatherloom.operators import anomalies, extremes, joining
 from weatherloom.operators.quantiles import bounded_quantiles, exact_quantiles
 from weatherloom.sources.writers import scratch_dir
-from weatherloom.operators.series import Series, cell_unit_for, fill_gaps, look_back, positions
+from weatherloom.operators.series import Series, cell_unit_for, fill_gaps, in_ranges, look_back, positions
 
 
 @pytest.fixture(scope="module")
@@ -133,6 +133,77 @@ def test_exact_quantiles_of_nothing(spark, skewed):
     assert exact_quantiles(skewed.filter("id < 0"), "v", {"m": 0.5}, ["station"]).count() == 0
 
 
+def nasty(n):
+    """Values that equal widths do not separate: outliers, heavy ties, both signs, infinities, a NaN."""
+    spread = [(-1) ** i * 1.7 ** (i % 300) for i in range(n)]
+    ties = [7.0] * n + [7.0 + i / 1e9 for i in range(n // 4)]
+    return {"spread": spread, "ties": ties, "outlier": [float(i) for i in range(n)] + [1e300, -1e300], "ends": [float("inf"), float("-inf"), float("nan")] * 30 + [0.5, -0.0, 0.0], "none": [None] * 3, "one": [4.0]}
+
+
+@pytest.mark.parametrize("most, cells", [(3, 4), (20, 16), (200, 1024)])
+def test_narrowed_quantiles_equal_sorted_values(spark, most, cells):
+    groups = nasty(400)
+    df = spark.createDataFrame([(k, v) for k, values in groups.items() for v in values], "k string, v double").repartition(5)
+    names = {f"p{i}": p for i, p in enumerate((0.0, 0.01, 0.25, 0.3333, 0.5, 0.9, 0.999, 1.0))}
+    # whole ranks: no interpolation between an infinity and a number
+    got = {r.k: r for r in exact_quantiles(df, "v", names, ["k"], accuracy=100, most=most, cells=cells).collect()}
+    want = {r.k: r for r in bounded_quantiles(df.filter("k != 'ends'"), "v", names, ["k"]).collect()}
+    for k in want:
+        for n in names:
+            assert got[k][n] == (want[k][n] if want[k][n] is None else pytest.approx(want[k][n])), (k, n)
+    assert got["ends"].p0 == float("-inf") and got["ends"].p7 != got["ends"].p7
+    alone = exact_quantiles(df.filter("k = 'spread'"), "v", names, most=most, cells=cells).first()
+    assert [alone[n] for n in names] == pytest.approx([want["spread"][n] for n in names])
+
+
+def test_quantile_tables_stay_small(spark, monkeypatch):
+    """At most ``cells`` counted rows or ``most`` values of a bracket meet, and three passes do for spread-out values."""
+    from weatherloom.operators import quantiles
+
+    seen, passes = {}, []
+    monkeypatch.setattr(quantiles, "stored", lambda df, name: seen.setdefault((name, len(seen)), joining.stored(df, name)))
+    placed = quantiles._placed
+    monkeypatch.setattr(quantiles, "_placed", lambda *a: passes.append(1) or placed(*a))
+    df = spark.range(200_000).select((F.col("id") * 7919 % 200_003 / 16).alias("v"))
+    got = exact_quantiles(df, "v", {"q": 0.37, "m": 0.5}, most=500, cells=64).first()
+    want = df.agg(F.percentile("v", 0.37).alias("q"), F.percentile("v", 0.5).alias("m")).first()
+    assert got == want and len(passes) == 2  # and the pass that counts the groups
+    cells = [t for (name, _), t in seen.items() if name == "quantile-cells"]
+    assert len(cells) == 1 and cells[0].groupBy("_b", "_part").count().agg(F.max("count")).first()[0] <= 64
+
+
+def test_hot_keys_are_counted_and_only_they_are_cut(spark, skewed):
+    hot = {r.station: r._parts for r in joining.hot_keys(skewed, ["station"], 12).collect()}
+    assert hot == {0: 4}  # a third of the rows, in parts of a twelfth
+    stats = skewed.groupBy("station").agg(F.sum("v").alias("s"))
+    joined = joining.join_statistics(skewed, stats, ["station"], ["id"], spread=12, max_rows=1)
+    plan = joined._jdf.queryExecution().optimizedPlan().toString()
+    assert "sequence" in plan and joined.count() == 3000
+
+
+def test_parts_of_a_hot_key_are_as_large_as_others(spark):
+    """A third of the rows in one key: the largest of 8 shuffle partitions is within twice the median."""
+    rows = spark.range(60_000).select("id", F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 5000 + 1).alias("k"))
+    hot = joining.hot_keys(rows, ["k"], 64)
+    part = F.coalesce(F.pmod(F.xxhash64("id"), F.col("_parts")), F.lit(0)).cast("int")
+    dealt = rows.join(F.broadcast(hot), "k", "left").withColumn("_part", part)
+    sizes = sorted(r["count"] for r in dealt.groupBy(F.pmod(F.hash("k", "_part"), F.lit(8))).count().collect())
+    assert len(sizes) == 8 and sizes[-1] <= 2 * sizes[4]
+
+
+def test_rows_without_key_meet_nothing_and_are_spread(spark):
+    rows = spark.createDataFrame([(i, None if i % 2 else 1) for i in range(20)], "id int, k int")
+    stats = spark.createDataFrame([(1, 5), (None, 9)], "k int, s int")
+    got = joining.join_statistics(rows, stats, ["k"], ["id"], spread=4, max_rows=1)
+    assert sorted((r.id, r.s) for r in got.collect()) == [(i, None if i % 2 else 5) for i in range(20)]
+
+
+def test_wide_rows_are_not_broadcast(spark):
+    wide = spark.range(100).select(F.expr("repeat('x', 1000)").alias("text"), F.array(F.lit("y")).alias("list"))
+    assert joining.broadcast_if_small(wide, 1000, max_bytes=50_000) is None
+    assert joining.broadcast_if_small(wide, 1000, max_bytes=500_000) is not None
+
+
 @pytest.mark.parametrize("max_rows", [5, 1000])
 def test_statistics_join_equals_plain_join(spark, skewed, max_rows):
     stats = skewed.groupBy("station").agg(F.sum("v").alias("s")).filter("station != 5")
@@ -188,3 +259,35 @@ def test_results_do_not_depend_on_partitioning(spark, skewed, partitions):
         exact_quantiles(skewed, "v", {"m": 0.9}).head().m,
         skewed.select("id", F.lag("v", 1).over(in_order()).alias("a")).agg(F.sum(F.col("a") * (F.col("id") % 17))).head()[0],
     )
+
+
+@pytest.mark.parametrize("per_range", [100, 1000, 10_000])
+def test_ranges_follow_the_order_and_the_counted_rows(spark, per_range):
+    """Half of all rows in one month: its ranges are as large as those of thin months."""
+    n = F.col("id")
+    rows = spark.range(4000).select(n, F.lit(2000).alias("year"), F.when(n % 2 == 0, 6).otherwise(n % 12 + 1).cast("int").alias("month"), (n * 7919 % 4001).alias("station"))
+    dealt, order = in_ranges(rows.repartition(5), ["year", "month", "station"], per_range)
+    sizes = [r["count"] for r in dealt.groupBy("_range").count().collect()]
+    assert sum(sizes) == 4000 and max(sizes) <= 2.5 * per_range
+    placed = positions(dealt, order).drop("_range")
+    plain = Window.partitionBy(F.lit(0)).orderBy("year", "month", "station")
+    wrong = placed.withColumn("w", F.row_number().over(plain) - 1).filter("position != w or series_size != 4000")
+    assert wrong.count() == 0
+    by_columns = positions(rows, ["year", "month", "station"])
+    assert by_columns.columns == [*rows.columns, "position", "series_size"]
+    assert by_columns.exceptAll(placed).count() == 0
+
+
+def test_positions_of_nothing(spark):
+    rows = spark.createDataFrame([], "year int, month int")
+    assert positions(rows, ["year", "month"]).count() == 0
+
+
+def test_weighted_quantiles_equal_those_of_repeated_rows(spark, skewed):
+    counted = skewed.groupBy("station", "v").agg(F.count("*").alias("times"))
+    for most in (4, 10_000):
+        got = exact_quantiles(counted, "v", NAMES, ["station"], most=most, weight="times")
+        want = bounded_quantiles(skewed, "v", NAMES, ["station"])
+        pairs = got.join(want.select("station", *[F.col(c).alias(f"w_{c}") for c in NAMES]), "station")
+        assert pairs.count() == want.count()
+        assert all((r[c] is None and r[f"w_{c}"] is None) or r[c] == pytest.approx(r[f"w_{c}"]) for r in pairs.collect() for c in NAMES)

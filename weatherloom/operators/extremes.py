@@ -198,12 +198,16 @@ def adaptive_alerts(
     category: str | None = "storm_category",
     watch_offset: float = 2.0,
     emergency_offset: float = 3.0,
+    history: DataFrame | None = None,
 ) -> DataFrame:
     """Levels against each key's own percentiles; the strongest satisfied rule wins.
 
+    The percentiles are those of ``history`` (``keys`` and ``value``), by default of ``df`` itself. They take
+    several passes, so give the plain rows where ``df`` is the end of a long plan.
+
     Heat: p95 + offset, p99, p99 + offset. Cold mirrors it at p5 and p1.
     """
-    cuts = exact_quantiles(df, value, {"_p1": 0.01, "_p5": 0.05, "_p95": 0.95, "_p99": 0.99}, keys)
+    cuts = exact_quantiles(df if history is None else history, value, {"_p1": 0.01, "_p5": 0.05, "_p95": 0.95, "_p99": 0.99}, keys)
     t = F.col(value)
 
     def level(emergency: Column, warning: Column, watch: Column) -> Column:

@@ -121,7 +121,7 @@ def seasonal_features(df: DataFrame, keys: Sequence[str], value: str = "temperat
 
 
 def chronological_split(
-    df: DataFrame, order: Series, test_size: float = 0.2, flag: str = "is_test"
+    df: DataFrame, order: Series | Sequence[str], test_size: float = 0.2, flag: str = "is_test"
 ) -> DataFrame:
     """Marks the last ``ceil(test_size * n)`` rows of the global order as test rows."""
     placed = positions(df, order, "_at", "_n")
@@ -129,7 +129,7 @@ def chronological_split(
     return placed.withColumn(flag, F.col("_at") >= cut).drop("_at", "_n")
 
 
-def expanding_folds(df: DataFrame, order: Series, splits: int = 5, fold: str = "fold") -> DataFrame:
+def expanding_folds(df: DataFrame, order: Series | Sequence[str], splits: int = 5, fold: str = "fold") -> DataFrame:
     """Fold 0 is only ever trained on; fold i is validated by a model of the folds before it.
 
     Validation folds have ``n // (splits + 1)`` rows each, the rest is fold 0.
@@ -141,7 +141,7 @@ def expanding_folds(df: DataFrame, order: Series, splits: int = 5, fold: str = "
     return placed.withColumn(fold, number.cast("int")).drop("_at", "_n")
 
 
-def block_folds(df: DataFrame, order: Series, folds: int = 5, fold: str = "fold") -> DataFrame:
+def block_folds(df: DataFrame, order: Series | Sequence[str], folds: int = 5, fold: str = "fold") -> DataFrame:
     """Contiguous folds of the global order, the first ones a row longer when n is no multiple."""
     placed = positions(df, order, "_at", "_n")
     size, more, at = F.floor(F.col("_n") / folds), F.col("_n") % folds, F.col("_at")
@@ -150,13 +150,6 @@ def block_folds(df: DataFrame, order: Series, folds: int = 5, fold: str = "fold"
     return placed.withColumn(fold, number.cast("int")).drop("_at", "_n")
 
 
-def global_month_order(ties: Sequence[str], buckets: int = 32) -> Series:
-    """Order by (year, month, ties) over all stations, in cells of a month and a tie bucket.
-
-    The bucket is a stable hash of the ties and comes before them in the order, so a month
-    with very many rows is still several cells.
-    """
-    bucket = F.pmod(F.xxhash64(*ties), F.lit(buckets)).cast("int")
-    return Series([], ["year", "month", *ties], F.struct("year", "month", bucket.alias("bucket")))
-
-
+def global_month_order(ties: Sequence[str]) -> list[str]:
+    """Order by (year, month, ties) over all stations; its cells are ranges of counted size."""
+    return ["year", "month", *ties]

@@ -261,7 +261,7 @@ def fold_summary(metrics: DataFrame) -> DataFrame:
 
 def time_series_validation(
     df: DataFrame,
-    order: Series,
+    order: Series | Sequence[str],
     models: Sequence[str],
     features: Sequence[str],
     label: str,
@@ -297,7 +297,7 @@ def k_fold_rmse(
 
 def train_ensemble(
     df: DataFrame,
-    order: Series,
+    order: Series | Sequence[str],
     features: Sequence[str],
     label: str = "temperature",
     models: Sequence[str] = ("linear", "ridge", "random_forest"),

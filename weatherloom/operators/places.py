@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weatherloom.functions.geo import climate_zone, continent_of, parse_coordinate, region_of
-from weatherloom.operators.joining import broadcast_if_small, join_statistics
+from weatherloom.operators.joining import join_statistics
 
 #: Degrees of the cells by which points and boxes meet.
 CELL_DEGREES = 5
@@ -16,11 +16,12 @@ def with_country(df: DataFrame, countries: DataFrame, name: str = "country") ->
     """Add ``country_code`` and ``continent`` from a lookup table; unknown names give null.
 
     ``countries`` has columns ``name``, ``country_code``, ``continent``, one row per country.
-    Its size is checked before it is broadcast; a larger one is joined by shuffle.
+    It is stored once and its size checked before it is broadcast; a larger one is joined by shuffle, with the rows of
+    frequent countries (and of unknown ones) dealt over several tasks by a hash of the whole row.
     """
     table = countries.select(F.col("name").alias(name), "country_code", "continent")
-    small = broadcast_if_small(table)
-    return df.join(table if small is None else small, name, "left")
+    plain = [c for c, kind in df.dtypes if "map<" not in kind]
+    return join_statistics(df, table, [name], plain)
 
 
 def with_coordinates(df: DataFrame, latitude: str = "latitude", longitude: str = "longitude") -> DataFrame:

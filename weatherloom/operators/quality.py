@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weatherloom.functions.dates import parse_mixed_date
+from weatherloom.operators.joining import stored
 from weatherloom.operators.quantiles import exact_quantiles
 from weatherloom.operators.series import Series, look_back
 
@@ -250,15 +251,27 @@ def gaps(df: DataFrame, series: Series, timestamp: str) -> DataFrame:
     return before.withColumn("gap_seconds", micros / 1e6).drop("_before")
 
 
-def gap_summary(with_gaps: DataFrame, keys: Sequence[str], step_seconds: float = 3600.0) -> DataFrame:
-    """Median, least and largest gap per series, the hourly flag and gaps beyond one step."""
+def gap_counts(with_gaps: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``(keys, gap_seconds, rows)``: how often each gap occurs, from one pass over the series, stored.
+
+    Regular series have few different gaps, so the table is small; at worst it has a row for every row.
+    """
     known = with_gaps.filter(F.col("gap_seconds").isNotNull())
-    ends = known.groupBy(*keys).agg(
+    return stored(known.groupBy(*keys, "gap_seconds").agg(F.count("*").alias("rows")), "gap-counts")
+
+
+def gap_summary(with_gaps: DataFrame, keys: Sequence[str], step_seconds: float = 3600.0) -> DataFrame:
+    """Median, least and largest gap per series, the hourly flag and gaps beyond one step.
+
+    The series is read once; everything else comes from the counted gaps.
+    """
+    counts = gap_counts(with_gaps, keys)
+    ends = counts.groupBy(*keys).agg(
         F.min("gap_seconds").alias("min_gap"),
         F.max("gap_seconds").alias("max_gap"),
-        F.count_if(F.col("gap_seconds") > step_seconds).alias("gaps_over_step"),
+        F.coalesce(F.sum(F.when(F.col("gap_seconds") > step_seconds, F.col("rows"))), F.lit(0)).alias("gaps_over_step"),
     )
-    median = exact_quantiles(known, "gap_seconds", {"median_gap": 0.5}, keys)
+    median = exact_quantiles(counts, "gap_seconds", {"median_gap": 0.5}, keys, weight="rows")
     joined = ends.join(median, list(keys)) if keys else ends.crossJoin(F.broadcast(median))
     return joined.withColumn("is_hourly", F.col("median_gap") <= 1.5 * 3600)
 

@@ -17,7 +17,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weatherloom.operators.joining import stored
+
 CELL = "_cell"
+RANGE = "_range"
 
 
 @dataclass(frozen=True)
@@ -52,6 +55,19 @@ class Series:
         return Window.partitionBy(*self.keys).orderBy(CELL)
 
 
+def in_ranges(df: DataFrame, order: Sequence[str], rows_per_range: int = 1_000_000) -> tuple[DataFrame, Series]:
+    """The rows cut along one global order into ranges of about equal counts, and the series over all of them.
+
+    The number of ranges follows the counted rows and the splitters are sampled from the order's own
+    values, so a crowded month becomes several ranges and thin ones share one. ``order`` should be
+    total: rows that are equal in all of it cannot be split. The rows are stored with the
+    number of their range, so that later passes see the same ranges.
+    """
+    ranges = max(1, -(-df.count() // rows_per_range))
+    dealt = df.repartitionByRange(ranges, *order).withColumn(RANGE, F.spark_partition_id())
+    return stored(dealt, "ranges"), Series([], list(order), RANGE)
+
+
 def cell_unit_for(
     df: DataFrame,
     keys: Sequence[str],
@@ -188,12 +204,16 @@ def fill_gaps(df: DataFrame, series: Series, columns: Sequence[str]) -> DataFram
     return out.withColumns(filled).drop(CELL, *local, *extra)
 
 
-def positions(df: DataFrame, series: Series, at: str = "position", size: str = "series_size") -> DataFrame:
+def positions(df: DataFrame, series: Series | Sequence[str], at: str = "position", size: str = "series_size") -> DataFrame:
     """0-based place of a row in its series and the length of the series.
 
     ``series.keys`` may be empty: the order is then global, still without a global sort,
-    because only the counts per cell are accumulated in one place.
+    because only the counts per cell are accumulated in one place. A plain list of columns is
+    such an order too; its cells are the ranges of :func:`in_ranges`.
     """
+    if not isinstance(series, Series):
+        df, ranged = in_ranges(df, series)
+        return positions(df, ranged, at, size).drop(RANGE)
     keys = list(series.keys)
     base = series.with_cell(df)
     counts = base.groupBy(*keys, CELL).agg(F.count("*").alias("_n"))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import threading
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from weatherloom.functions.rules import combined_light
 
@@ -61,11 +63,9 @@ def alert_totals(df: DataFrame) -> DataFrame:
     return df.groupBy("city", "alert_level").agg(*_totals())
 
 
-def alert_windows(df: DataFrame, length: str = "1 hour", delay: str = "10 minutes") -> DataFrame:
-    """Totals per event-time window; the watermark bounds the state."""
+def _by_window(df: DataFrame, length: str) -> DataFrame:
     return (
-        df.withWatermark("event_time", delay)
-        .groupBy(F.window("event_time", length), "city", "alert_level")
+        df.groupBy(F.window("event_time", length), "city", "alert_level")
         .agg(*_totals())
         .select(
             F.col("window.start").alias("window_start"),
@@ -80,6 +80,36 @@ def alert_windows(df: DataFrame, length: str = "1 hour", delay: str = "10 minute
     )
 
 
+def alert_windows(df: DataFrame, length: str = "1 hour", delay: str = "10 minutes") -> DataFrame:
+    """Totals per event-time window; the watermark bounds the state."""
+    return _by_window(df.withWatermark("event_time", delay), length)
+
+
+def last_watermark(query: StreamingQuery) -> str | None:
+    """The watermark that a finished query has reached, as text in UTC; None before the first row."""
+    reached = (query.lastProgress or {}).get("eventTime", {}).get("watermark")
+    return None if reached is None or reached.startswith("1970-01-01T00:00:00") else reached
+
+
+def open_windows(rows: DataFrame, watermark: str | None, length: str = "1 hour") -> DataFrame:
+    """The final flush of a finite input: windows that end after the watermark, from the input as a batch.
+
+    No row of such a window was late, because rows are late only once the watermark has passed their window; so
+    these are the totals that the query's state holds when the input ends. ``rows`` has the stream's columns.
+    """
+    if watermark is not None:
+        passed = F.to_timestamp(F.lit(watermark))
+        rows = rows.filter(F.window("event_time", length)["end"] > passed)
+    return _by_window(rows.filter(F.col("event_time").isNotNull()), length)
+
+
+def late_rows(rows: DataFrame, windows: DataFrame) -> DataFrame:
+    """One row, ``late_rows``: rows with a time that no window counts, because they came after the watermark."""
+    seen = rows.agg(F.count("event_time").alias("_seen"))
+    kept = windows.agg(F.coalesce(F.sum("alert_count"), F.lit(0)).alias("_kept"))
+    return seen.crossJoin(F.broadcast(kept)).select((F.col("_seen") - F.col("_kept")).alias("late_rows"))
+
+
 def write_totals(
     totals: DataFrame, path: str, checkpoint: str, available_now: bool = True
 ) -> StreamingQuery:
@@ -113,6 +143,16 @@ def _hadoop(spark: SparkSession, path: str):
     return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
 
 
+def in_order_of_names(spark: SparkSession, path: str, step_ms: int = 1000) -> None:
+    """Sets the files' times of change to the order of their names, which is the order the file source reads them in."""
+    files, top = _hadoop(spark, path)
+    names = sorted(s.getPath().getName() for s in files.listStatus(top) if s.isFile())
+    first = spark._jvm.java.lang.System.currentTimeMillis() - step_ms * len(names)
+    for nth, name in enumerate(names):
+        target = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
+        files.setTimes(target, first + step_ms * nth, -1)
+
+
 def finished_batches(spark: SparkSession, path: str) -> list[int]:
     """Numbers of the batch folders whose writer has committed, in order."""
     files, top = _hadoop(spark, path)
@@ -148,6 +188,52 @@ def run_statistics(df: DataFrame, source: str = "source") -> DataFrame:
     )
 
 
+class RunListener(StreamingQueryListener):
+    """Batches, rows and seconds of all queries of a session while it is attached, whatever the length of the run.
+
+    Spark keeps only a query's last reports; this adds each one up as it comes and holds four numbers a query.
+    Batches without rows (they only move the watermark) are not counted.
+    """
+
+    def __init__(self):
+        self._sums: dict[str, list[float]] = {}
+        self._ended: dict[str, threading.Event] = {}
+        self._lock = threading.Lock()
+
+    def _of(self, query_id) -> tuple[list[float], threading.Event]:
+        with self._lock:
+            key = str(query_id)
+            return self._sums.setdefault(key, [0, 0, 0.0]), self._ended.setdefault(key, threading.Event())
+
+    def onQueryStarted(self, event) -> None:
+        self._of(event.id)
+
+    def onQueryProgress(self, event) -> None:
+        progress = event.progress
+        if progress.numInputRows > 0:
+            sums, _ = self._of(progress.id)
+            with self._lock:
+                sums[0] += 1
+                sums[1] += progress.numInputRows
+                sums[2] += progress.batchDuration / 1000.0
+
+    def onQueryTerminated(self, event) -> None:
+        self._of(event.id)[1].set()
+
+    def rates(self, query: StreamingQuery, timeout: float = 60.0) -> dict[str, float]:
+        """The whole run of a finished query; reports arrive in order, so the last one is in once the end is reported."""
+        sums, ended = self._of(query.id)
+        if not ended.wait(timeout):
+            raise TimeoutError("the query's end has not been reported")
+        batches, rows, seconds = sums
+        return {
+            "batch_count": int(batches),
+            "record_count": int(rows),
+            "duration_seconds": seconds,
+            "records_per_second": rows / seconds if seconds > 0 else 0.0,
+        }
+
+
 def query_rates(query: StreamingQuery) -> dict[str, float]:
     """Batches, input rows and rows per second from the query's own progress reports.
 
