@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from catalog.events import LIGHTS, STORMY, TIES, _alerts, stormy
 from catalog.mapping import CITY_ORDERS, SENSORS, city_orders, r, rounded, sensors, sql_time, table, text_time
 from weatherloom.operators import quality
+from weatherloom.operators.joining import stored
 from weatherloom.operators.series import Series, fill_gaps
 from weatherloom.plans import jobs
 from weatherloom.streaming.alerts import with_traffic_light
@@ -94,8 +95,7 @@ def gaps(spark, sf_dir):
 
 
 def gap_summary(spark, sf_dir):
-    found = quality.gaps(sensors(spark, sf_dir), SERIES, "timestamp")
-    out = quality.gap_summary(found, ["city"], step_seconds=86400.0)
+    out = quality.series_gap_summary(sensors(spark, sf_dir), SERIES, "timestamp", step_seconds=86400.0)
     return rounded(rounded(out, "min_gap", "max_gap"), "median_gap", digits=8)
 
 
@@ -149,10 +149,29 @@ def table_report(spark, sf_dir):
     return quality.table_report(rows, "dt")
 
 
+def _events(spark, sf_dir):
+    """Events with storms, traffic lights and the columns of the contract."""
+    lights = with_traffic_light(stormy(spark, sf_dir).withColumnRenamed("temperature_hourly", "temperature_c"))
+    return lights.withColumnRenamed("temperature_c", "temperature_hourly").select(
+        *EVENT_COLUMNS[:-6], F.year("timestamp").alias("year"), F.month("timestamp").alias("month"), F.dayofmonth("timestamp").alias("day"),
+        F.hour("timestamp").alias("hour"), F.col("lat_decimal").alias("latitude"), F.col("lon_decimal").alias("longitude"),
+    )
+
+
+EVENT_COLUMNS = [
+    "event_id", "timestamp", "state", "city", "country", "lat_decimal", "lon_decimal", *NUMBERS, "event_type", "event_intensity",
+    "storm_id", "storm_category", "alert_level", "alert_type", "year", "month", "day", "hour", "latitude", "longitude",
+]
+
+
 def full_report(spark, sf_dir):
-    """Every check of an event table with the overall flag."""
-    rows = _domains(spark, sf_dir).withColumnRenamed("temperature_c", "temperature_hourly")
-    return quality.full_report(rows, SERIES, ranges={n: quality.RANGES[n] for n in NUMBERS})
+    """Every check of an event table with the overall flag; the table is written once, as the report reads it four times."""
+    return quality.full_report(stored(_events(spark, sf_dir), "events"), SERIES, ranges={n: quality.RANGES[n] for n in NUMBERS})
+
+
+def schema_contract(spark, sf_dir):
+    """The expected columns of an event table: required or not, present or not."""
+    return quality.schema_contract(_events(spark, sf_dir))
 
 
 def event_distributions(spark, sf_dir):
@@ -167,7 +186,7 @@ QUERIES = {
         event_distributions,
         missing_values, range_checks, domain_values, domain_summary, invalid_values, date_check, numeric_time_check,
         duplicates, coverage, records_per_year, gaps, gap_summary, filled_gaps, absent_members, track_continuity, physical_rules,
-        storm_report, category_distribution, alert_report, table_report, full_report,
+        storm_report, category_distribution, alert_report, table_report, full_report, schema_contract,
     )
 }
 
@@ -329,3 +348,90 @@ def _report() -> str:
 
 
 SQL["table_report"] = SQL["table_report"].replace("{t}", _report())
+
+# Fixed values, written out: category, expected column, required, present in the event table.
+_EXPECTED = [
+    ("core", "timestamp", True, True), ("core", "year", True, True), ("core", "month", True, True), ("core", "day", True, True),
+    ("core", "hour", True, True), ("location", "city", True, True), ("location", "country", True, True),
+    ("location", "latitude", True, True), ("location", "longitude", True, True), ("weather", "temperature_hourly", False, True),
+    ("weather", "rain_mm", False, True), ("weather", "wind_speed_kmh", False, True), ("weather", "humidity_pct", False, True),
+    ("optional", "pressure_hpa", False, True), ("optional", "uv_index", False, False), ("optional", "cloud_cover_pct", False, False),
+    ("optional", "visibility_km", False, False), ("events", "event_type", False, True), ("events", "event_intensity", False, True),
+    ("alerts", "alert_level", False, True), ("alerts", "alert_type", False, True), ("storms", "storm_id", False, True),
+    ("storms", "storm_category", False, True),
+]
+_RANGES = {"temperature_hourly": (-80, 60), "rain_mm": (0, 500), "wind_speed_kmh": (0, 400), "humidity_pct": (0, 100), "pressure_hpa": (870, 1084)}
+_ALLOWED = {
+    "event_type": "'none', 'heatwave', 'cold_snap', 'drought', 'extreme_precipitation', 'hurricane', 'tornado'",
+    "alert_level": "'green', 'yellow', 'orange', 'red'",
+    "alert_type": "'none', 'heat', 'cold', 'storm', 'flood', 'wind', 'fire', 'air_quality'",
+}
+
+
+def _full() -> str:
+    """The report of an event table from plain counts, one row after the other."""
+    parts = []
+    light = "SELECT event_id, alert_level, alert_type FROM lights"
+    columns = ", ".join(c if c not in ("alert_level", "alert_type") else f"l.{c}" for c in EVENT_COLUMNS[:-6])
+    source = f"""t AS MATERIALIZED (SELECT {columns.replace("event_id", "s.event_id", 1)}, CAST(year(timestamp) AS INTEGER) AS year,
+      CAST(month(timestamp) AS INTEGER) AS month, CAST(day(timestamp) AS INTEGER) AS day, CAST(hour(timestamp) AS INTEGER) AS hour,
+      lat_decimal AS latitude, lon_decimal AS longitude FROM stormy s JOIN ({light}) l ON l.event_id = s.event_id),
+    g AS (SELECT date_diff('microsecond', lag(timestamp) OVER (PARTITION BY city ORDER BY timestamp, event_id), timestamp) / 1e6::DOUBLE AS gap FROM t),
+    steps AS (SELECT storm_id, greatest(abs(lat_decimal - lag(lat_decimal) OVER o), abs(lon_decimal - lag(lon_decimal) OVER o)) AS step
+      FROM (SELECT DISTINCT storm_id, timestamp, lat_decimal, lon_decimal FROM t WHERE storm_id IS NOT NULL)
+      WINDOW o AS (PARTITION BY storm_id ORDER BY timestamp, lat_decimal, lon_decimal)),
+    tracks AS (SELECT storm_id, coalesce(max(step) <= 10, true) AS good FROM steps GROUP BY storm_id)"""
+
+    def row(check, name, metric, value, table="t"):
+        parts.append(f"SELECT '{check}' AS check, '{name}' AS column_name, '{metric}' AS metric, CAST({value} AS VARCHAR) AS value FROM {table}")
+
+    for c in EVENT_COLUMNS:
+        row("missing", c, "missing", f"count(*) - count({c})")
+        row("missing", c, "missing_percent", f"round((count(*) - count({c})) * 100.0::DOUBLE / count(*), 2)")
+    row("duplicates", "*", "duplicate_rows", "(SELECT count(*) FROM t) - count(*)", "(SELECT DISTINCT * FROM t)")
+    row("duplicates", "*", "unique_rows", "count(*)", "(SELECT DISTINCT * FROM t)")
+    for c, (low, high) in _RANGES.items():
+        row("ranges", c, "min_value", f"min({c})")
+        row("ranges", c, "max_value", f"max({c})")
+        row("ranges", c, "out_of_range", f"count(*) FILTER ({c} < {low} OR {c} > {high})")
+    for c, allowed in _ALLOWED.items():
+        row("domains", c, "n_actual", f"count(DISTINCT {c})")
+        row("domains", c, "n_invalid", f"count(DISTINCT {c}) FILTER ({c} NOT IN ({allowed}))")
+    for c in ("year", "month"):
+        row("time", c, "min_value", f"min({c})")
+        row("time", c, "max_value", f"max({c})")
+        row("time", c, "unique_values", f"count(DISTINCT {c})")
+    for _, c, required, present in _EXPECTED:
+        row("schema", c, "required", str(required).lower(), "(SELECT 1)")
+        row("schema", c, "present", str(present).lower(), "(SELECT 1)")
+    row("coverage", "*", "start", "min(timestamp)")
+    row("coverage", "*", "end", "max(timestamp)")
+    row("coverage", "*", "span_days", "CAST(floor((epoch(date_trunc('second', max(timestamp))) - epoch(date_trunc('second', min(timestamp)))) / 86400) AS BIGINT)")
+    row("coverage", "*", "years", "count(DISTINCT year)")
+    rules = [*_RULES, ("intensity_range", "fail", "event_intensity < 0 OR event_intensity > 10")]
+    for n, bad, cond in rules:
+        row("physical", n, "measured", f"(count(*) FILTER ({cond}))::DOUBLE")
+        row("physical", n, "status", f"CASE WHEN count(*) FILTER ({cond}) > 0 THEN '{bad}' ELSE 'pass' END")
+    row("resolution", "*", "median_gap", "quantile_cont(gap, 0.5)", "g")
+    row("resolution", "*", "min_gap", "min(gap)", "g")
+    row("resolution", "*", "max_gap", "max(gap)", "g")
+    row("resolution", "*", "is_hourly", "quantile_cont(gap, 0.5) <= 5400", "g")
+    row("storms", "*", "n_storms", "count(DISTINCT storm_id)")
+    row("storms", "*", "n_storm_records", "count(storm_id)")
+    row("tracks", "*", "n_tracks", "count(*)", "tracks")
+    row("tracks", "*", "n_continuous", "count(*) FILTER (good)", "tracks")
+    row("alerts", "*", "n_alerts", "count(*) FILTER (alert_level <> 'green')")
+    n = {c: f"count(*) FILTER (alert_level = '{c}')" for c in ("green", "yellow", "red")}
+    row("alerts", "*", "hierarchy_valid", f"NOT (({n['green']} > 0 AND {n['yellow']} > {n['green']}) OR ({n['yellow']} > 0 AND {n['red']} > {n['yellow']}))")
+    for c in ("storm_category", "alert_level", "alert_type"):
+        parts.append(f"SELECT '{c}', coalesce(CAST({c} AS VARCHAR), 'null'), 'rows', CAST(count(*) AS VARCHAR) FROM t GROUP BY {c}")
+    row("shape", "*", "rows", "count(*)")
+    row("shape", "*", "columns", str(len(EVENT_COLUMNS)), "(SELECT 1)")
+    broken = " + ".join(f"count(*) FILTER ({cond})" for _, bad, cond in rules if bad == "fail")
+    row("overall", "*", "overall_valid", f"{broken} = 0")
+    return f"{source} {' UNION ALL '.join(parts)}"
+
+
+_HEAT_ON = LIGHTS.removeprefix(SENSORS)
+SQL["full_report"] = f"WITH {STORMY}{_HEAT_ON}, {_full()}"
+SQL["schema_contract"] = "SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{c}', {q}, {p})" for k, c, q, p in _EXPECTED) + ") v(category, column_name, required, present)"

@@ -135,3 +135,54 @@ def test_many_boxes_meet_points_by_cell(spark):
     out = places.with_area_table(points, boxes, ["id"])
     assert {r.id: r.area for r in out.collect()} == {1: "6060", 2: "0", 3: None, 4: None}
     assert "NestedLoop" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("unit", ["hour", "day", "month"])
+def test_gaps_counted_in_one_pass_equal_those_of_the_rows(spark, unit):
+    rows = spark.range(900).select(
+        "id", F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 7 + 1).alias("city"),
+        F.timestamp_seconds(F.lit(1_700_000_000) + F.floor(F.col("id") / 2) * 1700 + F.col("id") % 5 * 400).alias("ts"),
+    ).union(spark.sql("SELECT 5000L, 99, timestamp'2023-11-20 00:00:00'"))
+    series = Series.by_time(["city"], "ts", ["id"], unit)
+    want = quality.gap_summary(quality.gaps(rows, series, "ts"), ["city"], 2000.0)
+    got = quality.series_gap_summary(rows.repartition(3), series, "ts", step_seconds=2000.0)
+    assert got.select(want.columns).exceptAll(want).count() == 0 and got.count() == want.count() == 8
+    whole = quality.series_gap_summary(rows, series, "ts", [], 2000.0)
+    assert whole.select(quality.gap_summary(quality.gaps(rows, series, "ts"), [], 2000.0).columns).first() == quality.gap_summary(quality.gaps(rows, series, "ts"), [], 2000.0).first()
+    assert quality.series_gap_summary(rows.filter("id < 0"), series, "ts").count() == 0
+
+
+def test_value_counts_hold_values_nulls_and_points(spark):
+    rows = spark.createDataFrame(
+        [("a", None, 1.0, 2.0), ("a", "S1", 1.0, 2.0), (None, "S1", 1.0, 2.0), ("b", "S1", 3.0, 2.0)], "kind string, storm string, lat double, lon double"
+    ).withColumn("ts", F.timestamp_seconds(F.lit(60)))
+    counted = quality.value_counts(rows, {"kind": F.col("kind")}, [F.col(c) for c in ("storm", "ts", "lat", "lon")])
+    got = {(r.name, r.value, r.latitude): r.rows for r in counted.collect()}
+    assert got == {("kind", "a", None): 2, ("kind", None, None): 1, ("kind", "b", None): 1, (quality.POINT, "S1", 1.0): 2, (quality.POINT, "S1", 3.0): 1}
+
+
+def test_a_report_reads_its_table_four_times(spark, tmp_path):
+    """Passes of the whole report, by the rows that the scans of the table have read."""
+    rows = spark.range(500).select(
+        (F.col("id") % 4).cast("string").alias("city"), F.timestamp_seconds(F.col("id") * 1800).alias("timestamp"), F.rand(1).alias("rain_mm"),
+        F.lit("green").alias("alert_level"), F.when(F.col("id") % 9 == 0, F.lit("S1")).alias("storm_id"), F.lit(1.0).alias("lat_decimal"), F.lit(2.0).alias("lon_decimal"),
+    )
+    rows.write.parquet(f"{tmp_path}/t")
+    table, scans = spark.read.parquet(f"{tmp_path}/t"), []
+    store = quality.stored
+
+    def counted(df, name):
+        scans.append(df._jdf.queryExecution().optimizedPlan().toString().count("Relation ["))
+        return store(df, name)
+
+    quality.stored, keep = counted, quality.stored
+    try:
+        report = quality.full_report(table, Series.by_time(["city"], "timestamp", ["rain_mm"], "day"))
+    finally:
+        quality.stored = keep
+    plan = report._jdf.queryExecution().optimizedPlan().toString()
+    of_table = sum(line.count("rain_mm") and "Relation [" in line for line in plan.splitlines())
+    found = {(r["check"], r["column_name"], r["metric"]): r["value"] for r in report.collect()}
+    assert found["duplicates", "*", "unique_rows"] == "500" and found["tracks", "*", "n_tracks"] == "1" and found["storms", "*", "n_storm_records"] == "56"
+    assert sum(s > 0 for s in scans[:2]) + of_table <= 4
+
