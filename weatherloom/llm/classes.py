@@ -35,7 +35,7 @@ from weatherloom.llm.shared import stored
 
 END = ""
 #: Columns of a stored piece of the transition table; bytes of text handled at a time.
-CELLS, STEP = 64, 1 << 24
+CELLS, STEP = 64, 1 << 22
 #: A word counts as this many bytes at least when the looked-up words are bounded.
 LEAST_BYTES = 20
 
