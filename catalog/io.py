@@ -150,6 +150,30 @@ def seeded_sample(spark, sf_dir):
     return cleaning.sample_rows(city_orders(spark, sf_dir), 200, ["o_orderkey"]).select("o_orderkey", "city", "year")
 
 
+def first_orders(spark, sf_dir):
+    """The first hundred orders by key."""
+    rows = city_orders(spark, sf_dir).orderBy("o_orderkey")
+    return cleaning.first_rows(rows, 100).select("o_orderkey", "city", "year")
+
+
+def _holes(spark, sf_dir):
+    """Orders whose temperature is missing on every third key and whose city on every fifth."""
+    return city_orders(spark, sf_dir).select(
+        "o_orderkey", F.when(F.col("o_orderkey") % 3 != 0, F.col("temperature")).alias("temperature"),
+        F.when(F.col("o_orderkey") % 5 != 0, F.col("city")).alias("city"),
+    )
+
+
+def zeroed_missing(spark, sf_dir):
+    """Missing temperatures as 0, missing cities untouched."""
+    return cleaning.zero_missing(_holes(spark, sf_dir), ["temperature"])
+
+
+def complete_rows(spark, sf_dir):
+    """Rows with temperature and city."""
+    return cleaning.drop_missing(_holes(spark, sf_dir), ["temperature", "city"])
+
+
 def metric_summary(spark, sf_dir):
     rows = table(spark, sf_dir, "events").select(
         F.col("event_type").alias("container"), (F.col("event_id") % 97 / 1.0).alias("cpu_percent"),
@@ -172,7 +196,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         series_text, series_text_strict, series_directory, series_file_results, series_file_report, city_csv,
-        eleven_tables, event_outputs, year_range_read, deduplicated, outlier_marks, seeded_sample, metric_summary,
+        eleven_tables, event_outputs, year_range_read, deduplicated, outlier_marks, seeded_sample, first_orders, zeroed_missing,
+        complete_rows, metric_summary,
         throughput,
     )
 }
@@ -233,3 +258,12 @@ SQL = {
       CAST(sum(event_id % 1009) AS BIGINT) AS records_processed,
       {r('sum(event_id % 1009) / sum((event_id % 61) / 8.0::DOUBLE)')} AS records_per_second FROM events GROUP BY event_type""",
 }
+
+_HOLES = CITY_ORDERS + """, holes AS (SELECT o_orderkey, CASE WHEN o_orderkey % 3 <> 0 THEN temperature END AS temperature,
+  CASE WHEN o_orderkey % 5 <> 0 THEN city END AS city FROM city_orders)"""
+SQL |= {
+    "seeded_sample": f"WITH {CITY_ORDERS} SELECT o_orderkey, city, year FROM city_orders ORDER BY md5('42|' || o_orderkey), o_orderkey LIMIT 200",
+    "first_orders": f"WITH {CITY_ORDERS} SELECT o_orderkey, city, year FROM city_orders ORDER BY o_orderkey LIMIT 100",
+    "zeroed_missing": f"WITH {_HOLES} SELECT o_orderkey, coalesce(temperature, 0) AS temperature, city FROM holes",
+    "complete_rows": f"WITH {_HOLES} SELECT * FROM holes WHERE temperature IS NOT NULL AND city IS NOT NULL",
+}

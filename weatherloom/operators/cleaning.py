@@ -79,8 +79,8 @@ def sample_fraction(df: DataFrame, fraction: float, seed: int = 42) -> DataFrame
 
 
 def sample_rows(df: DataFrame, n: int, keys: Sequence[str], seed: int = 42) -> DataFrame:
-    """Exactly ``n`` rows, the same ones for any partitioning: order by a seeded key hash."""
-    return df.orderBy(F.xxhash64(F.lit(seed), *keys), *keys).limit(n)
+    """Exactly ``n`` rows, the same ones for any partitioning: order by the MD5 of seed and key, which any engine can follow."""
+    return df.orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), *keys)), *keys).limit(n)
 
 
 def first_rows(df: DataFrame, n: int) -> DataFrame:

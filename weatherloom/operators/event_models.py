@@ -143,12 +143,19 @@ def train_event_intensity(
     return trained, metrics
 
 
-def balanced_weights(df: DataFrame, label: str, weight: str = "weight") -> DataFrame:
+#: Classes that a classifier may have; a label column with more is taken for a mistake.
+MOST_CLASSES = 1000
+
+
+def balanced_weights(df: DataFrame, label: str, weight: str = "weight", most: int = MOST_CLASSES) -> DataFrame:
     """Weight n / (classes * rows of the class), written as one expression over the classes.
 
-    Only for labels with a handful of classes: the classifier needs their list anyway.
+    Only for labels with at most ``most`` classes: the classifier needs their list anyway. ``df`` is read for the
+    counts, so it should be a stored table.
     """
-    counts = df.groupBy(label).agg(F.count("*").alias("n")).collect()
+    counts = df.groupBy(label).agg(F.count("*").alias("n")).limit(most + 1).collect()
+    if len(counts) > most:
+        raise ValueError(f"{label} has more than {most} classes")
     total, classes = sum(r.n for r in counts), len(counts)
     pairs = [F.lit(x) for r in counts for x in (r[label], total / (classes * r.n))]
     return df.withColumn(weight, F.try_element_at(F.create_map(*pairs), F.col(label)))
@@ -162,11 +169,11 @@ def train_event_classifier(
     depth: int = 12,
     least_rows: int = 5,
     seed: int = 42,
+    bootstrap: bool = True,
 ) -> PipelineModel:
     """Balanced forest; the model predicts the class name into ``predicted_<label>``."""
     names = [c for c in features if c in df.columns]
-    known = balanced_weights(df.select(*names, label).dropna(), label)
-    known = stored(known, "training")
+    known = balanced_weights(stored(df.select(*names, label).dropna(), "training"), label)
     index = StringIndexer(inputCol=label, outputCol="_label", stringOrderType="alphabetAsc", handleInvalid="keep")
     labels = index.fit(known)
     stages = [
@@ -175,7 +182,7 @@ def train_event_classifier(
         StandardScaler(inputCol="_raw", outputCol="_features", withMean=True),
         RandomForestClassifier(
             featuresCol="_features", labelCol="_label", weightCol="weight", predictionCol="_class",
-            numTrees=trees, maxDepth=depth, minInstancesPerNode=least_rows, seed=seed,
+            numTrees=trees, maxDepth=depth, minInstancesPerNode=least_rows, seed=seed, bootstrap=bootstrap,
         ),
         IndexToString(inputCol="_class", outputCol=f"predicted_{label}", labels=labels.labels + ["?"]),
     ]

@@ -10,6 +10,7 @@ import json
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
+from itertools import product
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.evaluation import RegressionEvaluator
@@ -24,6 +25,7 @@ from weatherloom.operators.features import (
     LAG_FEATURES,
     SEASON_FEATURES,
     TIME_FEATURES,
+    block_folds,
     chronological_split,
     expanding_folds,
     time_features,
@@ -187,7 +189,8 @@ def fit(
     """Fits all named models on the same standardised features, as one pipeline.
 
     ``keep`` writes the training rows to the shared folder first, so that the passes of the
-    models read a plain table; switch it off when ``train`` already comes from one.
+    models read a plain table; switch it off when ``train`` already comes from one. Where the normalised year is
+    a feature and no ``year_range`` is given, the range of the training rows is kept for later tables.
     """
     options = options or {}
     unknown = [m for m in models if m not in MODEL_NAMES]
@@ -195,6 +198,8 @@ def fit(
         raise ValueError(f"Unsupported model type: {unknown[0]}")
     known = train.filter(F.col(label).isNotNull()).select(*dict.fromkeys([*features, label]))
     known = stored(known, "training") if keep else known
+    if year_range is None and {"year", "year_normalized"} <= set(features):
+        year_range = year_span(known)
     penalty = ridge_scale(known, label)
     stages = _front(features) + [
         regressor(m, penalty, "_features", label, f"{m}_prediction", seed, **dict(options.get(m, {})))
@@ -204,9 +209,10 @@ def fit(
     return Trained(pipeline, list(models), list(features), label, year_range, clip)
 
 
-def year_span(df: DataFrame) -> tuple[int, int]:
+def year_span(df: DataFrame) -> tuple[int, int] | None:
+    """First and last year; None for an empty table."""
     row = df.agg(F.min("year").alias("low"), F.max("year").alias("high")).head()
-    return int(row.low), int(row.high)
+    return None if row.low is None else (int(row.low), int(row.high))
 
 
 def monthly_features(models_use_lags: bool = True) -> list[str]:
@@ -272,6 +278,16 @@ def time_series_validation(
     return fold_summary(fold_metrics(folded, models, features, label, splits, **fit_options))
 
 
+def training_folds(
+    df: DataFrame, order: Series | Sequence[str], folds: int = 5, test_size: float = 0.2, flag: str = "is_test", fold: str = "fold"
+) -> DataFrame:
+    """Marks the last part of the order as test rows and cuts the rest into contiguous folds; test rows have no fold."""
+    marked = chronological_split(df, order, test_size, flag)
+    marked = stored(marked, "marked")
+    early = block_folds(marked.filter(~F.col(flag)), order, folds, fold)
+    return early.unionByName(marked.filter(F.col(flag)).withColumn(fold, F.lit(None).cast("int")))
+
+
 def k_fold_rmse(
     folded: DataFrame,
     models: Sequence[str],
@@ -281,9 +297,12 @@ def k_fold_rmse(
     fold: str = "fold",
     **fit_options,
 ) -> DataFrame:
-    """Per model and for the ensemble: root of the mean and of the spread of the folds' squared errors."""
+    """Per model and for the ensemble: root of the mean and of the spread of the folds' squared errors.
+
+    The folds should be those of the training part, see :func:`training_folds`; rows without a fold are left out.
+    """
     parts = []
-    used = folded.select(*dict.fromkeys([*features, label]), fold)
+    used = folded.filter(F.col(fold).isNotNull()).select(*dict.fromkeys([*features, label]), fold)
     used = stored(used, "training")
     for i in range(folds):
         others, now = used.filter(F.col(fold) != i), used.filter(F.col(fold) == i)
@@ -341,11 +360,47 @@ DEFAULT_GRIDS = {
 }
 
 
-def _search(df, model, features, label, grid, folds, seed, parallelism):
-    known = df.filter(F.col(label).isNotNull()).select(*dict.fromkeys([*features, label]))
+@dataclass
+class Search:
+    """``table``: every point of the grid with its error, best first. ``best``: the best point, fitted on all given
+    rows, None for an empty grid. ``folds``: errors of every point by fold."""
+
+    table: DataFrame
+    best: Trained | None
+    parameters: dict[str, float]
+    folds: DataFrame
+
+
+def search(
+    df: DataFrame,
+    model: str,
+    features: Sequence[str],
+    label: str,
+    grid: Mapping[str, Sequence] | None = None,
+    fold: str = "fold",
+    seed: int = 42,
+    parallelism: int = 4,
+    options: Mapping | None = None,
+) -> Search:
+    """Cross-validation over the folds that the column ``fold`` names (0, 1, ...), and the best model.
+
+    Give chronological folds of the training part (:func:`training_folds`): rows without a fold take no part, so the test
+    rows stay unseen. The error is the mean of the folds' RMSE; of equal points the first is taken. An empty
+    grid (or a model without a default one) gives an empty table and no model.
+    """
+    grid = DEFAULT_GRIDS.get(model, {}) if grid is None else grid
+    spark, kinds = df.sparkSession, "parameters map<string,double>, cv_rmse double"
+    if not grid:
+        nothing = spark.createDataFrame([], kinds)
+        return Search(nothing, None, {}, spark.createDataFrame([], "parameters map<string,double>, fold int, rmse double"))
+    usable = F.col(label).isNotNull() & F.col(fold).isNotNull()
+    known = df.filter(usable).select(*dict.fromkeys([*features, label]), F.col(fold).cast("int").alias("_fold"))
     known = stored(known, "training")
+    count = int(known.agg(F.max("_fold")).first()[0] or 0) + 1
+    if count < 2:
+        raise ValueError("a search needs two folds or more")
     penalty = ridge_scale(known, label)
-    estimator = regressor(model, penalty, "_features", label, "prediction", seed)
+    estimator = regressor(model, penalty, "_features", label, f"{model}_prediction", seed, **dict(options or {}))
     builder = ParamGridBuilder()
     for name, values in grid.items():
         if name == "alpha":
@@ -353,17 +408,36 @@ def _search(df, model, features, label, grid, folds, seed, parallelism):
             builder.addGrid(estimator.regParam, [v * scale for v in values])
         else:
             builder.addGrid(estimator.getParam(name), list(values))
+    given = [dict(zip(grid, values)) for values in product(*grid.values())]
     points = builder.build()
-    search = CrossValidator(
+    found = CrossValidator(
         estimator=Pipeline(stages=_front(features) + [estimator]),
         estimatorParamMaps=points,
-        evaluator=RegressionEvaluator(labelCol=label, predictionCol="prediction", metricName="rmse"),
-        numFolds=folds,
+        evaluator=RegressionEvaluator(labelCol=label, predictionCol=f"{model}_prediction", metricName="rmse"),
+        numFolds=count,
+        foldCol="_fold",
         seed=seed,
         parallelism=parallelism,
+        collectSubModels=True,
     ).fit(known)
-    names = [{p.name: v for p, v in point.items()} for point in points]
-    return list(zip(names, search.avgMetrics))
+    named = [{k: float(v) for k, v in point.items()} for point in given]
+    scores = [float(x) for x in found.avgMetrics]
+    best = min(range(len(scores)), key=scores.__getitem__)
+    # every fold's own errors, all points in one pass over the fold
+    rows = []
+    for i, models in enumerate(found.subModels):
+        scored = known.filter(F.col("_fold") == i).select(*dict.fromkeys([*features, label]))
+        for nth, one in enumerate(models):
+            scored = one.transform(scored).drop("_raw", "_features").withColumnRenamed(f"{model}_prediction", f"_p{nth}")
+        e = [F.sqrt(F.avg((F.col(label) - F.col(f"_p{nth}")) ** 2)) for nth in range(len(models))]
+        rows += [(named[nth], i, None if x is None else float(x)) for nth, x in enumerate(scored.agg(*e).first())]
+    years = year_span(known) if {"year", "year_normalized"} <= set(features) else None
+    return Search(
+        spark.createDataFrame(list(zip(named, scores)), kinds).orderBy("cv_rmse"),
+        Trained(found.bestModel, [model], list(features), label, years),
+        named[best],
+        spark.createDataFrame(rows, "parameters map<string,double>, fold int, rmse double"),
+    )
 
 
 def grid_search(
@@ -376,23 +450,16 @@ def grid_search(
     seed: int = 42,
     parallelism: int = 4,
 ) -> DataFrame:
-    """Every point of the grid with its cross-validated RMSE, best first.
-
-    An empty grid (or a model without a default one) gives an empty table.
-    """
-    grid = DEFAULT_GRIDS.get(model, {}) if grid is None else grid
-    schema = "parameters map<string,double>, cv_rmse double"
-    spark = df.sparkSession
-    if not grid:
-        return spark.createDataFrame([], schema)
-    found = _search(df, model, features, label, grid, folds, seed, parallelism)
-    rows = [({k: float(v) for k, v in point.items()}, float(score)) for point, score in found]
-    return spark.createDataFrame(rows, schema).orderBy("cv_rmse")
+    """Every point of the grid with its cross-validated RMSE over folds drawn at random, best first."""
+    dealt = df.withColumn("fold", F.floor(F.rand(seed) * folds).cast("int"))
+    return search(dealt, model, features, label, grid, seed=seed, parallelism=parallelism).table
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts the lineage by a table in the shared folder."""
-    return stored(df, "checkpoint")
+def chronological_search(
+    df: DataFrame, model: str, features: Sequence[str], label: str, order: Series | Sequence[str], folds: int = 5, test_size: float = 0.2, **options
+) -> Search:
+    """:func:`search` over contiguous folds of the part before the last ``test_size`` of the order."""
+    return search(training_folds(df, order, folds, test_size), model, features, label, **options)
 
 
 def last_year_block(history: DataFrame, keys: Sequence[str], year: int, value: str) -> DataFrame:
@@ -414,13 +481,13 @@ def forecast(
     start_year: int,
     end_year: int,
     value: str = "temperature",
-    checkpoint_every: int = 10,
+    checkpoint_every: int = 1,
 ) -> DataFrame:
     """Future months with the ensemble columns; each year feeds the next.
 
-    The model must be trained on ``TIME_FEATURES + SEASON_FEATURES``. A block is one year of
-    all stations: its features come from the block before it, so the whole horizon needs no
-    join and one shuffle by station.
+    The model must be trained on ``TIME_FEATURES + SEASON_FEATURES`` or some of them. A block is one year of
+    all stations: its features come from the block before it, which is stored, so every year costs the same whatever
+    lies before it and the history is read for the first one only. ``checkpoint_every`` stores every so many years only.
     """
     keys = list(keys)
     block = last_year_block(history, keys, start_year - 1, value)
@@ -436,7 +503,7 @@ def forecast(
         )
         scored = trained.transform(rows).drop(*SEASON_FEATURES, *[f for f in TIME_FEATURES if f not in ("year", "month")])
         if step % checkpoint_every == 0:
-            scored = checkpointed(scored)
+            scored = stored(scored, "forecast-year")
         years.append(scored)
         block = scored.select(*keys, "month", F.col("prediction").alias("_value"))
     out = years[0]
