@@ -82,11 +82,28 @@ def rarest(items: DataFrame, counts: DataFrame, width: int) -> DataFrame:
     )
 
 
-def postings(keyed: DataFrame, terms: DataFrame, width: int) -> DataFrame:
-    """The index: ``(term, doc_id, h, pos, before, after)`` of each occurrence of a wanted term; ``before`` is nearest first."""
+def placed(keyed: DataFrame, terms: DataFrame) -> DataFrame:
+    """``(doc_id, h, all, pos, term)`` where the terms are too many to broadcast: only words and places are shuffled, and
+    the places of a document go back to its text in one list."""
+    words = keyed.select("doc_id", "h", F.posexplode_outer(split_words(F.col("text"))).alias("pos", "w"))
+    found = words.select("doc_id", "h", "pos", ascii_lower(F.col("w")).alias("term")).join(terms, "term")
+    lists = found.groupBy(F.col("doc_id").alias("d"), F.col("h").alias("k")).agg(F.collect_set(F.struct("pos", "term")).alias("places"))
+    back = keyed.join(lists, keyed.doc_id.eqNullSafe(lists.d) & (keyed.h == lists.k))
+    return back.select("doc_id", "h", split_words(F.col("text")).alias("all"), "places").select("doc_id", "h", "all", F.inline("places"))
+
+
+def postings(keyed: DataFrame, terms: DataFrame, width: int, few: bool = True) -> DataFrame:
+    """The index: ``(term, doc_id, h, pos, before, after)`` of each occurrence of a wanted term; ``before`` is nearest first.
+    ``few``: whether the terms are broadcast."""
+    if not few:
+        return surrounded(placed(keyed, terms), width)
     # the outer form: for the plain one Spark adds a filter on the list's size and splits every text twice
     words = keyed.select("doc_id", "h", split_words(F.col("text")).alias("all")).select("doc_id", "h", "all", F.posexplode_outer("all").alias("pos", "w"))
-    found = words.withColumn("term", ascii_lower(F.col("w"))).join(terms, "term")
+    return surrounded(words.withColumn("term", ascii_lower(F.col("w"))).join(terms, "term"), width)
+
+
+def surrounded(found: DataFrame, width: int) -> DataFrame:
+    """The words before and after each place."""
     back = F.least(F.col("pos"), F.lit(width - 1))
     near = found.select(
         "term",
@@ -129,7 +146,7 @@ def build(docs: DataFrame, items: DataFrame, width: int = WIDTH, text: str = "te
     vocabulary = wanted.select(F.explode("words").alias("term")).distinct()
     counts = stored(frequencies(keyed, hint(vocabulary)), "bench-counts")
     tests = stored(rarest(wanted, hint(counts), width), "bench-tests")
-    index = stored(postings(keyed, hint(tests.select("term").distinct()), width), "bench-index")
+    index = stored(postings(keyed, hint(tests.select("term").distinct()), width, rows <= most_broadcast), "bench-index")
     return keyed, index, tests, hint
 
 

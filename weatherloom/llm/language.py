@@ -140,16 +140,28 @@ def train(
     epochs: int = 4,
     rate: float = 0.3,
     wanted: float = 0.99,
+    least: int = 100,
+    most_languages: int = 1000,
 ) -> LanguageModel:
-    """Fits on about ``most`` documents outside the held-out fold, drawn by hash of the id, whatever the table's size.
+    """Fits on about ``most`` different documents outside the held-out fold, whatever the table's size.
 
-    The driver gets the hashed bags of each document and of three short cuts of it: at most 4 * ``most`` bags of
-    ``buckets`` entries, and no text.
+    Documents are drawn by a hash of id and text, each language with its share of the rows but at least ``least`` of its
+    documents (all where it has fewer), so that rare languages are learned at any size. Repeated rows count once. Of more
+    than ``most_languages`` the most frequent are learned. The driver gets the hashed bags of each document and of three short cuts
+    of it: at most 8 * (``most`` + ``least`` * languages) bags of ``buckets`` entries, and no text.
     """
     known = docs.filter("text is not null and lang is not null and doc_id is not null")
     known = known.filter(part_of("doc_id", folds, "part") != held).select("doc_id", "text", "lang")
-    share = min(1.0, most / max(1, known.count()))
-    sample = known.filter(F.pmod(F.xxhash64(F.col("doc_id"), F.lit("lang")), F.lit(1 << 30)) < share * (1 << 30))
+    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()
+    share = most / max(1, sum(r["count"] for r in counts))
+    draws = {r["lang"]: min(1.0, max(share, least / r["count"])) for r in counts}
+    if not draws:
+        return LanguageModel([], np.zeros((1, 1)), np.zeros(1), 1.0, 1.0)
+    drawn = F.try_element_at(F.create_map(*[F.lit(x) for pair in draws.items() for x in pair]), F.col("lang"))
+    place = F.pmod(F.xxhash64("doc_id", "text", F.lit("lang")), F.lit(1 << 30))
+    sample = known.filter(place < F.coalesce(drawn, F.lit(0.0)) * (1 << 30)).dropDuplicates(["doc_id", "text", "lang"])
+    # the draw gives about that many; the bound holds for any table
+    sample = sample.orderBy(place, "doc_id", "lang").limit(2 * (most + least * len(draws)))
 
     def bags(batches):
         for b in batches:

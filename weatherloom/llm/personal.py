@@ -6,7 +6,7 @@ on either side, is at least ``least``. Offsets are code points, ends exclusive;
 overlap, and one that fails its check is dropped.
 
 Null text counts as empty and has no spans. Very long texts are searched whole: the patterns cannot backtrack over more
-than one run of their characters. Repeated rows give equal results. Empty table: no rows. Extra columns are ignored.
+than one run of their characters, and places are summed up in blocks, so many matches in one text stay cheap. Repeated rows give equal results. Empty table: no rows. Extra columns are ignored.
 
 Only DataFrame functions are used. The positions of matches come from the lengths of what ``split`` leaves between them.
 """
@@ -90,19 +90,50 @@ KINDS = [
 SPAN = "array<struct<start:int,end:int,match:string>>"
 
 
-def located(text: Column, pattern: str) -> Column:
-    """All matches with their places. ``split`` gives the text between matches, one entry more than there are matches."""
+#: Matches whose places are summed up together; a list of n is handled in about n * BLOCK / 2 steps.
+BLOCK = 256
+
+
+def matched(text: Column, pattern: str) -> Column:
+    """All matches, each with the length of the text since the one before. ``split`` gives the text between matches, one entry
+    more than there are matches."""
     gaps, matches = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    pairs = F.zip_with(F.slice(gaps, 1, F.size(matches)), matches, lambda g, m: F.struct(F.length(g).alias("gap"), m.alias("match")))
+    return F.when(text.rlike(pattern), pairs)
+
+
+def blocks(pairs: Column) -> Column:
+    """The matches in blocks, with the length of text that each block covers; null without matches."""
+    parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(pairs) - 1) / BLOCK).cast("int")), lambda i: F.slice(pairs, i * BLOCK + 1, BLOCK))
+
+    def covered(part):
+        return F.aggregate(part, F.lit(0), lambda total, p: total + p["gap"] + F.length(p["match"]))
+
+    return F.when(pairs.isNotNull() & (F.size(pairs) > 0), F.transform(parts, lambda part: F.struct(part.alias("part"), covered(part).alias("covered"))))
+
+
+def begins(blocked: Column) -> Column:
+    """Where each block begins."""
+
+    def step(acc, block):
+        return F.struct((acc["at"] + block["covered"]).alias("at"), F.array_append(acc["all"], acc["at"]).alias("all"))
+
+    return F.aggregate(blocked, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all")), step, lambda acc: acc["all"])
+
+
+def located(blocked: Column, starts: Column) -> Column:
+    """All matches with their places."""
 
     def step(acc, pair):
-        start = acc["at"] + F.length(pair["gap"])
+        start = acc["at"] + pair["gap"]
         end = start + F.length(pair["match"])
-        span = F.array(F.struct(start.alias("start"), end.alias("end"), pair["match"].alias("match")))
-        return F.struct(end.alias("at"), F.concat(acc["spans"], span).alias("spans"))
+        span = F.struct(start.alias("start"), end.alias("end"), pair["match"].alias("match"))
+        return F.struct(end.alias("at"), F.array_append(acc["spans"], span).alias("spans"))
+
+    def within(block, at):
+        return F.aggregate(block["part"], F.struct(at.alias("at"), F.array().cast(SPAN).alias("spans")), step, lambda acc: acc["spans"])
 
-    pairs = F.zip_with(F.slice(gaps, 1, F.size(matches)), matches, lambda g, m: F.struct(g.alias("gap"), m.alias("match")))
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("spans"))
-    return F.when(text.rlike(pattern), F.aggregate(pairs, empty, step, lambda acc: acc["spans"])).otherwise(F.array().cast(SPAN))
+    return F.coalesce(F.flatten(F.zip_with(blocked, starts, within)), F.array().cast(SPAN))
 
 
 def scored(text: Column, kind: Kind) -> Callable[[Column], Column]:
@@ -127,7 +158,12 @@ def find(docs: DataFrame, text: str = "text", key: str = "doc_id", least: float
     """Columns doc_id and one array per kind of (kind, start, end, score)."""
     raw = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     patterns = list(dict.fromkeys(k.pattern for k in KINDS))
-    raw = raw.select("*", *[located(F.col("text"), p).alias(f"p{i}") for i, p in enumerate(patterns)])
+    names = [f"p{i}" for i in range(len(patterns))]
+    # one step after the other, so that no list is made twice
+    raw = raw.select("*", *[matched(F.col("text"), p).alias(n) for n, p in zip(names, patterns)])
+    raw = raw.select("doc_id", "text", *[blocks(F.col(n)).alias(n) for n in names])
+    raw = raw.select("*", *[begins(F.col(n)).alias(f"{n}_at") for n in names])
+    raw = raw.select("doc_id", "text", *[located(F.col(n), F.col(f"{n}_at")).alias(n) for n in names])
     columns = []
     for kind in KINDS:
         passed = F.filter(F.col(f"p{patterns.index(kind.pattern)}"), checked(kind))
