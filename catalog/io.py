@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from catalog.climate import CITY_YEAR, GOOD
 from catalog.events import TIES, STORMY, _alerts
 from catalog.mapping import (
-    CITY_ORDERS, PLACED_ORDERS, SENSORS, city_orders, placed_orders, r, rounded, sensors, table,
+    CITY_ORDERS, PLACED_ORDERS, SENSORS, city_orders, placed_orders, r, rounded, sensors, sql_time, table, text_time,
 )
 from weatherloom.operators import aggregates, cleaning
 from weatherloom.plans import jobs
-from weatherloom.sources import readers, writers
+from weatherloom.sources import readers, versions, writers
 
 
 def _series_lines(spark, sf_dir):
@@ -114,11 +116,41 @@ def eleven_tables(spark, sf_dir):
     return _counts(spark, written)
 
 
+def _contents(df, name, keys, number):
+    """Rows, a checksum of their keys in any order, and the sum of a measure."""
+    text = F.concat_ws("|", *[F.coalesce(k.cast("string"), F.lit("")) for k in keys])
+    mark = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
+    one = df.agg(F.count("*").alias("rows"), F.sum(mark).alias("checksum"), F.sum(number).cast("double").alias("total"))
+    return rounded(one.select(F.lit(name).alias("table_name"), "rows", "checksum", "total"), "total", digits=3)
+
+
 def event_outputs(spark, sf_dir):
-    """The whole event job: four partitioned tables written, their sizes."""
-    options = {"station": ["city"], **TIES}
-    written = jobs.process_events(spark, sensors(spark, sf_dir), writers.scratch_dir(spark, "events"), options)
-    return _counts(spark, {n: p for n, p in written.items() if p is not None})
+    """The whole event job: four tables published together, their contents."""
+    path = writers.scratch_dir(spark, "events")
+    jobs.publish_events(spark, sensors(spark, sf_dir), path, {"station": ["city"], **TIES})
+    at, c = text_time("timestamp"), F.col
+    keys = [c("city"), at, c("event_type"), c("trend_direction"), c("alert_level"), c("alert_type"), c("storm_id"), c("storm_category")]
+    parts = [_contents(versions.read_published(spark, path, n), n, keys, "event_intensity") for n in ("events", "alerts", "extremes")]
+    tracks = versions.read_published(spark, path, "storm_tracks")
+    parts.append(_contents(tracks, "storm_tracks", [c("storm_id"), c("storm_name"), at, c("category")], "max_wind_kmh"))
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+def country_job(spark, sf_dir):
+    """The whole country job: yearly means by country, continent and region, as published."""
+    path = writers.scratch_dir(spark, "countries")
+    nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    lookup = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(
+        F.col("n_name").alias("name"), F.concat(F.lit("C"), F.col("n_nationkey").cast("string")).alias("country_code"), F.col("r_name").alias("continent")
+    )
+    jobs.publish_countries(spark, _written_csv(spark, sf_dir), lookup, path)
+    country = versions.read_published(spark, path, "country").select(
+        "year", "country", "country_code", "continent", F.lit(None).cast("string").alias("region"), "avg_temperature"
+    )
+    continent = versions.read_published(spark, path, "continental").select(
+        "year", *[F.lit(None).cast("string").alias(n) for n in ("country", "country_code")], "continent", F.lit(None).cast("string").alias("region"), "avg_temperature"
+    )
+    return rounded(country.unionByName(continent), "avg_temperature")
 
 
 def year_range_read(spark, sf_dir):
@@ -196,7 +228,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         series_text, series_text_strict, series_directory, series_file_results, series_file_report, city_csv,
-        eleven_tables, event_outputs, year_range_read, deduplicated, outlier_marks, seeded_sample, first_orders, zeroed_missing,
+        eleven_tables, event_outputs, country_job, year_range_read, deduplicated, outlier_marks, seeded_sample, first_orders, zeroed_missing,
         complete_rows, metric_summary,
         throughput,
     )
@@ -209,6 +241,16 @@ _CSV = f"""{PLACED_ORDERS},
 csv AS (SELECT * FROM placed_orders WHERE o_orderkey % 13 <> 0 AND o_orderkey % 9 <> 0)"""
 _CITY_TABLES = CITY_YEAR.replace("WHERE temperature BETWEEN -100 AND 60", "WHERE o_orderkey % 13 <> 0 AND o_orderkey % 9 <> 0", 1)
 
+
+
+def _mark(keys: list[str]) -> str:
+    """The checksum of a row's keys."""
+    parts = ", ".join(f"coalesce(CAST({k} AS VARCHAR), '')" for k in keys)
+    return f"CAST('0x' || substr(md5(concat_ws('|', {parts})), 1, 8) AS BIGINT)"
+
+
+_CONTENTS = f"count(*) AS rows, CAST(sum(m) AS BIGINT) AS checksum, {r('sum(event_intensity)', 3)} AS total"
+
 SQL = {
     "series_text": f"""WITH {_LINES} SELECT year, month, count(*) AS rows, {r('avg(temperature)')} AS avg_temperature,
         count(uncertainty) AS known FROM lines GROUP BY year, month
@@ -237,12 +279,19 @@ SQL = {
       UNION ALL SELECT 'continental', count(*) FROM (SELECT DISTINCT continent, year FROM city_year)
       UNION ALL SELECT 'correlation_matrix', 25 UNION ALL SELECT 'descriptive_stats', 4
       UNION ALL SELECT 'chi_square_tests', 3""",
-    "event_outputs": f"""WITH {STORMY}, {_alerts('stormy', 'storm_category')}
-      SELECT 'events' AS table_name, count(*) AS rows FROM alerts
-      UNION ALL SELECT 'alerts', count(*) FROM alerts WHERE alert_active
-      UNION ALL SELECT 'extremes', count(*) FROM alerts WHERE event_type <> 'NORMAL'
-      UNION ALL SELECT 'storm_tracks', count(*) FROM (SELECT DISTINCT storm_id, timestamp, lat_decimal, lon_decimal,
-        wind_speed_kmh, pressure_hpa FROM alerts WHERE storm_id IS NOT NULL)""",
+    "event_outputs": f"""WITH {STORMY}, {_alerts('stormy', 'storm_category')},
+        marked AS (SELECT *, {_mark(["city", sql_time('timestamp'), "event_type", "trend_direction", "alert_level", "alert_type", "storm_id", "storm_category"])} AS m FROM alerts),
+        points AS (SELECT DISTINCT storm_id, storm_name, timestamp, lat_decimal, lon_decimal, wind_speed_kmh, pressure_hpa, storm_category FROM alerts WHERE storm_id IS NOT NULL)
+      SELECT 'events' AS table_name, {_CONTENTS} FROM marked
+      UNION ALL SELECT 'alerts', {_CONTENTS} FROM marked WHERE alert_active
+      UNION ALL SELECT 'extremes', {_CONTENTS} FROM marked WHERE event_type <> 'NORMAL'
+      UNION ALL SELECT 'storm_tracks', count(*), CAST(sum({_mark(["storm_id", "storm_name", sql_time('timestamp'), "storm_category"])}) AS BIGINT),
+        {r('sum(wind_speed_kmh)', 3)} FROM points""",
+    "country_job": f"""WITH {_CSV}, named AS (SELECT c.*, 'C' || n_nationkey AS country_code, r_name AS continent FROM csv c
+        LEFT JOIN nation ON n_name = country LEFT JOIN region ON r_regionkey = n_regionkey WHERE temperature BETWEEN -100 AND 60)
+      SELECT year, country, country_code, continent, CAST(NULL AS VARCHAR) AS region, {r('avg(temperature)')} AS avg_temperature
+      FROM named GROUP BY year, country, country_code, continent
+      UNION ALL SELECT year, NULL, NULL, continent, NULL, {r('avg(temperature)')} FROM named GROUP BY year, continent""",
     "year_range_read": f"""WITH {GOOD} SELECT year, month, count(*) AS rows, {r('avg(temperature)')} AS avg_temperature
       FROM good WHERE year BETWEEN 1996 AND 1998 GROUP BY year, month""",
     "deduplicated": f"""WITH {GOOD}, one AS (SELECT city, date, any_value(year) AS year, min(o_orderkey) AS k,

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from weatherloom.operators import aggregates, anomalies, places, quality, statistics
 from weatherloom.plans import jobs
-from weatherloom.sources import readers, writers
+from weatherloom.sources import readers, versions, writers
 
 
 @pytest.fixture
@@ -171,3 +171,44 @@ def test_country_statistics_round_half_even(spark):
     df = spark.createDataFrame([("a", 0.125), ("b", 0.375)], "country string, avg_temperature double")
     got = {r.country: r.mean for r in aggregates.country_statistics(df).collect()}
     assert got == {"a": 0.12, "b": 0.38}
+
+
+def test_versions_switch_as_a_whole(spark, tmp_path):
+    out = str(tmp_path / "results")
+    assert versions.current_version(spark, out) is None
+    with pytest.raises(ValueError):
+        versions.read_published(spark, out, "t")
+    seen = []
+    for i in range(4):
+        version = versions.new_version(out)
+        spark.range(i + 1).write.parquet(f"{version}/t")
+        if i == 2:
+            continue  # a run that failed before its switch
+        assert len(seen) == 0 or versions.read_published(spark, out, "t").count() == seen[-1]
+        versions.switch(spark, out, version)
+        seen.append(versions.read_published(spark, out, "t").count())
+        assert versions.current_version(spark, out).rsplit("/", 1)[-1] == version.rsplit("/", 1)[-1]
+    left = sorted(p.name for p in (tmp_path / "results").iterdir() if not p.name.startswith("."))
+    assert seen == [1, 2, 4] and len([n for n in left if n.startswith("version-")]) == 2 and "_manifest" in left
+    assert not [n for n in left if n.startswith("_manifest-")]
+
+
+def test_a_rerun_without_storms_leaves_no_tracks(spark, tmp_path):
+    def rows(wind):
+        n = F.col("id")
+        return spark.range(60).select(
+            n.alias("event_id"), F.timestamp_seconds(F.lit(1_704_067_200) + n * 3600).alias("timestamp"), F.lit("A").alias("city"), F.lit("X").alias("country"),
+            F.lit(10.0).alias("lat_decimal"), F.lit(20.0).alias("lon_decimal"), (15 + F.sin(n)).alias("temperature_hourly"),
+            F.when(n % 7 == 0, 40.0).otherwise(1.0).alias("rain_mm"), F.lit(wind).alias("wind_speed_kmh"), F.lit(1000.0).alias("pressure_hpa"),
+        )
+
+    out, options = str(tmp_path / "events"), {"station": ["city"], "ties": ["event_id"]}
+    jobs.publish_events(spark, rows(90.0), out, options)
+    assert versions.read_published(spark, out, "storm_tracks").count() == 9
+    jobs.publish_events(spark, rows(5.0), out, options)
+    tracks = versions.read_published(spark, out, "storm_tracks")
+    assert tracks.count() == 0 and "storm_id" in tracks.columns and versions.read_published(spark, out, "events").count() == 60
+    plain = str(tmp_path / "tracks")
+    stormy = spark.createDataFrame([("S", "2024-01-01 00:00:00")], "storm_id string, timestamp string").withColumn("timestamp", F.col("timestamp").cast("timestamp"))
+    assert writers.write_storm_tracks(stormy, plain) == plain
+    assert writers.write_storm_tracks(stormy.filter("storm_id is null"), plain) is None and not (tmp_path / "tracks").exists()

@@ -18,7 +18,7 @@ from weatherloom.operators.cleaning import clean, project
 from weatherloom.operators.extremes import classify_events, storm_tracks, with_alerts, with_storms, without_storms
 from weatherloom.operators.hourly import expand_hours, prepare_base
 from weatherloom.operators.joining import with_scalars
-from weatherloom.sources import readers
+from weatherloom.sources import readers, versions
 from weatherloom.sources.writers import write_storm_tracks, write_table, write_text_results
 
 STATION = ("city", "country", "latitude", "longitude")
@@ -187,3 +187,26 @@ def process_events(
         "alerts": write_table(alerts, f"{output}/alerts", ["year", "month"]),
         "extremes": write_table(extremes, f"{output}/extremes", ["year", "event_type"]),
     }
+
+
+def publish_events(spark: SparkSession, rows: DataFrame, output: str, options: Mapping | None = None) -> str:
+    """The tables of :func:`process_events` as one new version: all four change together for readers of
+    :func:`~weatherloom.sources.versions.read_published`, and a run without storms gives an empty track table."""
+    version = versions.new_version(output)
+    main = write_table(event_table(rows, **dict(options or {})), f"{version}/events", ["year", "month"])
+    table = readers.read_table(spark, main)
+    write_table(table.filter(F.col("alert_active")), f"{version}/alerts", ["year", "month"])
+    write_table(table.filter(F.col("event_type") != "NORMAL"), f"{version}/extremes", ["year", "event_type"])
+    # not partitioned by year: an empty folder of partitions has no schema
+    write_table(storm_tracks(table).withColumn("year", F.year("timestamp")), f"{version}/storm_tracks")
+    versions.switch(spark, output, version)
+    return version
+
+
+def publish_countries(spark: SparkSession, path: str, countries: DataFrame, output: str) -> str:
+    """The tables of :func:`process_countries` as one new version."""
+    version = versions.new_version(output)
+    for name, table in country_tables(readers.read_city_csv(spark, path), countries).items():
+        write_table(table, f"{version}/{name}")
+    versions.switch(spark, output, version)
+    return version

@@ -54,8 +54,10 @@ def write_table(
 
 
 def write_storm_tracks(tracks: DataFrame, path: str, mode: str = "overwrite") -> str | None:
-    """Tracks by year; nothing is written when there are none."""
+    """Tracks by year. Without any nothing is written, and tracks that an earlier run left at ``path`` go."""
     if tracks.isEmpty():
+        target = tracks.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(tracks.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
         return None
     return write_table(tracks.withColumn("year", F.year("timestamp")), path, ["year"], mode=mode)
 
