@@ -94,8 +94,8 @@ def time_series_validation(spark, sf_dir):
 
 
 def k_fold_errors(spark, sf_dir):
-    """Five contiguous folds, RMSE per model over the folds."""
-    folded = features.block_folds(station_series(spark, sf_dir), features.global_month_order(["station"]), 5)
+    """Five contiguous folds inside the training part, RMSE per model over the folds."""
+    folded = models.training_folds(station_series(spark, sf_dir), features.global_month_order(["station"]), 5)
     folded = features.feature_table(folded, ["station"])
     return models.k_fold_rmse(folded, ["linear", "lasso"], models.monthly_features(), "temperature", 5)
 
