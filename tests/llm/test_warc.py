@@ -50,7 +50,7 @@ def test_look_ups_read_single_records(spark):
     for i, url, html in ROWS:
         got = [r for r in index.find(url) if r["page_id"] == i]
         assert len(got) == 1 and got[0]["payload_digest"] == hashlib.sha256((html or "").encode()).hexdigest()
-    assert index.find("http://nobody.net/") == []
+    assert index.find("http://nobody.net/") == [] and index.find("zzz") == []
     assert index.payload(ROWS[0][1], 5, {3: "https://example.com/z"}) == LONG.encode()
     # the archives are plain gzip members with WARC records
     name = captures.filter("page_id = 1").first()
@@ -59,6 +59,24 @@ def test_look_ups_read_single_records(spark):
         assert gzip.GzipFile(fileobj=io.BytesIO(f.read())).read().startswith(b"WARC/1.1\r\nWARC-Type: ")
 
 
+def test_look_ups_of_a_table(spark):
+    """Keys that escaping reorders, one url in most blocks, urls that nobody captured, other spellings of a url."""
+    odd = [f"http://h.org/{c}" for c in ["a b", "a!b", "a\u00e9", "az", "a\"", "a~", "a|b", "\u4e2d", "%20", ""]]
+    rows = [(i, odd[i % 10], f"page {i}") for i in range(60)] + [(100 + i, "http://hot.net/", f"hot {i}") for i in range(90)]
+    df = pages(spark, rows)
+    folder = warc.new_path(spark, "warc-test")
+    parts = warc.build_index(warc.write_archives(df, folder), folder, block_lines=4)
+    index = warc.CaptureIndex.load(parts, folder)
+    assert len(list(index.blocks(warc.index_key("http://hot.net/")))) > 20
+    for u in odd:
+        assert sorted(r["page_id"] for r in index.find(u)) == [i for i, v, _ in rows if v == u]
+    asked = spark.createDataFrame([(u,) for u in [odd[0], odd[0], "http://HOT.net:80#x", "http://no.where/", None]], "page_url string")
+    got = warc.look_up(asked, parts, folder, url="page_url", rows_at_once=7).collect()
+    want = {(i, h) for i, u, h in rows if u in (odd[0], "http://hot.net/")}
+    assert len(got) == len(want) and {(r.page_id, bytes(r.payload).decode()) for r in got} == want
+    assert warc.look_up(asked.limit(0), parts, folder, url="page_url").count() == 0
+
+
 def test_keys():
     assert warc.url_key("http://www.Example.com:80/a?b#c") == "com,example,www)/a?b"
     assert warc.url_key("https://u@h.org:8443") == "org,h:8443)/"

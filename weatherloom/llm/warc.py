@@ -1,11 +1,13 @@
 """WARC archives of pages with a two-level capture index.
 
 ``write_archives`` writes one gzip member per record; pages with equal payloads become revisits of the first.
-``build_index`` sorts the captures by reversed-host URL key into compressed blocks of lines and keeps a sparse directory
-with each block's first key. ``CaptureIndex`` binary-searches the directory, reads one block's bytes, binary-searches its
-lines and reads the record's bytes; ``read_captures`` reads every record back the same way, block by block.
+``build_index`` sorts the captures by reversed-host URL key into compressed blocks of lines. Each index file ends with its
+part of the sparse block directory, and one row a file tells its keys. ``CaptureIndex`` binary-searches files, directory
+part and the block's lines, and reads the record's bytes. ``look_up`` does so for a table of urls: distinct keys are
+range-partitioned, so that a task needs few directory parts, and the blocks found are read in tasks of their own.
 
-Null html: empty payload. Null or odd urls: the key is ")" and the url as it is. Null page ids: the record's id is
+Null html: empty payload. Null or odd urls: the key is ")" and the url as it is. Urls that nobody captured have no rows,
+repeated ones are looked up once, and of one key all captures come. Null page ids: the record's id is
 "null"; such a page can be a revisit but is never the page that others revisit. Rows that repeat the id and payload of a
 response are responses too. Empty table: empty archives. Long payloads are streamed into the file record by record.
 Extra columns are ignored.
@@ -22,8 +24,8 @@ import uuid
 import zlib
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
-from dataclasses import dataclass
-from urllib.parse import quote, unquote
+from itertools import groupby
+from urllib.parse import quote
 
 import pandas as pd
 from pyarrow import fs
@@ -37,7 +39,9 @@ DATE = "2000-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 END = b"\r\n\r\n"
 CAPTURES = "key string, page_id long, file string, offset long, length long, digest string, kind string"
-DIRECTORY = "first_key string, last_key string, file string, offset long, length long, captures long"
+#: One row for each index file: its keys, and where its part of the block directory lies.
+PARTS = "first_key string, last_key string, file string, offset long, length long, captures long"
+BLOCKS = "key string, file string, offset long, length long"
 RECORDS = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
 
 
@@ -57,6 +61,11 @@ def url_key(url: str | None) -> str:
     return ",".join(reversed(host.lower().rstrip(".").split("."))) + port + ")" + (rest if rest.startswith("/") else "/" + rest)
 
 
+def index_key(url: str | None) -> str:
+    """The key as ASCII, so that its order is the same in Spark, in Python and in the index."""
+    return quote(url_key(url), safe=";/?:@&=+$,-_.!~*'()%#[]", errors="surrogatepass")
+
+
 def record(page_id, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
     """A WARC/1.1 response or revisit record. A revisit keeps the HTTP head with the payload's length, not the payload."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
@@ -136,7 +145,7 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 100, level:
                         name, at = f"pages-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.warc.gz", 0
                         out = system.open_output_stream(f"{top}/{name}", compression=None)
                     out.write(data)
-                    rows.append((url_key(url), page_id, name, at, len(data), digest, "response" if refers is None else "revisit"))
+                    rows.append((index_key(url), page_id, name, at, len(data), digest, "response" if refers is None else "revisit"))
                     at += len(data)
                 yield with_ids(rows, ["key", "page_id", "file", "offset", "length", "digest", "kind"])
         finally:
@@ -159,25 +168,30 @@ def with_ids(rows: list, columns: list[str]) -> pd.DataFrame:
 
 
 def line_of(row) -> str:
-    key = quote(row.key, safe=";/?:@&=+$,-_.!~*'()%#[]", errors="surrogatepass")
-    return "\t".join([key, row.page_id or "null", row.kind, row.digest, row.file, str(row.offset), str(row.length)])
+    return "\t".join([row.key, row.page_id or "null", row.kind, row.digest, row.file, str(row.offset), str(row.length)])
 
 
 def build_index(captures: DataFrame, folder: str, block_lines: int = 3000) -> DataFrame:
-    """Sorts the captures by key into compressed blocks and returns the directory: one row a block."""
+    """Sorts the captures by key into compressed blocks. Each file ends with its directory part: a line of first key, last
+    key, offset and length for every block. Returns one row a file, at most one for each range of the sort."""
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         system, top = file_system(folder)
         system.create_dir(top, recursive=True)
-        name, at, waiting, rows, out = f"captures-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.cdx.gz", 0, [], [], None
+        name, at, waiting, blocks, out, count = f"captures-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.cdx.gz", 0, [], [], None, 0
 
-        def flush() -> None:
+        def append(lines: list[str]) -> int:
             nonlocal at
-            lines = [line_of(r) for r in waiting]
             data = gzip.compress("\n".join(lines).encode(), 6, mtime=0)
             out.write(data)
-            rows.append((lines[0].split("\t")[0], lines[-1].split("\t")[0], name, at, len(data), len(lines)))
             at += len(data)
+            return len(data)
+
+        def flush() -> None:
+            nonlocal count
+            start, size = at, append([line_of(r) for r in waiting])
+            blocks.append((waiting[0].key, waiting[-1].key, start, size))
+            count += len(waiting)
             waiting.clear()
 
         try:
@@ -189,84 +203,70 @@ def build_index(captures: DataFrame, folder: str, block_lines: int = 3000) -> Da
                         flush()
             if waiting:
                 flush()
+            if blocks:
+                start, size = at, append(["\t".join(map(str, b)) for b in blocks])
         finally:
             if out is not None:
                 out.close()
-        yield pd.DataFrame(rows, columns=["first_key", "last_key", "file", "offset", "length", "captures"])
+        if blocks:
+            yield pd.DataFrame([(blocks[0][0], blocks[-1][1], name, start, size, count)], columns=["first_key", "last_key", "file", "offset", "length", "captures"])
 
-    # the index is sorted by the escaped key, whose order is that of its characters
-    escaped = F.col("key")
     captures = captures.withColumn("page_text", F.col("page_id").cast("string"))
-    ordered = captures.repartitionByRange(escaped, F.col("page_id"), F.col("file"), F.col("offset")).sortWithinPartitions("key", "page_id", "file", "offset")
+    ordered = captures.repartitionByRange("key", "page_id", "file", "offset").sortWithinPartitions("key", "page_id", "file", "offset")
     ordered = ordered.drop("page_id").withColumnRenamed("page_text", "page_id")
-    return stored(ordered.mapInPandas(write, DIRECTORY), "warc-directory")
-
-
-def range_read(system: fs.FileSystem, opened: dict, path: str, offset: int, length: int) -> bytes:
-    if path not in opened:
-        if len(opened) >= 64:
-            opened.pop(next(iter(opened))).close()
-        opened[path] = system.open_input_file(path)
-    opened[path].seek(offset)
-    return opened[path].read(length)
-
-
-def read_captures(directory: DataFrame, folder: str, with_payload: bool = True, captures_per_task: int = 6000) -> DataFrame:
-    """Every record of the archives, read through the index: a block's lines, then each record's bytes."""
-    columns = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"]
-
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        system, top = file_system(folder)
-        opened: dict = {}
-        for batch in batches:
-            for block in batch.itertuples(index=False):
-                text = gzip.decompress(range_read(system, opened, f"{top}/{block.file}", block.offset, block.length)).decode()
-                places = sorted((f, int(o), int(n)) for f, o, n in (line.split("\t")[4:7] for line in text.split("\n")))
-                rows, size = [], 0
-                for file, offset, length in places:
-                    found = parsed(zlib.decompress(range_read(system, opened, f"{top}/{file}", offset, length), 31))
-                    if not with_payload:
-                        found["payload"] = None
-                    rows.append(found)
-                    size += len(found["payload"] or b"")
-                    if size > 1 << 25:
-                        yield with_ids(rows, columns)
-                        rows, size = [], 0
-                yield with_ids(rows, columns)
-
-    # the directory is a small table and each of its rows a lot of work
-    captures = directory.agg(F.coalesce(F.sum("captures"), F.lit(0))).first()[0]
-    tasks = max(directory.sparkSession.sparkContext.defaultParallelism, -(-captures // captures_per_task))
-    return directory.repartition(tasks).mapInPandas(read, RECORDS)
+    return stored(ordered.mapInPandas(write, PARTS), "warc-parts")
 
 
-@dataclass
 class CaptureIndex:
-    """Look-ups by url. Holds the sparse directory only: one entry per block of captures."""
+    """Look-ups by key. Holds the list of index files, one directory part and one block at a time."""
 
-    folder: str
-    blocks: list[tuple]
+    def __init__(self, folder: str, parts: list[tuple]):
+        self.system, self.top = file_system(folder)
+        self.opened: dict = {}
+        self.parts = sorted(tuple(p)[:5] for p in parts)
+        self.bounds = bounds_of(self.parts)
+        self.part: tuple = (None, [], ([], []))
+        self.block: tuple = (None, [], [])
 
     @classmethod
-    def load(cls, directory: DataFrame, folder: str) -> CaptureIndex:
-        return cls(folder, sorted(tuple(r) for r in directory.toLocalIterator()))
+    def load(cls, parts: DataFrame, folder: str) -> CaptureIndex:
+        """The rows of ``build_index`` are as many as its sort had ranges, whatever the number of captures."""
+        return cls(folder, parts.collect())
+
+    def read(self, file: str, offset: int, length: int) -> bytes:
+        """A range of a file; at most 64 files stay open."""
+        path = f"{self.top}/{file}"
+        if path not in self.opened:
+            if len(self.opened) >= 64:
+                self.opened.pop(next(iter(self.opened))).close()
+            self.opened[path] = self.system.open_input_file(path)
+        self.opened[path].seek(offset)
+        return self.opened[path].read(length)
+
+    def blocks(self, key: str) -> Iterator[tuple[str, int, int]]:
+        """File, offset and length of each block that can hold a key: files by binary search, then their blocks."""
+        for _, _, file, offset, length in self.parts[holding(self.bounds, key)]:
+            if self.part[0] != file:
+                lines = [line.split("\t") for line in gzip.decompress(self.read(file, offset, length)).decode().split("\n")]
+                self.part = (file, [(file, int(start), int(size)) for _, _, start, size in lines], bounds_of(lines))
+            yield from self.part[1][holding(self.part[2], key)]
+
+    def places(self, block: tuple[str, int, int], key: str) -> list[tuple[str, int, int]]:
+        """Archive, offset and length of a key's records in a block, by binary search among its lines."""
+        if self.block[0] != block:
+            lines = gzip.decompress(self.read(*block)).decode().split("\n")
+            self.block = (block, [line.split("\t", 1)[0] for line in lines], lines)
+        _, keys, lines = self.block
+        found = (line.split("\t") for line in lines[bisect_left(keys, key) : bisect_right(keys, key)])
+        return [(file, int(offset), int(length)) for *_, file, offset, length in found]
+
+    def record(self, place: tuple[str, int, int]) -> dict:
+        return parsed(zlib.decompress(self.read(*place), 31))
 
     def find(self, url: str | None) -> list[dict]:
-        """All records of a url, by binary search in the directory and in the blocks that can hold its key."""
-        key = quote(url_key(url), safe=";/?:@&=+$,-_.!~*'()%#[]", errors="surrogatepass")
-        system, top = file_system(self.folder)
-        opened: dict = {}
-        found = []
-        at = max(0, bisect_left([b[0] for b in self.blocks], key) - 1)
-        while at < len(self.blocks) and self.blocks[at][0] <= key:
-            _, _, file, offset, length, _ = self.blocks[at]
-            lines = gzip.decompress(range_read(system, opened, f"{top}/{file}", offset, length)).decode().split("\n")
-            keys = [line.split("\t", 1)[0] for line in lines]
-            for line in lines[bisect_left(keys, key) : bisect_right(keys, key)]:
-                _, _, _, _, name, start, size = line.split("\t")
-                found.append(parsed(zlib.decompress(range_read(system, opened, f"{top}/{name}", int(start), int(size)), 31)))
-            at += 1
-        return found
+        """All records of a url."""
+        key = index_key(url)
+        return [self.record(place) for block in self.blocks(key) for place in self.places(block, key)]
 
     def payload(self, url: str | None, page_id: int, urls: dict[int, str]) -> bytes | None:
         """A page's payload; a revisit's is that of the page it refers to, whose url ``urls`` gives."""
@@ -276,16 +276,71 @@ class CaptureIndex:
         return None
 
 
+def bounds_of(ordered: list) -> tuple[list[str], list[str]]:
+    """First and last keys of parts or blocks; both lists ascend, since the captures were cut in their order."""
+    return [o[0] for o in ordered], [o[1] for o in ordered]
+
+
+def holding(bounds: tuple[list[str], list[str]], key: str) -> slice:
+    """Where the key can be: from the first entry that does not end before it to the last that does not start after it."""
+    return slice(bisect_left(bounds[1], key), bisect_right(bounds[0], key))
+
+
+def look_up(urls: DataFrame, parts: DataFrame, folder: str, url: str = "url", with_payload: bool = True, captures_per_task: int = 50_000, rows_at_once: int = 10_000) -> DataFrame:
+    """Every record of the given urls. A url that fills many blocks is read by many tasks, since a row of work is a key in
+    one block."""
+    columns = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"]
+    known = [tuple(p) for p in parts.collect()]
+
+    def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"key": [index_key(u) for u in batch["url"]]}, dtype=object)
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        index, rows = CaptureIndex(folder, known), []
+        for batch in batches:
+            for key in batch["key"]:
+                for block in index.blocks(key):
+                    rows.append((key, *block))
+                    if len(rows) == rows_at_once:
+                        yield pd.DataFrame(rows, columns=["key", "file", "offset", "length"])
+                        rows = []
+        yield pd.DataFrame(rows, columns=["key", "file", "offset", "length"])
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        index = CaptureIndex(folder, [])
+        for batch in batches:
+            rows, size = [], 0
+            work = zip(batch["key"], batch["file"], batch["offset"], batch["length"])
+            for block, wanted in groupby(work, lambda w: w[1:]):
+                for place in sorted(p for key, *_ in wanted for p in index.places(block, key)):
+                    found = index.record(place)
+                    if not with_payload:
+                        found["payload"] = None
+                    rows.append(found)
+                    size += len(found["payload"] or b"")
+                    if size > 1 << 25 or len(rows) == rows_at_once:
+                        yield with_ids(rows, columns)
+                        rows, size = [], 0
+            yield with_ids(rows, columns)
+
+    wanted = urls.select(F.col(url).alias("url")).mapInPandas(keys, "key string").distinct()
+    blocks = stored(wanted.repartitionByRange("key").sortWithinPartitions("key").mapInPandas(search, BLOCKS), "warc-wanted")
+    tasks = max(urls.sparkSession.sparkContext.defaultParallelism, -(-sum(p[5] for p in known) // captures_per_task))
+    ordered = blocks.repartition(max(1, min(tasks, blocks.count())), "file", "offset").sortWithinPartitions("file", "offset", "key")
+    return ordered.mapInPandas(read, RECORDS)
+
+
 def archive(spark: SparkSession, pages: DataFrame, least_bytes: int = 100) -> tuple[str, DataFrame]:
-    """Writes archives and index; returns their folder and the directory."""
+    """Writes archives and index; returns their folder and the index files."""
     folder = new_path(spark, "warc")
     return folder, build_index(write_archives(pages, folder, least_bytes), folder)
 
 
 def round_trip(spark: SparkSession, pages: DataFrame) -> DataFrame:
-    """Writes the pages and reads every record back from the archives."""
-    folder, directory = archive(spark, pages)
-    back = read_captures(directory, folder, with_payload=False)
+    """Writes the pages and looks every one up again by its url."""
+    folder, parts = archive(spark, pages)
+    back = look_up(pages, parts, folder, with_payload=False)
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
