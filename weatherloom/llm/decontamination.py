@@ -3,8 +3,8 @@
 Every window of ``width`` words of a test item is searched through its rarest word, by corpus frequency. The index stores
 the postings of those words: document, position, and the ``width - 1`` words on either side. The lists of the window's
 other words are intersected at their offsets through these neighbours, which gives the longest common run around the
-posting. Runs of a whole window are phrase matches; ``proximity_matches`` counts a window's words near the posting in any
-order.
+posting. Runs of a whole window are phrase matches. Proximity matches are postings near which at least ``NEAR`` of the
+distinct words around the item's word stand, in any order; they are counted and never decide ``contaminated``.
 
 Words: ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after A-Z are lower-cased. An item of fewer than ``width`` words, but not
 none, is one window. Null and empty texts have no words. Repeated documents each get the result; repeated items count
@@ -24,6 +24,8 @@ from weatherloom.llm.shared import LOWER, UPPER, stored
 
 WIDTH = 10
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Least share of the words around an item's word that a proximity match needs.
+NEAR = 0.8
 #: Between words, before lower-casing.
 GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
@@ -151,7 +153,8 @@ def build(docs: DataFrame, items: DataFrame, width: int = WIDTH, text: str = "te
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, width: int = WIDTH, text: str = "text", key: str = "doc_id", item_key: str = "item_id", most_broadcast: int = 1_000_000) -> DataFrame:
-    """Columns doc_id, n_words, n_hit, n_items, items_sha256, contaminated; one row per document."""
+    """Columns doc_id, n_words, n_hit, n_items, items_sha256, contaminated and n_near (items with a proximity match); one
+    row per document."""
     keyed, index, tests, hint = build(docs, items, width, text, key, item_key, most_broadcast)
     runs = stored(phrase_matches(index, tests, hint), "bench-runs")
     places = runs.select("doc_id", "h", "first", "last").distinct()
@@ -159,6 +162,10 @@ def decontaminate(docs: DataFrame, items: DataFrame, width: int = WIDTH, text: s
     listed = runs.groupBy(F.col("doc_id").alias("e"), F.col("h").alias("l")).agg(F.sort_array(F.collect_set("item")).alias("ids"))
     found = hits.join(listed, F.col("doc_id").eqNullSafe(F.col("e")) & (F.col("h") == F.col("l")))
     found = found.select(F.col("doc_id").alias("d"), F.col("h").alias("k"), "n_hit", "ids")
+    near = proximity_matches(index, tests, hint).select("doc_id", "h", "item").distinct().groupBy("doc_id", "h").agg(F.count("*").alias("n_near"))
+    near = near.select(F.col("doc_id").alias("d"), F.col("h").alias("k"), F.lit(None).cast("long").alias("n_hit"), F.lit(None).cast("array<string>").alias("ids"), "n_near")
+    both = found.withColumn("n_near", F.lit(None).cast("long")).unionByName(near)
+    found = both.groupBy("d", "k").agg(*(F.max(c).alias(c) for c in ("n_hit", "ids", "n_near")))
     counted = keyed.select("doc_id", "h", F.coalesce(F.regexp_count("text", F.lit(GAPLESS)), F.lit(0)).cast("long").alias("n_words"))
     joined = counted.join(found, counted.doc_id.eqNullSafe(found.d) & (counted.h == found.k), "left")
     return joined.select(
@@ -168,6 +175,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, width: int = WIDTH, text: s
         F.when(F.col("ids").isNull(), 0).otherwise(F.size("ids")).cast("long").alias("n_items"),
         F.sha2(F.coalesce(F.array_join("ids", ","), F.lit("")), 256).alias("items_sha256"),
         F.col("n_hit").isNotNull().alias("contaminated"),
+        F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),
     )
 
 
@@ -182,7 +190,7 @@ def clean(docs: DataFrame, items: DataFrame, width: int = WIDTH, text: str = "te
 GAPLESS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
-def proximity_matches(index: DataFrame, tests: DataFrame, hint, least: float = 0.8) -> DataFrame:
+def proximity_matches(index: DataFrame, tests: DataFrame, hint, least: float = NEAR) -> DataFrame:
     """``(doc_id, h, item, pos, share)``: postings whose neighbours hold at least ``least`` of the distinct words that the
     item has around the same word, in any order."""
     around = F.array_distinct(F.concat("left", "right"))
@@ -208,8 +216,24 @@ places AS (
   FROM docs, (SELECT DISTINCT wide FROM wins) w, unnest(range(1, len(ws) - wide + 2)) t(i)),
 found AS (SELECT DISTINCT nr, item, p.wide, i FROM places p JOIN wins w ON p.wide = w.wide AND p.win = w.win),
 hits AS (SELECT nr, count(DISTINCT i + k) AS n_hit FROM found, unnest(range(0, wide)) t(k) GROUP BY nr),
-listed AS (SELECT nr, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT nr, item FROM found) GROUP BY nr)
+listed AS (SELECT nr, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT nr, item FROM found) GROUP BY nr),
+spots AS (SELECT nr, unnest(ws) AS term, unnest(range(1, len(ws) + 1)) AS pos FROM docs),
+counts AS (SELECT term, count(*) AS n FROM spots GROUP BY term),
+inner_words AS (
+  SELECT item, ws, i, i + k AS p, ws[i + k] AS term
+  FROM items, unnest(range(1, greatest(len(ws) - 9, 1) + 1)) t(i), unnest(range(0, least(10, len(ws)))) u(k) WHERE len(ws) > 0),
+rare AS (
+  SELECT item, ws, i, list(term ORDER BY coalesce(n, 0), term)[1] AS rare FROM inner_words LEFT JOIN counts USING (term) GROUP BY item, ws, i),
+around AS (
+  SELECT DISTINCT item, term, list_distinct(list_concat(ws[greatest(p - 9, 1):p - 1], ws[p + 1:p + 9])) AS wanted
+  FROM inner_words JOIN rare USING (item, ws, i) WHERE term = rare),
+near AS (
+  SELECT nr, count(DISTINCT item) AS n_near
+  FROM (SELECT nr, term, pos FROM spots WHERE term IN (SELECT term FROM around)) JOIN docs USING (nr) JOIN around USING (term)
+  WHERE len(wanted) = 0 OR len(list_distinct(list_intersect(wanted, list_concat(ws[greatest(pos - 9, 1):pos - 1], ws[pos + 1:pos + 9])))) / len(wanted) >= 0.8
+  GROUP BY nr)
 SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
-       sha256(coalesce(ids, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
-FROM docs LEFT JOIN hits USING (nr) LEFT JOIN listed USING (nr)
+       sha256(coalesce(ids, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated,
+       coalesce(n_near, 0)::BIGINT AS n_near
+FROM docs LEFT JOIN hits USING (nr) LEFT JOIN listed USING (nr) LEFT JOIN near USING (nr)
 """
