@@ -75,6 +75,19 @@ def test_repeated_rows_are_taken_in_part(make_docs):
     assert abs(mixing.mixed(docs).filter("source = 'a'").count() - words / 40) <= 40
 
 
+def test_a_row_repeated_very_often_is_cut_by_its_count(make_docs):
+    rows = [(7, "w w w", "en", "a")] * 700 + [(None, "x y", "en", "a")] * 300 + [(i, "w " * (i % 9), "en", "ab"[i % 2]) for i in range(500)]
+    want, got = ([tuple(r) for r in mixing.mix(make_docs(rows), block_words=16, rows_per_cell=n).collect()] for n in (10_000, 20))
+    assert sorted(want, key=str) == sorted(got, key=str) and len(got) == 1500
+
+
+def test_columns_with_the_names_used_inside(spark):
+    names = ["_h", "_id", "_of", "_source", "_mean", "_rows", "_copy", "_row", "_d", "_s", "h", "size", "start", "cell"]
+    docs = spark.createDataFrame([(i, "w " * 40, "ab"[i % 2], *["keep"] * len(names)) for i in range(60)], ["doc_id", "text", "source", *names])
+    out = mixing.mixed(docs)
+    assert out.columns == docs.columns and {tuple(r)[3:] for r in out.collect()} == {("keep",) * len(names)}
+
+
 def test_empty_table_and_no_words(make_docs):
     assert mixing.mix(make_docs([])).count() == 0
     assert [(r.target, r.taken) for r in mixing.mix(make_docs([(1, None, "en", "a"), (2, " ", "en", "b")])).collect()] == [(0.0, 0)] * 2

@@ -127,3 +127,11 @@ def test_rows_of_the_cross_search_grow_with_the_group(make_docs, monkeypatch):
     for name in {n for n, _ in seen}:
         assert seen[name, 400] <= 2.6 * max(seen[name, 200], 40), name
     assert seen["near-links", 400] < 4 * 400
+
+
+def test_one_of_each_keeps_columns_with_the_names_used_inside(spark):
+    text = "one two three four five six seven eight"
+    rows = [(1, text, "a", "b", "c", "d", "e"), (2, text, "f", "g", "h", "i", "j"), (3, "other words that stand alone here", "k", "l", "m", "n", "o")]
+    docs = spark.createDataFrame(rows, ["doc_id", "text", "_h", "_id", "_of", "_row", "_d"])
+    got = near_duplicates.one_of_each(docs)
+    assert got.columns == docs.columns and sorted(map(tuple, got.collect())) == [rows[0], rows[2]]

@@ -10,7 +10,7 @@ def key(text):
 
 
 def brute(rows, shards, share=0.01):
-    recs = sorted(((key(t), key(str(i) if i is not None else None), i, len((t or "").encode()) + 1, t) for i, t in rows), key=lambda r: r[:4])
+    recs = sorted(((key(t), key(str(i) if i is not None else None), -1 if i is None else i, len((t or "").encode()) + 1, t) for i, t in rows), key=lambda r: r[:4])
     total, at, placed, groups = sum(r[3] for r in recs), 0, [], {}
     for r in recs:
         lo, hi = groups.get(r[0], (at, at))
@@ -25,7 +25,7 @@ def brute(rows, shards, share=0.01):
     out, slots = [], {}
     for start, r in placed:
         s = sum(start >= e for e in ends)
-        out.append((r[2], r[3], zlib.crc32((r[4] or "").encode()), s, slots.setdefault(s, 0)))
+        out.append((None if r[2] == -1 else r[2], r[3], zlib.crc32((r[4] or "").encode()), s, slots.setdefault(s, 0)))
         slots[s] += 1
     return out
 
@@ -49,5 +49,12 @@ def test_repeated_rows_null_ids_and_few_rows(make_docs):
         assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
 
 
+def test_a_row_repeated_very_often_is_cut_by_its_count(make_docs):
+    rows = [(7, "same row")] * 900 + [(None, None)] * 300 + [(i, "x" * (i % 50)) for i in range(400)]
+    found = sharding.shard_by_size(make_docs(rows), rows_per_range=20, samples_per_range=8, least_ranges=4).collect()
+    got = sorted(((r.doc_id, r["size"], r.text_crc32, r.shard, r.slot) for r in found), key=str)
+    assert got == sorted(brute(sorted(rows, key=str), 8), key=str)
+
+
 def test_empty_table(make_docs):
     assert sharding.shard_by_size(make_docs([])).count() == 0

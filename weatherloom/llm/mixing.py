@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from weatherloom.llm.shared import CELLS, WORD, locate, number_of, stored
+from weatherloom.llm.shared import CELLS, WORD, locate, number_of, running, stored
 
 #: Multiplier of the golden-ratio points: 2^31 / phi, odd, so the points visit every multiple of 2^-31 once.
 GOLDEN, PERIOD = 1327217885, 1 << 31
@@ -72,16 +72,16 @@ def with_blocks(plan: DataFrame, block_words: int, least_blocks: int) -> DataFra
 def offsets(light: DataFrame, plan: DataFrame, rows_per_cell: int) -> DataFrame:
     """Adds ``start``: words before the document in its source's shuffled order.
 
-    A source is cut into cells of the hash; a window sees one cell, and cell sums shift it.
+    A source is cut into cells of the hash; a window sees one cell, and cell sums shift it. A cell far above its expected
+    rows holds one row many times, which ``running`` counts first.
     """
     cell = F.floor(F.col("h") / float(1 << 60) * F.ceil(F.col("rows") / rows_per_cell))
     placed = light.join(F.broadcast(plan), light.source.eqNullSafe(plan.source)).drop(plan.source).withColumn("cell", cell)
-    sums = placed.groupBy("place", "cell").agg(F.sum("size").alias("words"))
+    sums = stored(placed.groupBy("place", "cell").agg(F.sum("size").alias("words"), F.count("*").alias("n")), "mix-cells")
     earlier = Window.partitionBy("place").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     shift = sums.select("place", "cell", F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("shift"))
-    order = Window.partitionBy("place", "cell").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    run = placed.withColumn("run", F.sum("size").over(order) - F.col("size"))
-    return run.join(shift, ["place", "cell"]).withColumn("start", F.col("run") + F.col("shift")).drop("run", "shift")
+    run = running(placed, ["place", "cell"], ["h", "doc_id", "size"], sums.filter(F.col("n") > 8 * rows_per_cell))
+    return run.join(shift, ["place", "cell"]).withColumn("start", F.col("run") + F.col("shift")).drop("run", "number", "shift")
 
 
 def schedule(spark, plan: DataFrame, slots: int, chunks: int, least_chunk: int) -> DataFrame:
@@ -173,9 +173,10 @@ def mixed(docs: DataFrame, text: str = "text", source: str = "source", key: str
     sums = taken.groupBy("doc_id", "source", "h").agg((F.sum("taken") / F.sum("size")).alias("_mean"), F.count("*").alias("_rows"))
     wanted = sums.filter((F.col("_mean") >= 0.5) | (F.col("_rows") > 1) & (F.col("_mean") > 0))
     wanted = wanted.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("h").alias("_of"), "_mean", "_rows")
-    same = F.col(key).eqNullSafe(F.col("_id")) & F.col(source).eqNullSafe(F.col("_source")) & (F.col("_h") == F.col("_of"))
+    # the row travels as one column, whatever its columns are called
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(key).alias("_d"), F.col(source).alias("_s"), row_hash(text, key).alias("_h"))
+    same = F.col("_d").eqNullSafe(F.col("_id")) & F.col("_s").eqNullSafe(F.col("_source")) & (F.col("_h") == F.col("_of"))
     spread = ((F.monotonically_increasing_id() % PERIOD) * GOLDEN) % PERIOD / float(PERIOD)
-    found = docs.withColumn("_h", row_hash(text, key)).join(wanted, same).withColumn("_spread", spread)
+    found = rows.join(wanted, same).withColumn("_spread", spread)
     copies = F.when(F.col("_rows") == 1, F.round("_mean")).otherwise(F.floor(F.col("_mean") + F.col("_spread"))).cast("int")
-    repeated = found.withColumn("_copies", copies).filter("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies")))
-    return repeated.drop("_id", "_source", "_h", "_of", "_mean", "_rows", "_spread", "_copies", "_copy")
+    return found.withColumn("_copies", copies).filter("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select("_row.*")

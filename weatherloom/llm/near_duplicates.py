@@ -338,5 +338,7 @@ def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id", **opti
     signed, _, heads = grouped(docs, text=text, key=key, **options)
     rows = heads.select("head.doc_id", "head.h").union(signed.filter("node is null").select("doc_id", "h"))
     kept = rows.select(F.col("doc_id").alias("_id"), F.col("h").alias("_of"))
-    once = docs.withColumn("_h", F.xxhash64(text)).join(kept, F.col(key).eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_of")), "left_semi")
-    return once.dropDuplicates([key, "_h"]).drop("_h")
+    # the row travels as one column, whatever its columns are called
+    marked = docs.select(F.struct(*docs.columns).alias("_row"), F.col(key).alias("_d"), F.xxhash64(text).alias("_h"))
+    once = marked.join(kept, F.col("_d").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_of")), "left_semi")
+    return once.dropDuplicates(["_d", "_h"]).select("_row.*")

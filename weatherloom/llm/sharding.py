@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from weatherloom.llm.shared import CELLS, locate, number_of, stored
+from weatherloom.llm.shared import CELLS, locate, number_of, running, stored
 
 
 def records(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -78,7 +78,7 @@ def positions(light: DataFrame, rows: int, total: int, rows_per_range: int, per_
     bounds = splitters(light, ranges, per_range, rows, total)
     ranged = locate(light, bounds, F.struct("h1", "h2"), cell_of(F.col("h1")), "range")
     cut = stored(subdivide(ranged, 2 * max(1, -(-rows // ranges))), "shard-ranges")
-    sums = cut.groupBy("range", "piece").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
+    sums = stored(cut.groupBy("range", "piece").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")), "shard-pieces")
     earlier = Window.orderBy("range", "piece").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select(
         "range",
@@ -86,9 +86,7 @@ def positions(light: DataFrame, rows: int, total: int, rows_per_range: int, per_
         F.coalesce(F.sum("bytes").over(earlier), F.lit(0)).alias("bytes_before"),
         F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("rows_before"),
     )
-    order = Window.partitionBy("range", "piece").orderBy("h1", "h2", "doc_id", "size")
-    upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    inside = cut.withColumns({"run": F.sum("size").over(upto) - F.col("size"), "number": F.row_number().over(order) - 1})
+    inside = running(cut, ["range", "piece"], ["h1", "h2", "doc_id", "size"], sums.filter(F.col("n") > 8 * max(1, -(-rows // ranges))))
     return inside.join(F.broadcast(offsets), ["range", "piece"]).select(
         *light.columns,
         (F.col("run") + F.col("bytes_before")).alias("before"),

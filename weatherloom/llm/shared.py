@@ -98,3 +98,28 @@ def locate(df: DataFrame, splitters: DataFrame, key: Column, cell: Column, out:
         .withColumn(out, (F.col("_base") + F.when(F.col("_keys").isNull(), 0).otherwise(inside)).cast("long"))
         .drop("_key", "_at", "_cell", "_keys", "_n", "_base")
     )
+
+
+def running(df: DataFrame, cell: list[str], order: list[str], full: DataFrame, chunk: int = 100_000) -> DataFrame:
+    """Adds ``run``, the sum of ``size`` of the rows before a row in its cell, and ``number``, how many they are.
+
+    ``full`` holds the cells with too many rows for one window. Key intervals cannot cut rows that repeat every sort
+    column, so in those cells the window sees each different row once, with its count, and the repeats are written out
+    again in chunks that any task can take.
+    """
+    before = Window.partitionBy(*cell).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+
+    def add_up(rows: DataFrame, size, count) -> DataFrame:
+        return rows.withColumns({"run": F.coalesce(F.sum(size).over(before), F.lit(0)), "number": F.coalesce(F.sum(count).over(before), F.lit(0))})
+
+    if full.isEmpty():
+        return add_up(df, F.col("size"), F.lit(1))
+    full = full.select(*cell)
+    plain = add_up(df.join(full, cell, "left_anti").select(*df.columns), F.col("size"), F.lit(1))
+    counted = df.join(full, cell, "left_semi").groupBy(*df.columns).agg(F.count("*").alias("_n"))
+    counted = add_up(counted, F.col("size") * F.col("_n"), F.col("_n"))
+    chunks = counted.withColumn("_from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1, F.lit(chunk).cast("long")))).repartition(*cell, "_from")
+    last = F.least(F.col("_n"), F.col("_from") + chunk) - 1
+    again = chunks.withColumn("_k", F.explode(F.sequence(F.col("_from"), last)))
+    again = again.withColumns({"run": F.col("run") + F.col("_k") * F.col("size"), "number": F.col("number") + F.col("_k")})
+    return plain.unionByName(again.select(*plain.columns))
