@@ -212,3 +212,12 @@ def test_a_rerun_without_storms_leaves_no_tracks(spark, tmp_path):
     stormy = spark.createDataFrame([("S", "2024-01-01 00:00:00")], "storm_id string, timestamp string").withColumn("timestamp", F.col("timestamp").cast("timestamp"))
     assert writers.write_storm_tracks(stormy, plain) == plain
     assert writers.write_storm_tracks(stormy.filter("storm_id is null"), plain) is None and not (tmp_path / "tracks").exists()
+
+
+def test_chi_square_of_counts_whose_product_leaves_64_bits(spark):
+    rows = spark.range(8_000_000).select((F.col("id") % 2).alias("a"), (F.col("id") % 5 < 2 + F.col("id") % 2).alias("b"))
+    row = statistics.chi_square_tests(rows, {"t": ("a", "b")}).head()
+    cells = {(r.a, r.b): r["count"] for r in rows.groupBy("a", "b").count().collect()}
+    p, q, s, t = (cells[k] for k in ((0, False), (0, True), (1, False), (1, True)))
+    assert max(cells.values()) ** 2 * 8_000_000 > 2**63
+    assert row.chi_square_statistic == pytest.approx(8_000_000 * (p * t - q * s) ** 2 / ((p + q) * (s + t) * (p + s) * (q + t)), rel=1e-9)

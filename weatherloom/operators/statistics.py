@@ -224,7 +224,9 @@ def chi_square_tests(
         }
     )
     # sum (o - e)^2 / e = sum o^2 / e - N, which also covers cells nobody observed
-    weight = F.col("_o") * F.col("_o") * F.col("_all") / (F.col("_ra") * F.col("_cb"))
+    # in doubles: the product of three counts leaves 64 bits at a few million rows
+    o, whole_rows, row_rows, col_rows = (F.col(c).cast("double") for c in ("_o", "_all", "_ra", "_cb"))
+    weight = o * o * whole_rows / (row_rows * col_rows)
     found = cells.groupBy("test", "variable_1", "variable_2").agg(
         (F.sum(weight) - F.max("_all")).alias("chi_square_statistic"),
         ((F.count_distinct("_a") - 1) * (F.count_distinct("_b") - 1)).cast("int").alias("degrees_of_freedom"),
