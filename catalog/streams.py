@@ -12,6 +12,8 @@ from weatherloom.streaming import alerts
 #: Rows of a file; a micro-batch takes a hundredth of the files, one at least.
 FILE_ROWS = 25_000
 LEAST_FILES = 3
+#: Partitions of the state, or as many as a micro-batch has files: over a run, state tasks grow like the files.
+LEAST_STATES = 12
 
 
 def _written(spark, sf_dir) -> tuple[str, int]:
@@ -49,9 +51,15 @@ def _batch(spark, path):
     return alerts.with_traffic_light(alerts.with_event_time(rows))
 
 
+def _totals_query(spark, sf_dir, out):
+    path, files_per_batch = _written(spark, sf_dir)
+    totals = alerts.alert_totals(_stream(spark, path, files_per_batch))
+    return alerts.write_totals(totals, out, scratch_dir(spark, "state"), partitions=max(LEAST_STATES, files_per_batch))
+
+
 def stream_alert_totals(spark, sf_dir):
     out = scratch_dir(spark, "totals")
-    query = alerts.write_totals(alerts.alert_totals(_stream(spark, *_written(spark, sf_dir))), out, scratch_dir(spark, "state"))
+    query = _totals_query(spark, sf_dir, out)
     query.awaitTermination()
     return alerts.read_totals(spark, out)
 
@@ -59,7 +67,8 @@ def stream_alert_totals(spark, sf_dir):
 def _windows(spark, sf_dir):
     path, files_per_batch = _written(spark, sf_dir)
     out = scratch_dir(spark, "windows")
-    query = alerts.write_windows(alerts.alert_windows(_stream(spark, path, files_per_batch)), out, scratch_dir(spark, "state"))
+    windows = alerts.alert_windows(_stream(spark, path, files_per_batch))
+    query = alerts.write_windows(windows, out, scratch_dir(spark, "state"), partitions=max(LEAST_STATES, files_per_batch))
     query.awaitTermination()
     rest = alerts.open_windows(_batch(spark, path), alerts.last_watermark(query))
     return _batch(spark, path), spark.read.parquet(out).unionByName(rest)
@@ -83,7 +92,7 @@ def stream_run_statistics(spark, sf_dir):
     listener = alerts.RunListener()
     spark.streams.addListener(listener)
     try:
-        query = alerts.write_totals(alerts.alert_totals(_stream(spark, *_written(spark, sf_dir))), out, scratch_dir(spark, "state"))
+        query = _totals_query(spark, sf_dir, out)
         query.awaitTermination()
         seen = listener.rates(query)
     finally:

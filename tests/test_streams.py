@@ -81,3 +81,21 @@ def test_windows_of_nothing(spark):
     windows = alerts.open_windows(empty, None)
     assert windows.count() == 0 and alerts.late_rows(empty, windows).first().late_rows == 0
     assert windows.filter(F.col("alert_count") > 0).count() == 0
+
+
+@pytest.mark.parametrize("name", ["stream_alert_totals", "stream_alert_windows", "stream_late_rows", "stream_run_statistics"])
+def test_state_lies_in_few_partitions_whatever_the_session_shuffles_into(spark, sf_dir, monkeypatch, name):
+    from catalog import streams
+
+    queries = []
+    for writer in ("write_totals", "write_windows"):
+        monkeypatch.setattr(alerts, writer, lambda *a, f=getattr(alerts, writer), **b: queries.append(f(*a, **b)) or queries[-1])
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 40)
+    try:
+        streams.QUERIES[name](spark, sf_dir).collect()
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "40"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    states = [p["stateOperators"][0]["numShufflePartitions"] for p in queries[0].recentProgress if p["stateOperators"]]
+    assert states and set(states) == {streams.LEAST_STATES}
