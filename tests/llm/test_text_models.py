@@ -4,6 +4,7 @@ import re
 import zlib
 
 import numpy as np
+import pytest
 from weatherloom.llm import language, ranking, votes
 from weatherloom.llm.shared import table
 
@@ -108,3 +109,23 @@ def test_em_recovers_planted_accuracies():
     patterns, counts = np.unique(cast, axis=0, return_counts=True)
     w = votes.expectation_maximisation(patterns, counts.astype(float))
     assert abs(w.prior - 0.8) < 0.03 and np.abs(w.on_good - chances[1]).max() < 0.05 and np.abs(w.on_bad - chances[0]).max() < 0.06
+
+
+def test_ranking_learns_from_every_labelled_row_outside_the_fold(spark, make_docs):
+    docs = [(i, " ".join(["good"] * (i % 7) + [f"w{i * k % 50}" for k in range(i % 31 + 1)]) + "!" * (i % 3), "en") for i in range(1200)]
+    quality = {i: int(i % 31 + 9 * (i % 3) + i * 17 % 13 > 30) for i in range(1200)}
+    labels = spark.createDataFrame([*quality.items()], "doc_id long, quality int")
+    model = ranking.train(make_docs(docs + docs[:400]), labels, 0.3, most=60, least=5)
+    learned = [d for d in docs if zlib.crc32(str(d[0]).encode()) % 5]
+    x, y = np.array([ranking.features(d[1]) for d in learned]), np.array([quality[d[0]] for d in learned])
+    assert model.mean == pytest.approx(x.mean(0), abs=1e-6)
+    assert model.threshold == pytest.approx(np.quantile(model.strengths(x), (y == 0).mean(), method="midpoint"), abs=1e-9)
+    local = ranking.fit(x, y, 0.3, most=60)
+    assert model.scores(x) == pytest.approx(local.scores(x), abs=1e-3)
+
+    def loss(w):
+        z = np.clip((x - model.mean) / model.scale, -8, 8) @ w
+        return np.mean(np.logaddexp(0, -(z[y == 1][:, None] - z[y == 0][None, :]))) + 5e-4 * w @ w
+
+    steps = 0.05 * np.vstack([np.eye(x.shape[1]), -np.eye(x.shape[1])])
+    assert all(loss(model.weights) <= loss(model.weights + s) + 1e-4 for s in steps)  # the loss of all pairs
